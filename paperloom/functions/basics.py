@@ -1,12 +1,7 @@
-"""Small helpers shared by the Column builders."""
+"""Small helpers shared by the expression builders."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Numbers as Python's float() reads them: underscores between digits, padding,
 # inf and nan are fine; a trailing type letter is not.
 _FLOAT_TEXT = (
@@ -15,72 +10,81 @@ _FLOAT_TEXT = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def lit(text: str) -> str:
+    """A string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def empty(element: str) -> str:
+    return f"CAST(array() AS array<{element}>)"
 
 
-def empty(ddl: str) -> Column:
-    return F.array().cast(f"array<{ddl}>")
+def struct(**members: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in members.items()) + ")"
 
 
-def lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+def lookup(table: dict[str, str], key: str) -> str:
+    pairs = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in table.items())
+    return f"try_element_at(map({pairs}), {key})"
 
 
-def reads_as_float(text: Column) -> Column:
-    return text.rlike(_FLOAT_TEXT)
+def reads_as_float(text: str) -> str:
+    return f"({text} RLIKE {lit(_FLOAT_TEXT)})"
 
 
-def float_of_text(text: Column) -> Column:
+def float_of_text(text: str) -> str:
     """Python's ``float(text)``, NULL where that raises."""
-    plain = F.regexp_replace(text, r"(?U)^\s+|\s+$|_", "")
-    return F.when(reads_as_float(text), plain.try_cast("double"))
+    noise = lit(r"(?U)^\s+|\s+$|_")
+    return (
+        f"CASE WHEN {reads_as_float(text)} "
+        f"THEN try_cast(regexp_replace({text}, {noise}, '') AS DOUBLE) END"
+    )
 
 
-def fixed_point(value: Column, digits: int) -> Column:
+def fixed_point(value: str, digits: int) -> str:
     """``f"{value:.2f}"``: rounds the exact binary value, ties to even."""
-    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+    return f"format_number({value}, '0.{'0' * digits}')"
 
 
-def float_text(x: Column) -> Column:
+def float_text(value: str) -> str:
     """Text Python prints for a float (``100.0``, ``12345678.9``, ``1e-05``)."""
-    size = F.abs(x)
-    java = x.cast("string")
-    digits = F.regexp_replace(x.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    power = F.substring_index(java, "E", -1).try_cast("int")
-    scientific = F.concat(
-        F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", ""),
-        F.when(power < 0, "e-").otherwise("e+"),
-        F.when(F.abs(power) < 10, "0").otherwise(""),
-        F.abs(power).cast("string"),
+    power = "try_cast(substring_index(s, 'E', -1) AS INT)"
+    scientific = (
+        rf"concat(regexp_replace(substring_index(s, 'E', 1), '\\.0$', ''), "
+        f"CASE WHEN {power} < 0 THEN 'e-' ELSE 'e+' END, "
+        f"CASE WHEN abs({power}) < 10 THEN '0' ELSE '' END, CAST(abs({power}) AS STRING))"
     )
-    return (
-        F.when(F.isnan(x), "nan")
-        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(scientific)
+    digits = "regexp_replace(CAST(try_cast(x AS DECIMAL(38,20)) AS STRING), '0+$', '')"
+    plain = rf"regexp_replace({digits}, '\\.$', '.0')"
+    body = (
+        "CASE WHEN isnan(x) THEN 'nan' "
+        "WHEN abs(x) = double('inf') THEN CASE WHEN x > 0 THEN 'inf' ELSE '-inf' END "
+        "WHEN x = 0 OR (abs(x) >= 1e-3 AND abs(x) < 1e7) THEN CAST(x AS STRING) "
+        f"WHEN abs(x) >= 1e-4 AND abs(x) < 1e16 THEN {plain} "
+        f"ELSE {let('s', 'CAST(x AS STRING)', scientific)} END"
     )
+    return let("x", value, body)
 
 
-def merge_maps(base: Column, update: Column) -> Column:
+def merge_maps(base: str, update: str) -> str:
     """``dict.update``: new values win, known keys keep their place."""
-    kept = F.transform_values(
-        base,
-        lambda k, v: F.when(F.map_contains_key(update, k), F.try_element_at(update, k)).otherwise(v),
+    return (
+        f"map_concat(transform_values({base}, (mk, mv) -> CASE WHEN "
+        f"map_contains_key({update}, mk) THEN try_element_at({update}, mk) ELSE mv END), "
+        f"map_filter({update}, (uk, uv) -> NOT map_contains_key({base}, uk)))"
     )
-    return F.map_concat(kept, F.map_filter(update, lambda k, _: ~F.map_contains_key(base, k)))
 
 
-def last_wins_map(keys: Column, values: Column) -> Column:
+def last_wins_map(keys: str, values: str) -> str:
     """Map from parallel arrays; a repeated key keeps its first place, last value."""
-    names = F.array_distinct(keys)
-    back = F.reverse(keys)
-    rear = F.reverse(values)
-    return F.map_from_arrays(
-        names,
-        F.transform(names, lambda k: F.element_at(rear, F.array_position(back, k).cast("int"))),
+    return (
+        f"map_from_arrays(array_distinct({keys}), transform(array_distinct({keys}), "
+        f"lk -> element_at(reverse({values}), "
+        f"CAST(array_position(reverse({keys}), lk) AS INT))))"
     )

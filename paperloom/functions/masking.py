@@ -2,89 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from paperloom.functions.basics import empty, let
+from paperloom.functions.basics import empty, let, struct
 from paperloom.functions.spans import SPAN
 
-MASKED = "struct<text:string,kept:array<" + SPAN + ">>"
+MASKED = f"struct<text:string,kept:array<{SPAN}>>"
 
 
-def mask_by_value(text: Column, spans: Column) -> Column:
+def mask_by_value(text: str, spans: str) -> str:
     """R6, ``compat``: last span first, each replacing the first place its value
     occurs in the text as it then stands; its own position when the value is
-    gone; nothing when that position is past the end. Returns text and the spans
+    gone; nothing when that position is past the end. Gives text and the spans
     that were masked, in start order with ties reversed.
     """
-    last_first = F.array_sort(
-        F.transform(
-            spans,
-            lambda s, i: F.struct((-s["start_index"]).alias("at"), i.alias("i"), s.alias("span")),
-        )
+    last_first = (
+        f"array_sort(transform({spans}, (s, i) -> "
+        f"{struct(at='-s.start_index', i='i', span='s')}))"
     )
-
-    def put(acc: Column, k: Column) -> Column:
-        span = k["span"]
-        now = acc["text"]
-
-        def cut(at: Column) -> Column:
-            by_value = F.concat(
-                F.substring(now, F.lit(1), at - 1),
-                span["masked_value"],
-                F.substring(now, at + F.length(span["original_value"]), F.length(now)),
-            )
-            start = F.greatest(span["start_index"], F.lit(0))
-            end = F.greatest(span["end_index"], F.lit(0))
-            by_place = F.concat(
-                F.substring(now, F.lit(1), start),
-                span["masked_value"],
-                F.substring(now, end + 1, F.length(now)),
-            )
-            grown = F.concat(acc["kept"], F.array(span))
-            return (
-                F.when(at > 0, F.struct(by_value.alias("text"), grown.alias("kept")))
-                .when(
-                    span["start_index"] < F.length(now),
-                    F.struct(by_place.alias("text"), grown.alias("kept")),
-                )
-                .otherwise(acc)
-            )
-
-        return let(F.instr(now, span["original_value"]), cut)
-
-    start = F.struct(text.alias("text"), empty(SPAN).alias("kept")).cast(MASKED)
-    done = F.aggregate(
-        last_first,
-        start,
-        put,
-        lambda acc: F.struct(acc["text"].alias("text"), F.reverse(acc["kept"]).alias("kept")),
+    kept = "concat(acc.kept, array(k.span))"
+    by_value = (
+        "concat(substring(acc.text, 1, at - 1), k.span.masked_value, "
+        "substring(acc.text, at + length(k.span.original_value)))"
+    )
+    by_place = (
+        "concat(substring(acc.text, 1, greatest(k.span.start_index, 0)), k.span.masked_value, "
+        "substring(acc.text, greatest(k.span.end_index, 0) + 1))"
     )
-    return F.when(F.size(spans) == 0, start).otherwise(done)
+    put = (
+        f"CASE WHEN at > 0 THEN {struct(text=by_value, kept=kept)} "
+        f"WHEN k.span.start_index < length(acc.text) THEN {struct(text=by_place, kept=kept)} "
+        f"ELSE acc END"
+    )
+    untouched = f"CAST({struct(text=text, kept=empty(SPAN))} AS {MASKED})"
+    step = let("at", "instr(acc.text, k.span.original_value)", put)
+    fold = (
+        f"aggregate({last_first}, {untouched}, (acc, k) -> {step}, "
+        f"acc -> {struct(text='acc.text', kept='reverse(acc.kept)')})"
+    )
+    return f"CASE WHEN size({spans}) = 0 THEN {untouched} ELSE {fold} END"
 
 
-def mask_by_place(text: Column, spans: Column) -> Column:
+def mask_by_place(text: str, spans: str) -> str:
     """``clean``: splice masks in by position; ``spans`` must not overlap."""
-
-    def piece(s: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(
-            F.try_element_at(spans, F.greatest(i, F.lit(1)))["end_index"]
-        )
-        return F.concat(
-            F.substring(text, before + 1, s["start_index"] - before), s["masked_value"]
-        )
-
-    tail = F.substring(text, F.try_element_at(spans, F.lit(-1))["end_index"] + 1, F.length(text))
-    joined = F.concat(F.array_join(F.transform(spans, piece), ""), tail)
-    return F.when(
-        F.size(spans) == 0, F.struct(text.alias("text"), empty(SPAN).alias("kept"))
-    ).otherwise(F.struct(joined.alias("text"), spans.alias("kept")))
+    before = f"CASE WHEN i = 0 THEN 0 ELSE try_element_at({spans}, greatest(i, 1)).end_index END"
+    piece = let(
+        "b", before, f"concat(substring({text}, b + 1, s.start_index - b), s.masked_value)"
+    )
+    tail = f"substring({text}, try_element_at({spans}, -1).end_index + 1)"
+    joined = f"concat(array_join(transform({spans}, (s, i) -> {piece}), ''), {tail})"
+    return (
+        f"CASE WHEN size({spans}) = 0 THEN {struct(text=text, kept=empty(SPAN))} "
+        f"ELSE {struct(text=joined, kept=spans)} END"
+    )
 
 
-def count_by_type(spans: Column) -> Column:
+def count_by_type(spans: str) -> str:
     """Map type -> count, in order of first appearance."""
-    kinds = F.array_distinct(F.transform(spans, lambda s: s["pii_type"]))
-    return F.map_from_arrays(
+    kinds = f"array_distinct(transform({spans}, s -> s.pii_type))"
+    return let(
+        "kinds",
         kinds,
-        F.transform(kinds, lambda k: F.size(F.filter(spans, lambda s: s["pii_type"] == k))),
+        f"map_from_arrays(kinds, transform(kinds, k -> "
+        f"size(filter({spans}, s -> s.pii_type = k))))",
     )

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from paperloom.functions.basics import lit
 from paperloom.functions.fixed_values import (
     CLASSIFY_CHARS,
     CUT_MARK,
@@ -44,61 +42,51 @@ def extract_head(doc_type: str) -> str:
     return f"Read these fields out of the {doc_type}: {names}.\n{EXTRACT_SHAPE}"
 
 
-def cut(text: Column, limit: int, mark: str = "") -> Column:
+def cut(text: str, limit: int, mark: str = "") -> str:
     """Text up to ``limit`` characters, with ``mark`` after a cut."""
-    short = F.concat(F.substring(text, 1, limit), F.lit(mark))
-    return F.when(F.length(text) > limit, short).otherwise(text)
+    short = f"concat(substring({text}, 1, {limit}), {lit(mark)})"
+    return f"CASE WHEN length({text}) > {limit} THEN {short} ELSE {text} END"
 
 
-def classify_content(text: Column) -> Column:
+def classify_content(text: str) -> str:
     return cut(text, CLASSIFY_CHARS, CUT_MARK)
 
 
-def extract_content(text: Column) -> Column:
+def extract_content(text: str) -> str:
     return cut(text, EXTRACT_CHARS, CUT_MARK)
 
 
-def classify_request(text: Column) -> Column:
-    return F.concat(F.lit(CLASSIFY_HEAD), classify_content(text))
+def classify_request(text: str) -> str:
+    return f"concat({lit(CLASSIFY_HEAD)}, {classify_content(text)})"
 
 
-def extract_request(document_type: Column, text: Column) -> Column:
-    head = F.lit(None).cast("string")
-    for doc_type in EXTRACTION_FIELDS:
-        head = F.when(document_type == doc_type, extract_head(doc_type)).otherwise(head)
-    return F.concat(F.coalesce(head, F.lit(OPEN_EXTRACT_HEAD)), extract_content(text))
+def extract_request(document_type: str, text: str) -> str:
+    heads = " ".join(f"WHEN {lit(t)} THEN {lit(extract_head(t))}" for t in EXTRACTION_FIELDS)
+    head = f"CASE {document_type} {heads} ELSE {lit(OPEN_EXTRACT_HEAD)} END"
+    return f"concat({head}, {extract_content(text)})"
 
 
-def detect_request(text: Column) -> Column:
-    return F.concat(F.lit(DETECT_HEAD), cut(text, DETECT_CHARS))
+def detect_request(text: str) -> str:
+    return f"concat({lit(DETECT_HEAD)}, {cut(text, DETECT_CHARS)})"
 
 
-def error_lines(errors: Column) -> Column:
+def error_lines(errors: str) -> str:
     """``- field: message (expected: pattern)``, one line per error."""
-    return F.array_join(
-        F.transform(
-            errors,
-            lambda e: F.concat(
-                F.lit("- "),
-                e["field_name"],
-                F.lit(": "),
-                e["error_message"],
-                F.when(
-                    F.coalesce(e["expected_value"], F.lit("")) != "",
-                    F.concat(F.lit(" (expected: "), e["expected_value"], F.lit(")")),
-                ).otherwise(""),
-            ),
-        ),
-        "\n",
+    expected = (
+        "CASE WHEN coalesce(e.expected_value, '') <> '' "
+        "THEN concat(' (expected: ', e.expected_value, ')') ELSE '' END"
     )
+    line = f"concat('- ', e.field_name, ': ', e.error_message, {expected})"
+    return f"array_join(transform({errors}, e -> {line}), {lit(chr(10))})"
 
 
-def repair_request(data: Column, errors: Column, text: Column) -> Column:
-    return F.concat(
-        F.lit(REPAIR_HEAD + "\nValues:\n"),
-        F.to_json(data),
-        F.lit("\nErrors:\n"),
+def repair_request(data: str, errors: str, text: str) -> str:
+    parts = [
+        lit(REPAIR_HEAD + "\nValues:\n"),
+        f"to_json({data})",
+        lit("\nErrors:\n"),
         error_lines(errors),
-        F.lit("\nDocument:\n"),
-        cut(F.coalesce(text, F.lit("")), REPAIR_CHARS),
-    )
+        lit("\nDocument:\n"),
+        cut(f"coalesce({text}, '')", REPAIR_CHARS),
+    ]
+    return f"concat({', '.join(parts)})"

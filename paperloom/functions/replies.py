@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from paperloom.functions.basics import empty, float_of_text, float_text, last_wins_map, let
+from paperloom.functions.basics import (
+    empty,
+    float_of_text,
+    float_text,
+    last_wins_map,
+    let,
+    lit,
+    struct,
+)
 from paperloom.functions.fixed_values import (
     DEFAULT_CLASS_CONFIDENCE,
     DEFAULT_DATA_TYPE,
@@ -19,311 +24,285 @@ from paperloom.functions.rules import FIX
 from paperloom.functions.spans import SPAN, make_span, mask_for, type_for
 
 FIELD = "struct<name:string,value:string,confidence:double,data_type:string>"
-_FENCE = "```"
+_NO_FIX = f"CAST({struct(data='map()', untruthy='array()')} AS {FIX})"
 
 
 # ---- typed access to VARIANT ------------------------------------------------
+# A member that is absent is NULL; a member that is JSON null is not.
 
 
-def _get(v: Column, key: str) -> Column:
-    """The member as VARIANT; NULL when absent (JSON null is not NULL)."""
-    return F.try_variant_get(v, f"$.{key}", "variant")
+def _get(v: str, key: str) -> str:
+    return f"try_variant_get({v}, '$.{key}', 'variant')"
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _kind(v: str) -> str:
+    return f"schema_of_variant({v})"
 
 
-def _text_only(v: Column) -> Column:
+def _text_only(v: str) -> str:
     """The text of a JSON string, NULL for every other kind."""
-    return F.when(_kind(v) == "STRING", v.cast("string"))
+    return f"CASE WHEN {_kind(v)} = 'STRING' THEN CAST({v} AS STRING) END"
 
 
-def _is_number(v: Column) -> Column:
-    return _kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+def _number(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'double')"
 
 
-def _as_float(v: Column) -> Column:
+def _as_float(v: str) -> str:
     """Python's ``float(x)`` of a JSON value; NULL where that raises."""
-    return F.when(
-        _is_number(v) | (_kind(v) == "BOOLEAN"), F.try_variant_get(v, "$", "double")
-    ).when(_kind(v) == "STRING", float_of_text(v.cast("string")))
+    return (
+        f"CASE WHEN {_kind(v)} RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)' THEN {_number(v)} "
+        f"WHEN {_kind(v)} = 'STRING' THEN {float_of_text(f'CAST({v} AS STRING)')} END"
+    )
 
 
-def _as_index(v: Column) -> Column:
+def _as_index(v: str) -> str:
     """A whole number, NULL for anything else."""
-    number = F.try_variant_get(v, "$", "double")
-    return F.when(
-        (_is_number(v) | (_kind(v) == "BOOLEAN")) & (number == F.floor(number)),
-        number.try_cast("int"),
+    return (
+        f"CASE WHEN {_kind(v)} RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)' "
+        f"AND {_number(v)} = floor({_number(v)}) THEN try_cast({_number(v)} AS INT) END"
     )
 
 
-def value_text(v: Column) -> Column:
+def value_text(v: str) -> str:
     """The text Python's ``str`` gives a JSON scalar; JSON text for collections."""
-    kind = _kind(v)
-    number = F.try_variant_get(v, "$", "double")
-    long_int = kind.rlike(r",0\)$") & (F.abs(number) >= 9.2e18)
-    return (
-        F.when(kind == "VOID", F.lit(None).cast("string"))
-        .when(kind.isin("STRING", "BIGINT"), v.cast("string"))
-        .when(kind == "BOOLEAN", F.initcap(v.cast("string")))
-        .when(kind.startswith("DECIMAL") & long_int, v.cast("string"))
-        .when(_is_number(v), float_text(number))
-        .otherwise(v.cast("string"))
+    text = "CAST(val AS STRING)"
+    long_int = "kind LIKE '%,0)' AND abs(try_variant_get(val, '$', 'double')) >= 9.2e18"
+    body = (
+        f"CASE WHEN kind = 'VOID' THEN NULL "
+        f"WHEN kind IN ('STRING', 'BIGINT') THEN {text} "
+        f"WHEN kind = 'BOOLEAN' THEN initcap({text}) "
+        f"WHEN kind LIKE 'DECIMAL%' AND {long_int} THEN {text} "
+        f"WHEN kind RLIKE '^(DOUBLE|DECIMAL)' THEN {float_text(_number('val'))} "
+        f"ELSE {text} END"
     )
+    return let("val", v, let("kind", _kind("val"), body))
 
 
-def _is_untruthy(v: Column) -> Column:
-    kind = _kind(v)
-    return (
-        F.when(kind == "BOOLEAN", ~v.cast("boolean"))
-        .when(_is_number(v), F.try_variant_get(v, "$", "double") == 0)
-        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), v.cast("string").isin("[]", "{}"))
-        .otherwise(F.lit(False))
+def _is_untruthy(v: str) -> str:
+    """0, false and empty collections; NULL and texts are judged by their text."""
+    body = (
+        "CASE WHEN kind = 'BOOLEAN' THEN NOT CAST(val AS BOOLEAN) "
+        f"WHEN kind RLIKE '^(BIGINT|DOUBLE|DECIMAL)' THEN {_number('val')} = 0 "
+        "WHEN kind RLIKE '^(ARRAY|OBJECT)' THEN CAST(val AS STRING) IN ('[]', '{}') "
+        "ELSE false END"
     )
+    return let("val", v, let("kind", _kind("val"), body))
 
 
-def _object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
-
-
-def _ordered_fix(v: Column, payload: Column, path: str) -> Column:
+def _fix_of(v: str, payload: str, path: str) -> str:
     """A JSON object as FIX, keys in the order they were written."""
-    keys = F.json_object_keys(F.get_json_object(payload, path))
-    members = _object(v)
-    return let(
-        members,
-        lambda m: F.struct(
-            F.map_from_arrays(keys, F.transform(keys, lambda k: value_text(m[k]))).alias("data"),
-            F.filter(keys, lambda k: _is_untruthy(m[k])).alias("untruthy"),
-        ),
-    ).cast(FIX)
+    members = f"try_variant_get({v}, '$', 'map<string,variant>')"
+    keys = f"json_object_keys(get_json_object({payload}, '{path}'))"
+    fix = struct(
+        data=f"map_from_arrays(ks, transform(ks, k -> {value_text('m[k]')}))",
+        untruthy=f"filter(ks, k -> {_is_untruthy('m[k]')})",
+    )
+    return f"CAST({let('m', members, let('ks', keys, fix))} AS {FIX})"
 
 
 # ---- envelope, fence, JSON --------------------------------------------------
 
 
-def envelope_text(reply: Column) -> Column:
+def envelope_text(reply: str) -> str:
     """The model's text inside a service reply, or the reply itself."""
-    return let(
-        F.try_parse_json(reply),
-        lambda v: F.coalesce(
-            F.try_variant_get(v, "$.outputs[0].text", "string"),
-            F.try_variant_get(v, "$.choices[0].message.content", "string"),
-            F.try_variant_get(v, "$.content[0].text", "string"),
-            _text_only(_get(v, "content")),
-            reply,
-        ),
+    found = (
+        "coalesce(try_variant_get(env, '$.outputs[0].text', 'string'), "
+        "try_variant_get(env, '$.choices[0].message.content', 'string'), "
+        "try_variant_get(env, '$.content[0].text', 'string'), "
+        f"{_text_only(_get('env', 'content'))}, {reply})"
     )
+    return let("env", f"try_parse_json({reply})", found)
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-
-
-def unfenced(text: Column) -> Column:
+def unfenced(text: str) -> str:
     """What stands in the first ``json`` fence, else the first fence, else all.
 
     A fence that never closes loses the last character, as slicing to -1 does.
     """
-    named = F.instr(text, F.lit(_FENCE + "json"))
-    bare = F.instr(text, F.lit(_FENCE))
-    begin = F.when(named > 0, named + 7).otherwise(bare + 3)
-
-    def cut(at: Column) -> Column:
-        close = F.call_function("locate", F.lit(_FENCE), text, at)
-        size = F.when(close > 0, close - at).otherwise(F.length(text) - at)
-        return _strip(F.substring(text, at, F.greatest(size, F.lit(0))))
-
-    return F.when(bare == 0, text).otherwise(let(begin, cut))
+    opened = (
+        "CASE WHEN instr(txt, '```json') > 0 THEN instr(txt, '```json') + 7 "
+        "ELSE instr(txt, '```') + 3 END"
+    )
+    blank = lit(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
+    inside = (
+        "substring(txt, o, greatest(0, CASE WHEN locate('```', txt, o) > 0 "
+        "THEN locate('```', txt, o) - o ELSE length(txt) - o END))"
+    )
+    cut = let("o", opened, f"regexp_replace({inside}, {blank}, '')")
+    return let("txt", text, f"CASE WHEN instr(txt, '```') = 0 THEN txt ELSE {cut} END")
 
 
-def payload(reply: Column) -> Column:
+def payload(reply: str) -> str:
     return unfenced(envelope_text(reply))
 
 
-def parsed(payload_text: Column) -> Column:
+def parsed(payload_text: str) -> str:
     """The payload as VARIANT when it is one JSON object, else NULL.
 
     Wrapping it in an array with an end mark makes trailing text an error, which
     the parser alone would skip.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), payload_text, F.lit(',"end"]')))
-    return let(
-        F.try_variant_get(wrapped, "$", "array<variant>"),
-        lambda a: F.when(
-            (F.size(a) == 2)
-            & (F.get(a, 1).cast("string") == "end")
-            & _kind(F.get(a, 0)).startswith("OBJECT"),
-            F.get(a, 0),
-        ),
+    wrapped = (
+        f"try_variant_get(try_parse_json(concat('[', {payload_text}, ',\"end\"]')), "
+        "'$', 'array<variant>')"
     )
+    whole = f"size(a) = 2 AND CAST(get(a, 1) AS STRING) = 'end' AND {_kind('get(a, 0)')} LIKE 'OBJECT%'"
+    return let("a", wrapped, f"CASE WHEN {whole} THEN get(a, 0) END")
 
 
 # ---- the four shapes --------------------------------------------------------
 
 
-def classification(v: Column) -> Column:
+def classification(v: str) -> str:
     """STRUCT<document_type, confidence, reasoning>; NULL when unusable."""
-    name = F.when(_get(v, "document_type").isNull(), "unknown").otherwise(
-        F.lower(_text_only(_get(v, "document_type")))
+    name = (
+        f"CASE WHEN {_get(v, 'document_type')} IS NULL THEN 'unknown' "
+        f"ELSE lower({_text_only(_get(v, 'document_type'))}) END"
+    )
+    confidence = (
+        f"CASE WHEN {_get(v, 'confidence')} IS NULL THEN {DEFAULT_CLASS_CONFIDENCE}D "
+        f"ELSE {_as_float(_get(v, 'confidence'))} END"
     )
-    confidence = F.when(
-        _get(v, "confidence").isNull(), F.lit(DEFAULT_CLASS_CONFIDENCE)
-    ).otherwise(_as_float(_get(v, "confidence")))
     why = _get(v, "reasoning")
-    reasoning = F.when(why.isNull(), DEFAULT_REASONING).otherwise(_text_only(why))
-    usable = (
-        v.isNotNull()
-        & name.isNotNull()
-        & confidence.isNotNull()
-        & (why.isNull() | _kind(why).isin("STRING", "VOID"))
+    reasoning = (
+        f"CASE WHEN {why} IS NULL THEN {lit(DEFAULT_REASONING)} ELSE {_text_only(why)} END"
+    )
+    known = ", ".join(lit(t) for t in DOCUMENT_TYPES)
+    result = struct(
+        document_type=f"CASE WHEN n IN ({known}) THEN n ELSE 'unknown' END",
+        confidence="c",
+        reasoning=reasoning,
     )
-    return F.when(
-        usable,
-        F.struct(
-            F.when(name.isin(DOCUMENT_TYPES), name).otherwise("unknown").alias("document_type"),
-            confidence.alias("confidence"),
-            reasoning.alias("reasoning"),
-        ),
+    usable = (
+        f"{v} IS NOT NULL AND n IS NOT NULL AND c IS NOT NULL "
+        f"AND ({why} IS NULL OR {_kind(why)} IN ('STRING', 'VOID'))"
     )
+    return let("n", name, let("c", confidence, f"CASE WHEN {usable} THEN {result} END"))
 
 
-def _text_or(v: Column, key: str, default: str) -> Column:
-    member = _get(v, key)
-    return F.when(member.isNull(), default).otherwise(_text_only(member))
+def _items(v: str, key: str) -> str:
+    """The objects of a listed member; everything else in the list is skipped."""
+    listed = f"try_variant_get({v}, '$.{key}', 'array<variant>')"
+    return f"filter({listed}, x -> {_kind('x')} LIKE 'OBJECT%')"
 
 
-def extracted_fields(v: Column) -> Column:
+def extracted_fields(v: str) -> str:
     """ARRAY<FIELD>; NULL when one bad item spoils the whole reply."""
-    listed = _get(v, "fields")
-    items = F.filter(
-        F.try_variant_get(v, "$.fields", "array<variant>"),
-        lambda x: _kind(x).startswith("OBJECT"),
+
+    def text_or(key: str, default: str) -> str:
+        return (
+            f"CASE WHEN {_get('x', key)} IS NULL THEN {lit(default)} "
+            f"ELSE {_text_only(_get('x', key))} END"
+        )
+
+    field = struct(
+        name=text_or("name", DEFAULT_FIELD_NAME),
+        value=f"CASE WHEN {_get('x', 'value')} IS NULL THEN '' "
+              f"ELSE {value_text(_get('x', 'value'))} END",
+        confidence=f"CASE WHEN {_get('x', 'confidence')} IS NULL "
+                   f"THEN {DEFAULT_FIELD_CONFIDENCE}D ELSE {_as_float(_get('x', 'confidence'))} END",
+        data_type=text_or("data_type", DEFAULT_DATA_TYPE),
     )
-    fields = F.transform(
-        items,
-        lambda x: F.struct(
-            _text_or(x, "name", DEFAULT_FIELD_NAME).alias("name"),
-            F.when(_get(x, "value").isNull(), "")
-            .otherwise(value_text(_get(x, "value")))
-            .alias("value"),
-            F.when(_get(x, "confidence").isNull(), F.lit(DEFAULT_FIELD_CONFIDENCE))
-            .otherwise(_as_float(_get(x, "confidence")))
-            .alias("confidence"),
-            _text_or(x, "data_type", DEFAULT_DATA_TYPE).alias("data_type"),
-        ),
+    sound = (
+        "forall(fs, f -> f.name IS NOT NULL AND f.data_type IS NOT NULL "
+        "AND coalesce(f.confidence BETWEEN 0 AND 1, false))"
     )
-    sound = F.forall(
-        fields,
-        lambda f: f["name"].isNotNull()
-        & f["data_type"].isNotNull()
-        & F.coalesce(f["confidence"].between(0.0, 1.0), F.lit(False)),
+    read = let(
+        "fs",
+        f"transform({_items(v, 'fields')}, x -> {field})",
+        f"CASE WHEN {sound} THEN fs END",
     )
     return (
-        F.when(listed.isNull() | _kind(listed).rlike("^(OBJECT|STRING)"), empty(FIELD))
-        .when(_kind(listed).startswith("ARRAY"), F.when(sound, fields))
-        .cast(f"array<{FIELD}>")
+        f"CAST(CASE WHEN {v} IS NULL THEN NULL "
+        f"WHEN {_get(v, 'fields')} IS NULL THEN array() "
+        f"WHEN {_kind(_get(v, 'fields'))} RLIKE '^(OBJECT|STRING)' THEN array() "
+        f"WHEN {_kind(_get(v, 'fields'))} LIKE 'ARRAY%' THEN {read} END AS array<{FIELD}>)"
     )
 
 
-def structured_data(v: Column, payload_text: Column, fields: Column) -> Column:
+def structured_data(v: str, payload_text: str, fields: str) -> str:
     """I8: FIX of ``structured_data``, or of the fields when that is empty.
 
     NULL when it is neither an object nor replaceable by fields.
     """
     member = _get(v, "structured_data")
-    is_object = _kind(member).startswith("OBJECT")
-    is_empty = member.isNull() | (_kind(member) == "VOID") | (
-        (_kind(member) == "STRING") & (member.cast("string") == "")
-    ) | _is_untruthy(member)
-    names = F.transform(fields, lambda f: f["name"])
-    raw = F.filter(
-        F.try_variant_get(v, "$.fields", "array<variant>"),
-        lambda x: _kind(x).startswith("OBJECT"),
+    flags = f"transform({_items(v, 'fields')}, y -> coalesce({_is_untruthy(_get('y', 'value'))}, false))"
+    names = f"transform({fields}, f -> f.name)"
+    from_fields = struct(
+        data=last_wins_map("ns", f"transform({fields}, f -> f.value)"),
+        untruthy=f"map_keys(map_filter({last_wins_map('ns', flags)}, (fk, falsy) -> falsy))",
+    )
+    is_empty = (
+        f"({member} IS NULL OR {_kind(member)} = 'VOID' "
+        f"OR ({_kind(member)} = 'STRING' AND CAST({member} AS STRING) = '') "
+        f"OR {_is_untruthy(member)})"
     )
-    flags = F.transform(raw, lambda x: F.coalesce(_is_untruthy(_get(x, "value")), F.lit(False)))
-    from_fields = let(
-        last_wins_map(names, flags),
-        lambda falsy: F.struct(
-            last_wins_map(names, F.transform(fields, lambda f: f["value"])).alias("data"),
-            F.map_keys(F.map_filter(falsy, lambda _, is_falsy: is_falsy)).alias("untruthy"),
-        ),
-    ).cast(FIX)
     return (
-        F.when(is_empty & (F.size(fields) > 0), from_fields)
-        .when(is_object, _ordered_fix(member, payload_text, "$.structured_data"))
-        .when(member.isNull(), _no_fix())
+        f"CASE WHEN {v} IS NULL THEN NULL "
+        f"WHEN {is_empty} AND size({fields}) > 0 "
+        f"THEN CAST({let('ns', names, from_fields)} AS {FIX}) "
+        f"WHEN {_kind(member)} LIKE 'OBJECT%' "
+        f"THEN {_fix_of(member, payload_text, '$.structured_data')} "
+        f"WHEN {member} IS NULL THEN {_NO_FIX} END"
     )
 
 
-def _no_fix() -> Column:
-    return F.struct(
-        F.create_map().cast("map<string,string>").alias("data"),
-        F.array().cast("array<string>").alias("untruthy"),
-    ).cast(FIX)
-
-
-def average_confidence(fields: Column) -> Column:
+def average_confidence(fields: str) -> str:
     """0 without fields."""
-    total = F.aggregate(fields, F.lit(0.0), lambda acc, f: acc + f["confidence"])
-    return F.when(F.size(fields) > 0, total / F.size(fields)).otherwise(F.lit(0.0))
+    total = f"aggregate({fields}, 0D, (acc, f) -> acc + f.confidence)"
+    return f"CASE WHEN size({fields}) > 0 THEN {total} / size({fields}) ELSE 0D END"
 
 
-def model_spans(v: Column) -> Column:
+def model_spans(v: str) -> str:
     """ARRAY<SPAN> of a detection reply; one bad span empties the list.
 
     Types that cannot be mapped are dropped before they can be bad.
     """
 
-    def read(x: Column) -> Column:
-        name = F.when(_get(x, "type").isNull(), "").otherwise(_text_only(_get(x, "type")))
-        value = F.when(_get(x, "value").isNull(), "").otherwise(_text_only(_get(x, "value")))
-        start = F.when(_get(x, "start").isNull(), 0).otherwise(_as_index(_get(x, "start")))
-        stop = _get(x, "end")
-        end = (
-            F.when(stop.isNull(), start + F.length(value))
-            .when(_kind(stop) == "STRING", F.trim(stop.cast("string")).try_cast("int"))
-            .otherwise(_as_index(stop))
-        )
-        sure = F.when(_get(x, "confidence").isNull(), F.lit(MODEL_CONFIDENCE)).otherwise(
-            _as_float(_get(x, "confidence"))
-        )
-        kind = type_for(name)
-        return F.struct(
-            name.isNull().alias("nameless"),
-            make_span(kind, value, mask_for(kind), start, end, sure).alias("span"),
+    def text_or_empty(key: str) -> str:
+        return (
+            f"CASE WHEN {_get('x', key)} IS NULL THEN '' ELSE {_text_only(_get('x', key))} END"
         )
 
-    items = F.transform(
-        F.filter(
-            F.try_variant_get(v, "$.pii_entities", "array<variant>"),
-            lambda x: _kind(x).startswith("OBJECT"),
-        ),
-        read,
+    start = f"CASE WHEN {_get('x', 'start')} IS NULL THEN 0 ELSE {_as_index(_get('x', 'start'))} END"
+    stop = _get("x", "end")
+    end = (
+        f"CASE WHEN {stop} IS NULL THEN st + length(va) "
+        f"WHEN {_kind(stop)} = 'STRING' THEN try_cast(trim(CAST({stop} AS STRING)) AS INT) "
+        f"ELSE {_as_index(stop)} END"
+    )
+    sure = (
+        f"CASE WHEN {_get('x', 'confidence')} IS NULL THEN {MODEL_CONFIDENCE}D "
+        f"ELSE {_as_float(_get('x', 'confidence'))} END"
     )
-    known = F.filter(items, lambda i: i["nameless"] | i["span"]["pii_type"].isNotNull())
-    sound = F.forall(
-        known,
-        lambda i: ~i["nameless"]
-        & i["span"]["original_value"].isNotNull()
-        & i["span"]["start_index"].isNotNull()
-        & i["span"]["end_index"].isNotNull()
-        & F.coalesce(i["span"]["confidence"].between(0.0, 1.0), F.lit(False)),
+    item = struct(
+        nameless="na IS NULL",
+        span=make_span("ty", "va", mask_for("ty"), "st", end, sure),
     )
-    return F.coalesce(
-        F.when(sound, F.transform(known, lambda i: i["span"])), empty(SPAN)
-    ).cast(f"array<{SPAN}>")
+    read = let(
+        "na",
+        text_or_empty("type"),
+        let("ty", type_for("na"), let("va", text_or_empty("value"), let("st", start, item))),
+    )
+    known = (
+        f"filter(transform({_items(v, 'pii_entities')}, x -> {read}), "
+        "i -> i.nameless OR i.span.pii_type IS NOT NULL)"
+    )
+    sound = (
+        "forall(known, i -> NOT i.nameless AND i.span.original_value IS NOT NULL "
+        "AND i.span.start_index IS NOT NULL AND i.span.end_index IS NOT NULL "
+        "AND coalesce(i.span.confidence BETWEEN 0 AND 1, false))"
+    )
+    spans = let("known", known, f"CASE WHEN {sound} THEN transform(known, i -> i.span) END")
+    return f"coalesce(CAST({spans} AS array<{SPAN}>), {empty(SPAN)})"
 
 
-def corrections(v: Column, payload_text: Column) -> Column:
+def corrections(v: str, payload_text: str) -> str:
     """FIX of ``corrected_fields``; NULL when the reply has none to use."""
     member = _get(v, "corrected_fields")
     return (
-        F.when(
-            _kind(member).startswith("OBJECT"),
-            _ordered_fix(member, payload_text, "$.corrected_fields"),
-        )
-        .when(v.isNotNull() & member.isNull(), _no_fix())
+        f"CASE WHEN {_kind(member)} LIKE 'OBJECT%' "
+        f"THEN {_fix_of(member, payload_text, '$.corrected_fields')} "
+        f"WHEN {v} IS NOT NULL AND {member} IS NULL THEN {_NO_FIX} END"
     )

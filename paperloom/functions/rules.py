@@ -1,11 +1,8 @@
-"""Catalogue rules as Column expressions (V1-V8)."""
+"""Catalogue rules (V1-V8)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from paperloom.functions.basics import empty, let, merge_maps, reads_as_float
+from paperloom.functions.basics import empty, let, lit, merge_maps, reads_as_float, struct
 from paperloom.functions.fixed_values import DOCUMENT_RULES, INVOICE_NUMERIC, RECEIPT_NUMERIC
 
 ERROR = (
@@ -18,166 +15,127 @@ STATE = (
     "struct<data:map<string,string>,untruthy:array<string>,"
     f"errors:array<{ERROR}>,attempts:int,visits:array<{VISIT}>>"
 )
+_NONE = "CAST(NULL AS STRING)"
 
 
-def _error(field: str, kind: str, message: Column, expected=None, actual=None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(field).alias("field_name"),
-        F.lit(kind).alias("error_type"),
-        message.alias("error_message"),
-        (none if expected is None else expected).alias("expected_value"),
-        (none if actual is None else actual).alias("actual_value"),
-        F.lit("error").alias("severity"),
-    )
-
-
-def _numeric(field: str, value: Column, applies: Column) -> Column:
-    text = F.coalesce(value, F.lit("None"))
-    stripped = F.replace(F.replace(text, F.lit(","), F.lit("")), F.lit("$"), F.lit(""))
-    return F.when(
-        applies & ~reads_as_float(stripped),
-        _error(field, "invalid_type", F.lit(f"{field} must be numeric"), actual=value),
+def _error(field: str, kind: str, message: str, expected: str = _NONE, actual: str = _NONE) -> str:
+    return struct(
+        field_name=lit(field),
+        error_type=lit(kind),
+        error_message=message,
+        expected_value=expected,
+        actual_value=actual,
+        severity="'error'",
     )
 
 
-def _checks(doc_type: str, rule: tuple, data: Column, untruthy: Column) -> list[Column]:
+def _checks(doc_type: str, rule: tuple, data: str, untruthy: str) -> list[str]:
     required, _, patterns = rule
 
-    def value(field: str) -> Column:
-        return F.try_element_at(data, F.lit(field))
+    def value(field: str) -> str:
+        return f"try_element_at({data}, {lit(field)})"
 
-    def truthy(field: str) -> Column:
-        return (F.coalesce(value(field), F.lit("")) != "") & ~F.array_contains(untruthy, field)
+    def truthy(field: str) -> str:
+        return (
+            f"(coalesce({value(field)}, '') <> '' "
+            f"AND NOT array_contains({untruthy}, {lit(field)}))"
+        )
 
-    checks = [
-        F.when(
-            F.coalesce(value(field), F.lit("")) == "",
-            _error(
-                field, "missing_required", F.lit(f"Required field '{field}' is missing or empty")
-            ),
+    def numeric(field: str, applies: str) -> str:
+        stripped = f"replace(replace(coalesce({value(field)}, 'None'), ',', ''), '$', '')"
+        error = _error(
+            field, "invalid_type", lit(f"{field} must be numeric"), actual=value(field)
         )
-        for field in required
-    ]
-    checks += [
-        F.when(
-            truthy(field) & ~value(field).rlike("(?d)" + pattern),
-            _error(
-                field,
-                "pattern_mismatch",
-                F.concat(
-                    F.lit(f"Field '{field}' value '"),
-                    value(field),
-                    F.lit("' does not match expected pattern"),
-                ),
-                expected=F.lit(pattern),
-                actual=value(field),
-            ),
+        return f"CASE WHEN {applies} AND NOT {reads_as_float(stripped)} THEN {error} END"
+
+    checks = []
+    for field in required:
+        error = _error(field, "missing_required",
+                       lit(f"Required field '{field}' is missing or empty"))
+        checks.append(f"CASE WHEN coalesce({value(field)}, '') = '' THEN {error} END")
+    for field, pattern in patterns.items():
+        opening = lit(f"Field '{field}' value '")
+        closing = lit("' does not match expected pattern")
+        error = _error(
+            field,
+            "pattern_mismatch",
+            f"concat({opening}, {value(field)}, {closing})",
+            expected=lit(pattern),
+            actual=value(field),
         )
-        for field, pattern in patterns.items()
-    ]
+        fails = f"NOT ({value(field)} RLIKE {lit('(?d)' + pattern)})"
+        checks.append(f"CASE WHEN {truthy(field)} AND {fails} THEN {error} END")
     if doc_type == "invoice":
-        checks += [
-            _numeric(f, value(f), F.map_contains_key(data, f)) for f in INVOICE_NUMERIC
-        ]
+        checks += [numeric(f, f"map_contains_key({data}, {lit(f)})") for f in INVOICE_NUMERIC]
     elif doc_type == "receipt":
-        checks += [_numeric(f, value(f), truthy(f)) for f in RECEIPT_NUMERIC]
+        checks += [numeric(f, truthy(f)) for f in RECEIPT_NUMERIC]
     return checks
 
 
 def rule_errors(
-    document_type: Column, data: Column, untruthy: Column, rules: dict = DOCUMENT_RULES
-) -> Column:
+    document_type: str, data: str, untruthy: str, rules: dict = DOCUMENT_RULES
+) -> str:
     """V1-V5: errors of one record, in catalogue order.
 
     ``data`` holds values as text; ``untruthy`` names the keys whose typed value
     was 0, false or an empty collection, which pattern rules skip. Types without
     rules have no errors; a NULL ``data`` is the one error ``missing_data``.
     """
-    no_data = F.array(
-        _error("extracted_data", "missing_data", F.lit("No extracted data to validate"))
-    )
-    errors = F.when(data.isNull(), no_data)
+    no_data = _error("extracted_data", "missing_data", lit("No extracted data to validate"))
+    cases = [f"WHEN {data} IS NULL THEN array({no_data})"]
     for doc_type, rule in rules.items():
-        errors = errors.when(
-            document_type == doc_type,
-            F.array_compact(F.array(*_checks(doc_type, rule, data, untruthy))),
+        checks = ", ".join(_checks(doc_type, rule, data, untruthy))
+        cases.append(
+            f"WHEN {document_type} = {lit(doc_type)} THEN array_compact(array({checks}))"
         )
-    return F.coalesce(errors.cast(f"array<{ERROR}>"), empty(ERROR))
+    return f"CAST(CASE {' '.join(cases)} ELSE array() END AS array<{ERROR}>)"
 
 
 def repair_rounds(
-    document_type: Column,
-    data: Column,
-    untruthy: Column,
-    fixes: Column,
-    rules: dict = DOCUMENT_RULES,
-) -> Column:
+    document_type: str, data: str, untruthy: str, fixes: str, rules: dict = DOCUMENT_RULES
+) -> str:
     """V7, V8: validate, then use one correction per round while errors remain.
 
     ``fixes`` is an array of FIX, one per allowed attempt (NULL or an empty map
     where the attempt brought nothing). The bound is the length of that array, so
     the loop is a fold inside the row: no join and no pass over the data per
-    round. A NULL ``data`` is never repaired. Returns STATE.
+    round. A NULL ``data`` is never repaired. Gives STATE.
     """
 
-    def visit(fields: Column, errors: Column, attempts: Column) -> Column:
-        return F.array(
-            F.struct(
-                F.size(fields).alias("n_fields"),
-                (F.size(errors) == 0).alias("is_valid"),
-                F.size(errors).alias("n_errors"),
-                attempts.alias("attempts"),
-            )
-        )
-
-    def state(data, untruthy, errors, attempts, visits) -> Column:
-        return F.struct(
-            data.alias("data"),
-            untruthy.alias("untruthy"),
-            errors.alias("errors"),
-            attempts.alias("attempts"),
-            visits.alias("visits"),
-        )
-
-    def attempt(acc: Column, fix: Column) -> Column:
-        used = F.coalesce(F.size(fix["data"]) > 0, F.lit(False))
-        new_data = F.when(used, merge_maps(acc["data"], fix["data"])).otherwise(acc["data"])
-        new_untruthy = F.when(
-            used,
-            F.array_union(
-                F.array_except(acc["untruthy"], F.map_keys(fix["data"])), fix["untruthy"]
-            ),
-        ).otherwise(acc["untruthy"])
-
-        def check(candidate: Column) -> Column:
-            errors = F.when(
-                used, rule_errors(document_type, candidate["data"], candidate["untruthy"], rules)
-            ).otherwise(acc["errors"])
-            return let(
-                errors,
-                lambda e: state(
-                    candidate["data"],
-                    candidate["untruthy"],
-                    e,
-                    acc["attempts"] + 1,
-                    F.concat(acc["visits"], visit(candidate["data"], e, acc["attempts"] + 1)),
-                ),
-            )
-
-        repaired = let(F.struct(new_data.alias("data"), new_untruthy.alias("untruthy")), check)
-        return F.when(acc["data"].isNull() | (F.size(acc["errors"]) == 0), acc).otherwise(repaired)
-
-    def start(errors: Column) -> Column:
-        final = (F.size(errors) == 0) | (F.size(fixes) == 0)
-        visits = (
-            F.when(data.isNull(), empty(VISIT))
-            .when(final, visit(data, errors, F.lit(0)))
-            .otherwise(empty(VISIT))
-        )
-        return state(data, untruthy, errors, F.lit(0), visits).cast(STATE)
-
-    return let(
-        rule_errors(document_type, data, untruthy, rules),
-        lambda errors: F.aggregate(fixes, start(errors), attempt),
+    def visit(fields: str, errors: str, attempts: str) -> str:
+        return "array(" + struct(
+            n_fields=f"size({fields})",
+            is_valid=f"size({errors}) = 0",
+            n_errors=f"size({errors})",
+            attempts=attempts,
+        ) + ")"
+
+    visits = (
+        f"CASE WHEN {data} IS NULL THEN {empty(VISIT)} "
+        f"WHEN size(e0) = 0 OR size({fixes}) = 0 THEN {visit(data, 'e0', '0')} "
+        f"ELSE {empty(VISIT)} END"
+    )
+    start = struct(data=data, untruthy=untruthy, errors="e0", attempts="0", visits=visits)
+    used = "coalesce(size(fix.data) > 0, false)"
+    candidate = struct(
+        data=f"CASE WHEN {used} THEN {merge_maps('acc.data', 'fix.data')} ELSE acc.data END",
+        untruthy=f"CASE WHEN {used} THEN array_union(array_except(acc.untruthy, "
+                 "map_keys(fix.data)), fix.untruthy) ELSE acc.untruthy END",
+    )
+    checked = (
+        f"CASE WHEN {used} THEN {rule_errors(document_type, 'c.data', 'c.untruthy', rules)} "
+        f"ELSE acc.errors END"
+    )
+    after = struct(
+        data="c.data",
+        untruthy="c.untruthy",
+        errors="e",
+        attempts="acc.attempts + 1",
+        visits=f"concat(acc.visits, {visit('c.data', 'e', 'acc.attempts + 1')})",
+    )
+    attempt = (
+        "CASE WHEN acc.data IS NULL OR size(acc.errors) = 0 THEN acc "
+        f"ELSE {let('c', candidate, let('e', checked, after))} END"
     )
+    fold = f"aggregate({fixes}, CAST({start} AS {STATE}), (acc, fix) -> {attempt})"
+    return let("e0", rule_errors(document_type, data, untruthy, rules), fold)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from paperloom.functions.basics import empty, let, lookup
+from paperloom.functions.basics import empty, let, lit, lookup, struct
 from paperloom.functions.fixed_values import (
     CONTEXT_CHARS,
     DEFAULT_MASK,
@@ -19,156 +16,128 @@ SPAN = (
     "struct<pii_type:string,original_value:string,masked_value:string,"
     "start_index:int,end_index:int,confidence:double>"
 )
-_HITS = "struct<upto:int,spans:array<" + SPAN + ">>"
 
 # Same case, word and line rules as the patterns were written for: ignore case,
 # Unicode classes, and only \n ends a line.
 _FLAGS = "(?iUd)"
 
-# No pattern can match a text without one of these, so one cheap scan decides
-# whether the fourteen patterns are tried at all. Exact, not a sample.
+# No pattern can match a text without an @ or one of these, so one cheap scan
+# decides whether the fourteen patterns are tried at all. Exact, not a sample.
 _NEEDS_DIGITS = r"(?U)\d{3}|\d[./-]\d"
 
+# Where a fold over spans stands: the position reached and the spans so far.
+_START = f"CAST({struct(upto='0', spans=empty(SPAN))} AS struct<upto:int,spans:array<{SPAN}>>)"
+
 
-def may_hold_pii(text: Column) -> Column:
-    return F.contains(text, F.lit("@")) | text.rlike(_NEEDS_DIGITS)
+def may_hold_pii(text: str) -> str:
+    return f"(contains({text}, '@') OR {text} RLIKE {lit(_NEEDS_DIGITS)})"
 
 
-def mask_for(pii_type: Column) -> Column:
+def mask_for(pii_type: str) -> str:
     """The mask of a type."""
-    return F.coalesce(lookup(PII_MASKS, pii_type), F.lit(DEFAULT_MASK))
+    return f"coalesce({lookup(PII_MASKS, pii_type)}, {lit(DEFAULT_MASK)})"
 
 
-def type_for(name: Column) -> Column:
-    """The type a model's name stands for, NULL when unknown."""
-    return lookup(PII_ALIASES, F.replace(F.lower(name), F.lit(" "), F.lit("_")))
+def type_for(name: str) -> str:
+    """The type a model's name stands for, NULL when unknown."""
+    return lookup(PII_ALIASES, f"replace(lower({name}), ' ', '_')")
 
 
-def make_span(pii_type, value, mask, start, end, confidence) -> Column:
-    return F.struct(
-        pii_type.cast("string").alias("pii_type"),
-        value.cast("string").alias("original_value"),
-        mask.cast("string").alias("masked_value"),
-        start.cast("int").alias("start_index"),
-        end.cast("int").alias("end_index"),
-        confidence.cast("double").alias("confidence"),
+def make_span(pii_type: str, value: str, mask: str, start: str, end: str, confidence: str) -> str:
+    return struct(
+        pii_type=pii_type,
+        original_value=value,
+        masked_value=mask,
+        start_index=start,
+        end_index=end,
+        confidence=f"CAST({confidence} AS DOUBLE)",
     )
 
 
-def _spans_of(text: Column, pii_type: str, pattern: str, group: int) -> Column:
+def _spans_of(text: str, pii_type: str, pattern: str, group: int) -> str:
     """All matches of one pattern.
 
     Spark has no function that returns match offsets, but the text between the
-    matches is what ``split`` returns, so lengths of the gaps and matches before
-    a match add up to its start.
+    matches is what ``split`` returns, so the lengths of the gaps and matches
+    before a match add up to its start.
     """
-    regex = F.lit(_FLAGS + pattern)
-    whole = F.regexp_extract_all(text, regex, F.lit(0))
-    value = F.regexp_extract_all(text, regex, F.lit(group)) if group else whole
-    matches = F.zip_with(
-        whole, value, lambda m, v: F.struct(m.alias("whole"), v.alias("value"))
+    regex = lit(_FLAGS + pattern)
+    whole = f"regexp_extract_all({text}, {regex}, 0)"
+    value = f"regexp_extract_all({text}, {regex}, {group})" if group else whole
+    matches = f"zip_with({whole}, {value}, (m, v) -> {struct(whole='m', value='v')})"
+    steps = (
+        f"zip_with(split({text}, {regex}, -1), {matches}, "
+        f"(g, h) -> {struct(gap='length(g)', hit='h')})"
     )
-    steps = F.zip_with(
-        F.split(text, _FLAGS + pattern, -1),
-        matches,
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")),
+    start = "(acc.upto + step.gap)"
+    end = f"({start} + length(step.hit.whole))"
+    found = make_span(
+        lit(pii_type), "step.hit.value", lit(PII_MASKS[pii_type]), start, end,
+        str(PATTERN_CONFIDENCE),
     )
-    mask = F.lit(PII_MASKS[pii_type])
-
-    def add(acc: Column, step: Column) -> Column:
-        start = acc["upto"] + step["gap"]
-        end = start + F.length(step["m"]["whole"])
-        found = make_span(
-            F.lit(pii_type), step["m"]["value"], mask, start, end, F.lit(PATTERN_CONFIDENCE)
-        )
-        return F.when(step["m"].isNull(), acc).otherwise(
-            F.struct(end.alias("upto"), F.concat(acc["spans"], F.array(found)).alias("spans"))
-        )
-
-    start = F.struct(F.lit(0).alias("upto"), empty(SPAN).alias("spans")).cast(_HITS)
-    found = F.aggregate(steps, start, add, lambda acc: acc["spans"])
-    return F.when(text.rlike(_FLAGS + pattern), found).otherwise(empty(SPAN))
+    grown = struct(upto=end, spans=f"concat(acc.spans, array({found}))")
+    fold = (
+        f"aggregate({steps}, {_START}, (acc, step) -> "
+        f"CASE WHEN step.hit IS NULL THEN acc ELSE {grown} END, acc -> acc.spans)"
+    )
+    return f"CASE WHEN {text} RLIKE {regex} THEN {fold} ELSE {empty(SPAN)} END"
 
 
-def pattern_spans(text: Column) -> Column:
+def pattern_spans(text: str) -> str:
     """Spans of every pattern, in catalogue order, overlaps kept."""
-    every = F.concat(*[_spans_of(text, *entry) for entry in PII_PATTERNS])
-    return F.when(may_hold_pii(text), every).otherwise(empty(SPAN))
+    every = ", ".join(_spans_of(text, *entry) for entry in PII_PATTERNS)
+    return f"CASE WHEN {may_hold_pii(text)} THEN concat({every}) ELSE {empty(SPAN)} END"
 
 
-def context(text: Column, span: Column) -> Column:
+def context(text: str, span: str) -> str:
     """R2: the span with up to 20 characters on either side."""
-    left = F.greatest(F.lit(0), span["start_index"] - CONTEXT_CHARS)
-    return F.substring(text, left + 1, span["end_index"] + CONTEXT_CHARS - left)
+    left = f"greatest(0, {span}.start_index - {CONTEXT_CHARS})"
+    return f"substring({text}, {left} + 1, {span}.end_index + {CONTEXT_CHARS} - {left})"
 
 
-def overlaps(a: Column, b: Column) -> Column:
+def overlaps(a: str, b: str) -> str:
     """Half-open intervals share a position."""
-    return ~((a["end_index"] <= b["start_index"]) | (b["end_index"] <= a["start_index"]))
+    return f"NOT ({a}.end_index <= {b}.start_index OR {b}.end_index <= {a}.start_index)"
+
+
+def in_start_order(spans: str) -> str:
+    keyed = f"transform({spans}, (s, i) -> {struct(at='s.start_index', i='i', span='s')})"
+    return f"transform(array_sort({keyed}), k -> k.span)"
 
 
-def merge_spans(found: Column, modelled: Column) -> Column:
+def merge_spans(found: str, modelled: str) -> str:
     """Add model spans to pattern spans.
 
     A model span replaces the first span it overlaps only when strictly more
     confident, and then goes last; without an overlap it is appended. The result
     is in start order, earlier entries first on ties.
     """
-
-    def add(acc: Column, new: Column) -> Column:
-        hit = F.array_position(F.transform(acc, lambda s: overlaps(s, new)), True).cast("int")
-        return let(
-            hit,
-            lambda at: F.when(at == 0, F.concat(acc, F.array(new)))
-            .when(
-                F.try_element_at(acc, F.greatest(at, F.lit(1)))["confidence"] < new["confidence"],
-                F.concat(F.filter(acc, lambda _, i: i + 1 != at), F.array(new)),
-            )
-            .otherwise(acc),
-        )
-
-    return in_start_order(F.aggregate(modelled, found, add))
-
-
-def in_start_order(spans: Column) -> Column:
-    keyed = F.transform(
-        spans, lambda s, i: F.struct(s["start_index"].alias("at"), i.alias("i"), s.alias("span"))
+    hit = f"CAST(array_position(transform(acc, s -> {overlaps('s', 'new')}), true) AS INT)"
+    choice = (
+        "CASE WHEN hit = 0 THEN concat(acc, array(new)) "
+        "WHEN try_element_at(acc, greatest(hit, 1)).confidence < new.confidence "
+        "THEN concat(filter(acc, (s, i) -> i + 1 <> hit), array(new)) ELSE acc END"
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["span"])
+    merged = f"aggregate({modelled}, {found}, (acc, new) -> {let('hit', hit, choice)})"
+    return f"CASE WHEN size({modelled}) > 0 THEN {in_start_order(merged)} " \
+           f"ELSE {in_start_order(found)} END"
 
 
-def resolve(text: Column, spans: Column) -> Column:
+def resolve(text: str, spans: str) -> str:
     """Non-overlapping spans: leftmost, then longest, then first listed.
 
     Spans that do not lie inside the text, or hold no text, are dropped.
     """
-    size = F.length(text)
-    sound = F.filter(
-        spans,
-        lambda s: (s["start_index"] >= 0)
-        & (s["start_index"] < s["end_index"])
-        & (s["end_index"] <= size)
-        & (s["original_value"] != ""),
+    sound = (
+        f"filter({spans}, s -> s.start_index >= 0 AND s.start_index < s.end_index "
+        f"AND s.end_index <= length({text}) AND s.original_value <> '')"
     )
-    keyed = F.array_sort(
-        F.transform(
-            sound,
-            lambda s, i: F.struct(
-                s["start_index"].alias("at"),
-                (-s["end_index"]).alias("longest"),
-                i.alias("i"),
-                s.alias("span"),
-            ),
-        )
+    keyed = (
+        f"array_sort(transform({sound}, (s, i) -> "
+        f"{struct(at='s.start_index', longest='-s.end_index', i='i', span='s')}))"
+    )
+    grown = struct(upto="k.span.end_index", spans="concat(acc.spans, array(k.span))")
+    return (
+        f"aggregate({keyed}, {_START}, (acc, k) -> "
+        f"CASE WHEN k.at < acc.upto THEN acc ELSE {grown} END, acc -> acc.spans)"
     )
-
-    def keep(acc: Column, k: Column) -> Column:
-        return F.when(k["at"] < acc["upto"], acc).otherwise(
-            F.struct(
-                k["span"]["end_index"].alias("upto"),
-                F.concat(acc["spans"], F.array(k["span"])).alias("spans"),
-            )
-        )
-
-    start = F.struct(F.lit(0).alias("upto"), empty(SPAN).alias("spans")).cast(_HITS)
-    return F.aggregate(keyed, start, keep, lambda acc: acc["spans"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import replies as R
-from paperloom.functions.basics import empty, let
+from paperloom.functions.basics import empty, let, lit
 from paperloom.functions.fixed_values import MAX_REPAIR_ATTEMPTS
 from paperloom.functions.rules import FIX
 
@@ -55,7 +55,7 @@ def gather(replies: DataFrame, max_repairs: int = MAX_REPAIR_ATTEMPTS) -> DataFr
         "classify",
         "extract",
         "detect_pii",
-        (F.array(*slots) if slots else empty(_ANSWER)).alias("repairs"),
+        (F.array(*slots) if slots else F.expr(empty(_ANSWER))).alias("repairs"),
     )
 
 
@@ -66,36 +66,34 @@ def attach(docs: DataFrame, gathered: DataFrame) -> DataFrame:
 
 def payloads(replies: DataFrame) -> DataFrame:
     """The payload text of each reply and whether it is a JSON object."""
-    texts = replies.withColumn("payload", R.payload(F.col("reply")))
-    return texts.withColumn("is_json", R.parsed(F.col("payload")).isNotNull())
-
-
-def _why(answer: str, prefix: str, usable: Column) -> Column:
-    reason = (
-        F.when(F.col(answer).isNull(), "no reply")
-        .when(F.col(f"{answer}.error").isNotNull(), F.col(f"{answer}.error"))
-        .when(F.col("_v").isNull(), "Invalid JSON in response")
-        .otherwise("unusable reply")
-    )
-    return F.when(~usable, F.concat(F.lit(f"{prefix} failed: "), reason))
+    texts = replies.withColumn("payload", F.expr(R.payload("reply")))
+    return texts.withColumn("is_json", F.expr(f"{R.parsed('payload')} IS NOT NULL"))
 
 
 def _parse(df: DataFrame, answer: str) -> DataFrame:
     """Columns ``_p`` (payload text) and ``_v`` (VARIANT); NULL after an error."""
-    text = F.when(F.col(f"{answer}.error").isNull(), F.col(f"{answer}.reply"))
-    return df.withColumn("_p", R.payload(text)).withColumn("_v", R.parsed(F.col("_p")))
+    text = f"CASE WHEN {answer}.error IS NULL THEN {answer}.reply END"
+    return df.withColumn("_p", F.expr(R.payload(text))).withColumn("_v", F.expr(R.parsed("_p")))
+
+
+def _why(answer: str, prefix: str, usable: str) -> Column:
+    return F.expr(
+        f"CASE WHEN NOT ({usable}) THEN concat({lit(prefix + ' failed: ')}, "
+        f"CASE WHEN {answer} IS NULL THEN 'no reply' "
+        f"WHEN {answer}.error IS NOT NULL THEN {answer}.error "
+        f"WHEN _v IS NULL THEN 'Invalid JSON in response' ELSE 'unusable reply' END) END"
+    )
 
 
 def read_classification(df: DataFrame, answer: str = "classify") -> DataFrame:
     """Adds document_type, classification_confidence, reasoning, classify_error."""
-    read = _parse(df, answer).withColumn("_c", R.classification(F.col("_v")))
-    usable = F.col("_c").isNotNull()
+    read = _parse(df, answer).withColumn("_c", F.expr(R.classification("_v")))
     return read.withColumns(
         {
-            "document_type": F.coalesce(F.col("_c.document_type"), F.lit("unknown")),
-            "classification_confidence": F.coalesce(F.col("_c.confidence"), F.lit(0.0)),
+            "document_type": F.expr("coalesce(_c.document_type, 'unknown')"),
+            "classification_confidence": F.expr("coalesce(_c.confidence, 0D)"),
             "reasoning": F.col("_c.reasoning"),
-            "classify_error": _why(answer, "Classification", usable),
+            "classify_error": _why(answer, "Classification", "_c IS NOT NULL"),
         }
     ).drop("_p", "_v", "_c")
 
@@ -107,26 +105,25 @@ def read_extraction(df: DataFrame, answer: str = "extract") -> DataFrame:
     """
     read = (
         _parse(df, answer)
-        .withColumn("_f", R.extracted_fields(F.col("_v")))
-        .withColumn("_s", R.structured_data(F.col("_v"), F.col("_p"), F.col("_f")))
+        .withColumn("_f", F.expr(R.extracted_fields("_v")))
+        .withColumn("_s", F.expr(R.structured_data("_v", "_p", "_f")))
     )
-    usable = F.col("_v").isNotNull() & F.col("_f").isNotNull() & F.col("_s").isNotNull()
+    ok = "_v IS NOT NULL AND _f IS NOT NULL AND _s IS NOT NULL"
+
+    def if_ok(value: str, otherwise: str) -> Column:
+        return F.expr(f"CASE WHEN {ok} THEN {value} ELSE {otherwise} END")
+
     return (
-        read.withColumn("_ok", usable)
-        .withColumns(
+        read.withColumns(
             {
-                "fields": F.when(F.col("_ok"), F.col("_f")).otherwise(empty(R.FIELD)),
-                "structured_data": F.when(F.col("_ok"), F.col("_s.data")).otherwise(
-                    F.create_map().cast("map<string,string>")
-                ),
-                "untruthy": F.when(F.col("_ok"), F.col("_s.untruthy")).otherwise(
-                    F.array().cast("array<string>")
-                ),
-                "extract_error": _why(answer, "Extraction", F.col("_ok")),
+                "fields": if_ok("_f", empty(R.FIELD)),
+                "structured_data": if_ok("_s.data", "CAST(map() AS map<string,string>)"),
+                "untruthy": if_ok("_s.untruthy", empty("string")),
+                "extract_error": _why(answer, "Extraction", ok),
             }
         )
-        .withColumn("avg_confidence", R.average_confidence(F.col("fields")))
-        .drop("_p", "_v", "_f", "_s", "_ok")
+        .withColumn("avg_confidence", F.expr(R.average_confidence("fields")))
+        .drop("_p", "_v", "_f", "_s")
     )
 
 
@@ -134,17 +131,16 @@ def read_detection(df: DataFrame, answer: str = "detect_pii") -> DataFrame:
     """Adds ``model_spans``; empty after any error."""
     return (
         _parse(df, answer)
-        .withColumn("model_spans", R.model_spans(F.col("_v")))
+        .withColumn("model_spans", F.expr(R.model_spans("_v")))
         .drop("_p", "_v")
     )
 
 
 def read_repairs(df: DataFrame, answers: str = "repairs") -> DataFrame:
     """Adds ``fixes``, one per attempt, NULL where the attempt failed."""
-
-    def read(answer: Column) -> Column:
-        text = F.when(answer["error"].isNull(), R.payload(answer["reply"]))
-        return let(text, lambda p: let(R.parsed(p), lambda v: R.corrections(v, p)))
-
-    slots = F.coalesce(F.col(answers), empty(_ANSWER))
-    return df.withColumn("fixes", F.transform(slots, read).cast(f"array<{FIX}>"))
+    text = f"CASE WHEN an.error IS NULL THEN {R.payload('an.reply')} END"
+    read = let("pt", text, let("pv", R.parsed("pt"), R.corrections("pv", "pt")))
+    slots = f"coalesce({answers}, {empty(_ANSWER)})"
+    return df.withColumn(
+        "fixes", F.expr(f"CAST(transform({slots}, an -> {read}) AS array<{FIX}>)")
+    )

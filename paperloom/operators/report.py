@@ -215,7 +215,7 @@ def batch_summary(results: DataFrame, *keys: str) -> DataFrame:
         shown(F.coalesce("document_type", F.lit("unknown"))).alias("type"),
         shown(F.size(F.map_keys("extracted_data"))).alias("fields"),
         shown(F.coalesce(_entities(), F.lit(0))).alias("pii_found"),
-        shown(fixed_point(F.col("processing_time_ms"), 1)).alias("time_ms"),
+        shown(F.expr(fixed_point("processing_time_ms", 1))).alias("time_ms"),
     )
 
 
@@ -248,7 +248,7 @@ def result_view(results: DataFrame, first: int = 10, width: int = 50) -> DataFra
         line("info", "File", F.col("file_name")),
         line("info", "Type", F.coalesce("document_type", F.lit("unknown"))),
         line("info", "Size",
-             F.concat(fixed_point(F.col("file_size_bytes") / 1024.0, 1), F.lit(" KB"))),
+             F.expr(f"concat({fixed_point('file_size_bytes / 1024D', 1)}, ' KB')")),
     )
     data = F.transform(
         F.slice(entries, 1, first), lambda e: line("data", e["key"], short(e["value"]))
@@ -266,6 +266,6 @@ def result_view(results: DataFrame, first: int = 10, width: int = 50) -> DataFra
         F.map_entries("pii_summary"), lambda e: line("pii", e["key"], e["value"])
     )
     rows = results.select(
-        "doc_id", F.posexplode(F.concat(info, data, rest, pii)).alias("ord", "line")
+        "doc_id", F.posexplode_outer(F.concat(info, data, rest, pii)).alias("ord", "line")
     )
     return rows.select("doc_id", "ord", "line.*")

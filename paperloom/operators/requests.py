@@ -8,38 +8,38 @@ from pyspark.sql import functions as F
 from paperloom.functions import prompts
 
 
-def _requests(df: DataFrame, stage: str, request, *extra: str) -> DataFrame:
-    return df.select("doc_id", *extra, F.lit(stage).alias("stage"), request.alias("request"))
+def _requests(df: DataFrame, stage: str, request: str, *extra: str) -> DataFrame:
+    return df.select(
+        "doc_id", *extra, F.lit(stage).alias("stage"), F.expr(request).alias("request")
+    )
 
 
 def classification_requests(df: DataFrame, text: str = "text") -> DataFrame:
-    return _requests(df, "classify", prompts.classify_request(F.coalesce(F.col(text), F.lit(""))))
+    return _requests(df, "classify", prompts.classify_request(f"coalesce({text}, '')"))
 
 
 def extraction_requests(df: DataFrame, text: str = "text") -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return _requests(
-        df, "extract", prompts.extract_request(F.col("document_type"), body), "document_type"
-    )
+    request = prompts.extract_request("document_type", f"coalesce({text}, '')")
+    return _requests(df, "extract", request, "document_type")
 
 
 def detection_requests(df: DataFrame, text: str = "text") -> DataFrame:
     """None for an empty text."""
-    some = df.where(F.length(text) > 0)
-    return _requests(some, "detect_pii", prompts.detect_request(F.col(text)))
+    return _requests(df.where(F.length(text) > 0), "detect_pii", prompts.detect_request(text))
 
 
-def repair_requests(df: DataFrame, max_attempts: int, text: str | None = "text") -> DataFrame:
+def repair_requests(df: DataFrame, max_attempts: int, text: str = "text") -> DataFrame:
     """I4: one per invalid record with attempts left; columns as from ``validate``."""
-    body = F.col(text) if text else F.lit("")
-    open_ = df.where(
-        F.col("structured_data").isNotNull()
-        & (F.size("validation.errors") > 0)
-        & (F.col("validation.attempts") < max_attempts)
-    )
-    return _requests(
-        open_.withColumn("attempt", F.col("validation.attempts") + 1),
-        "repair",
-        prompts.repair_request(F.col("structured_data"), F.col("validation.errors"), body),
-        "attempt",
+    needed = (
+        "structured_data IS NOT NULL AND size(validation.errors) > 0 "
+        f"AND validation.attempts < {max_attempts}"
     )
+    request = prompts.repair_request("structured_data", "validation.errors", text)
+    # A generator instead of a filter: a filter would be pushed below the
+    # validation and make Spark evaluate the rules twice.
+    rows = df.selectExpr(
+        "doc_id",
+        f"CASE WHEN {needed} THEN named_struct('attempt', validation.attempts + 1, "
+        f"'request', {request}) END AS _r",
+    ).select("doc_id", F.inline(F.array_compact(F.array("_r"))))
+    return rows.select("doc_id", "attempt", F.lit("repair").alias("stage"), "request")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import prompts
-from paperloom.functions.basics import empty, fixed_point
+from paperloom.functions.basics import empty, fixed_point, lit, struct
 from paperloom.functions.fixed_values import AGENTS, SUMMARY_CHARS
 
 DECISION = (
@@ -17,199 +19,163 @@ DECISION = (
 
 
 def decision(
-    agent: str, run_at: Column, model: str | None, said: Column, did: Column,
-    confidence=None, reasoning=None, duration=None, error=None,
-) -> Column:
-    def or_null(c, kind):
-        return (F.lit(None) if c is None else c).cast(kind)
-
-    return F.struct(
-        F.lit(agent).alias("agent_type"),
-        F.lit(AGENTS[agent]).alias("agent_name"),
-        run_at.cast("timestamp").alias("timestamp"),
-        said.alias("input_summary"),
-        did.alias("output_summary"),
-        or_null(confidence, "double").alias("confidence"),
-        or_null(reasoning, "string").alias("reasoning"),
-        F.coalesce(or_null(duration, "double"), F.lit(0.0)).alias("duration_ms"),
-        F.lit(model).cast("string").alias("model_used"),
-        F.lit(None).cast("int").alias("tokens_used"),
-        F.lit(0).alias("retry_count"),
-        or_null(error, "string").alias("error_message"),
-    ).cast(DECISION)
-
-
-def _text(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-
-def _num(c: Column) -> Column:
-    return c.cast("string")
-
+    agent: str,
+    run_at: str,
+    model: str | None,
+    said: str,
+    did: str,
+    confidence: str = "NULL",
+    reasoning: str = "NULL",
+    duration: str = "NULL",
+    error: str = "NULL",
+) -> str:
+    made = struct(
+        agent_type=lit(agent),
+        agent_name=lit(AGENTS[agent]),
+        timestamp=run_at,
+        input_summary=said,
+        output_summary=did,
+        confidence=confidence,
+        reasoning=reasoning,
+        duration_ms=f"coalesce({duration}, 0D)",
+        model_used=lit(model) if model else "NULL",
+        tokens_used="NULL",
+        retry_count="0",
+        error_message=error,
+    )
+    return f"CAST({made} AS {DECISION})"
 
-def _yes_no(c: Column) -> Column:
-    return F.initcap(c.cast("string"))
 
+def _text(template: str, **parts: str) -> str:
+    """SQL for a message with ``{holes}``."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    sql = [lit(p) if i % 2 == 0 else f"CAST({parts[p]} AS STRING)" for i, p in enumerate(pieces)]
+    return "concat(" + ", ".join(sql) + ")"
 
-def _listed(items: Column) -> Column:
-    quoted = F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
-    return _text("[", F.array_join(quoted, ", "), "]")
 
+def _yes_no(flag: str) -> str:
+    return f"CASE WHEN {flag} THEN 'True' ELSE 'False' END"
 
-def _counted(counts: Column) -> Column:
-    pairs = F.transform(
-        F.map_entries(counts), lambda e: _text("'", e["key"], "': ", _num(e["value"]))
-    )
-    return _text("{", F.array_join(pairs, ", "), "}")
 
-
-def add_trace(df: DataFrame, run_at: Column, model: str | None = None) -> DataFrame:
+def add_trace(
+    df: DataFrame, run_at: str = "current_timestamp()", model: str | None = None
+) -> DataFrame:
     """Add ``agent_trace`` and ``audit`` to rows that carry every stage's columns.
 
     The audit copy is shorter: no failed stages, no reporter, summaries cut.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    name = F.coalesce(F.col("file_name"), F.lit("unknown"))
-    seen = _num(F.length(prompts.classify_content(text)))
-    kind = F.col("document_type")
-    sure = fixed_point(F.col("classification_confidence"), 2)
-    n_fields = _num(F.size("fields"))
-
-    def made(agent: str, *args, **kwargs) -> Column:
-        return decision(agent, run_at, model, *args, **kwargs)
-
-    classified = F.when(
-        F.col("classify_error").isNull(),
-        made(
-            "classifier",
-            _text("Document: ", name, " (", seen, " chars)"),
-            _text("Classified as ", kind, " with ", sure, " confidence"),
-            F.col("classification_confidence"),
-            F.col("reasoning"),
-            F.col("classify.duration_ms"),
-        ),
-    ).otherwise(
-        made(
-            "classifier", _text("Document: ", name), F.lit("Classification failed"),
-            duration=F.col("classify.duration_ms"), error=F.col("classify_error"),
+    text = "coalesce(text, '')"
+    seen = f"length({prompts.classify_content(text)})"
+    parts = {
+        "file": "coalesce(file_name, 'unknown')",
+        "seen": seen,
+        "read": f"length({prompts.extract_content(text)})",
+        "size": f"length({text})",
+        "kind": "document_type",
+        "sure": fixed_point("classification_confidence", 2),
+        "n_fields": "size(fields)",
+        "mean": fixed_point("avg_confidence", 2),
+        "names": "array_join(transform(slice(fields, 1, 10), f -> concat('\\'', f.name, '\\'')), ', ')",
+        "n_pii": "total_pii_found",
+        "by_type": "array_join(transform(map_entries(pii_by_type), "
+                   "e -> concat('\\'', e.key, '\\': ', CAST(e.value AS STRING))), ', ')",
+        "open": "'{'",
+        "close": "'}'",
+        "n_found": "pattern_spans_found",
+        "n_model": "model_spans_found",
+        "before": "size(validation.visits) + 3",
+        "done": _yes_no("success"),
+        "v_fields": "v.n_fields",
+        "v_valid": _yes_no("v.is_valid"),
+        "v_errors": "v.n_errors",
+        "v_attempts": "v.attempts",
+    }
+
+    def say(template: str) -> str:
+        return _text(template, **parts)
+
+    def made(agent: str, said: str, did: str, **facts: str) -> str:
+        return decision(agent, run_at, model, say(said), say(did), **facts)
+
+    def logged(agent: str, said: str, did: str, **facts: str) -> str:
+        cut = f"substring({{}}, 1, {SUMMARY_CHARS})"
+        return decision(
+            agent, run_at, model, cut.format(say(said)), cut.format(say(did)), **facts
         )
+
+    classify = {"duration": "classify.duration_ms"}
+    extract = {"duration": "extract.duration_ms"}
+    detect = {"duration": "detect_pii.duration_ms"}
+    visit = {
+        "confidence": "CASE WHEN v.is_valid THEN 1D ELSE 0.5D END",
+        "duration": "CASE WHEN v.attempts > 0 THEN "
+                    "try_element_at(repairs, greatest(v.attempts, 1)).duration_ms END",
+    }
+    classified = made(
+        "classifier", "Document: {file} ({seen} chars)",
+        "Classified as {kind} with {sure} confidence",
+        confidence="classification_confidence", reasoning="reasoning", **classify,
     )
-    extracted = F.when(
-        F.col("extract_error").isNull(),
-        made(
-            "extractor",
-            _text("Document type: ", kind, ", Content: ",
-                  _num(F.length(prompts.extract_content(text))), " chars"),
-            _text("Extracted ", n_fields, " fields with avg confidence ",
-                  fixed_point(F.col("avg_confidence"), 2)),
-            F.col("avg_confidence"),
-            _text("Extracted fields: ",
-                  _listed(F.slice(F.transform("fields", lambda f: f["name"]), 1, 10))),
-            F.col("extract.duration_ms"),
-        ),
-    ).otherwise(
-        made(
-            "extractor", _text("Document type: ", kind), F.lit("Extraction failed"),
-            duration=F.col("extract.duration_ms"), error=F.col("extract_error"),
-        )
+    not_classified = made(
+        "classifier", "Document: {file}", "Classification failed",
+        error="classify_error", **classify,
     )
-
-    def visit_time(v: Column) -> Column:
-        at = F.greatest(v["attempts"], F.lit(1))
-        return F.when(v["attempts"] > 0, F.try_element_at(F.col("repairs"), at)["duration_ms"])
-
-    def score(v: Column) -> Column:
-        return F.when(v["is_valid"], 1.0).otherwise(0.5)
-
-    visits = F.col("validation.visits")
-    validated = F.transform(
-        visits,
-        lambda v: made(
-            "validator",
-            _text("Validating ", _num(v["n_fields"]), " fields for ", kind),
-            _text("Valid: ", _yes_no(v["is_valid"]), ", Errors: ", _num(v["n_errors"]),
-                  ", Warnings: 0"),
-            score(v),
-            _text("Repair attempts: ", _num(v["attempts"])),
-            visit_time(v),
-        ),
+    extracted = made(
+        "extractor", "Document type: {kind}, Content: {read} chars",
+        "Extracted {n_fields} fields with avg confidence {mean}",
+        confidence="avg_confidence", reasoning=say("Extracted fields: [{names}]"), **extract,
+    )
+    not_extracted = made(
+        "extractor", "Document type: {kind}", "Extraction failed",
+        error="extract_error", **extract,
+    )
+    validated = made(
+        "validator", "Validating {v_fields} fields for {kind}",
+        "Valid: {v_valid}, Errors: {v_errors}, Warnings: 0",
+        reasoning=say("Repair attempts: {v_attempts}"), **visit,
     )
-    n_pii = _num(F.col("total_pii_found"))
-    size = _num(F.length(text))
     redacted = made(
-        "redactor",
-        _text("Text with ", size, " characters"),
-        _text("Found ", n_pii, " PII entities: ", _counted(F.col("pii_by_type"))),
-        F.when(F.col("total_pii_found") > 0, 0.95).otherwise(1.0),
-        _text("Regex found: ", _num(F.col("pattern_spans_found")), ", LLM found: ",
-              _num(F.col("model_spans_found"))),
-        F.col("detect_pii.duration_ms"),
+        "redactor", "Text with {size} characters",
+        "Found {n_pii} PII entities: {open}{by_type}{close}",
+        confidence="CASE WHEN total_pii_found > 0 THEN 0.95D ELSE 1D END",
+        reasoning=say("Regex found: {n_found}, LLM found: {n_model}"), **detect,
     )
     reported = made(
-        "reporter",
-        _text("Processing state with ", _num(F.size(visits) + 3), " agent decisions"),
-        _text("Report generated, success=", _yes_no(F.col("success"))),
-        F.lit(1.0),
+        "reporter", "Processing state with {before} agent decisions",
+        "Report generated, success={done}", confidence="1D",
     )
-
-    def cut(c: Column) -> Column:
-        return F.substring(c, 1, SUMMARY_CHARS)
-
-    audit = F.concat(
-        F.when(
-            F.col("classify_error").isNull(),
-            F.array(
-                made(
-                    "classifier",
-                    cut(_text("Document content (", seen, " chars)")),
-                    cut(_text("Type: ", kind, ", Confidence: ", sure)),
-                    F.col("classification_confidence"), F.col("reasoning"),
-                    F.col("classify.duration_ms"),
-                )
-            ),
-        ).otherwise(empty(DECISION)),
-        F.when(
-            F.col("extract_error").isNull(),
-            F.array(
-                made(
-                    "extractor",
-                    cut(_text("Document type: ", kind)),
-                    cut(_text("Extracted ", n_fields, " fields")),
-                    F.col("avg_confidence"), None, F.col("extract.duration_ms"),
-                )
-            ),
-        ).otherwise(empty(DECISION)),
-        F.transform(
-            visits,
-            lambda v: made(
-                "validator",
-                cut(_text("Document type: ", kind)),
-                cut(_text("Valid: ", _yes_no(v["is_valid"]))),
-                score(v), None, visit_time(v),
-            ),
-        ),
-        F.array(
-            made(
-                "redactor",
-                cut(_text("Document with ", size, " chars")),
-                cut(_text("Redacted ", n_pii, " PII entities")),
-                F.lit(0.95), None, F.col("detect_pii.duration_ms"),
-            )
-        ),
+    agent_trace = (
+        f"concat(array(CASE WHEN classify_error IS NULL THEN {classified} "
+        f"ELSE {not_classified} END, CASE WHEN extract_error IS NULL THEN {extracted} "
+        f"ELSE {not_extracted} END), transform(validation.visits, v -> {validated}), "
+        f"array({redacted}, {reported}))"
     )
-    return df.withColumns(
-        {
-            "agent_trace": F.concat(
-                F.array(classified, extracted), validated, F.array(redacted, reported)
-            ),
-            "audit": audit,
-        }
+    log_classified = logged(
+        "classifier", "Document content ({seen} chars)", "Type: {kind}, Confidence: {sure}",
+        confidence="classification_confidence", reasoning="reasoning", **classify,
+    )
+    log_extracted = logged(
+        "extractor", "Document type: {kind}", "Extracted {n_fields} fields",
+        confidence="avg_confidence", **extract,
+    )
+    log_validated = logged("validator", "Document type: {kind}", "Valid: {v_valid}", **visit)
+    log_redacted = logged(
+        "redactor", "Document with {size} chars", "Redacted {n_pii} PII entities",
+        confidence="0.95D", **detect,
+    )
+    nothing = empty(DECISION)
+    audit = (
+        f"concat(CASE WHEN classify_error IS NULL THEN array({log_classified}) "
+        f"ELSE {nothing} END, CASE WHEN extract_error IS NULL THEN array({log_extracted}) "
+        f"ELSE {nothing} END, transform(validation.visits, v -> {log_validated}), "
+        f"array({log_redacted}))"
     )
+    return df.withColumns({"agent_trace": F.expr(agent_trace), "audit": F.expr(audit)})
 
 
 def decision_rows(df: DataFrame, trace: str = "agent_trace") -> DataFrame:
     """M14 the other way round: one row per decision, in order within its document."""
-    rows = df.select("doc_id", F.posexplode(trace).alias("seq", "d"))
+    rows = df.select("doc_id", F.posexplode_outer(trace).alias("seq", "d")).where("seq IS NOT NULL")
     return rows.select("doc_id", "seq", "d.*")
 
 

@@ -2,58 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules
-from paperloom.functions.basics import empty
+from paperloom.functions.basics import empty, struct
 from paperloom.functions.fixed_values import DOCUMENT_RULES
 
 
 def validate(
     df: DataFrame,
-    fixes: Column | None = None,
-    untruthy: Column | None = None,
+    fixes: str | None = None,
+    untruthy: str | None = None,
     catalogue: dict = DOCUMENT_RULES,
 ) -> DataFrame:
     """Add ``validation`` and replace ``structured_data`` by its repaired form.
 
     Needs ``document_type`` and ``structured_data MAP<STRING,STRING>``. ``fixes``
-    holds one correction per allowed attempt; without it nothing is repaired.
-    Row-local: no shuffle, works on a stream.
+    names a column with one correction per allowed attempt; without it nothing is
+    repaired. Row-local: no shuffle, works on a stream.
     """
-    none = F.array().cast("array<string>")
+    none = empty("string")
     rounds = rules.repair_rounds(
-        F.coalesce(F.col("document_type"), F.lit("unknown")),
-        F.col("structured_data"),
-        none if untruthy is None else F.coalesce(untruthy, none),
-        empty(rules.FIX) if fixes is None else fixes,
+        "coalesce(document_type, 'unknown')",
+        "structured_data",
+        f"coalesce({untruthy}, {none})" if untruthy else none,
+        fixes or empty(rules.FIX),
         catalogue,
     )
-    state = F.col("_state")
-    valid = F.size(state["errors"]) == 0
-    tried = state["attempts"] > 0
-    verdict = F.struct(
-        valid.alias("is_valid"),
-        state["errors"].alias("errors"),
-        empty(rules.ERROR).alias("warnings"),
-        F.lit("1.0").alias("schema_version"),
-        tried.alias("repair_attempted"),
-        (tried & valid).alias("repair_successful"),
-        state["attempts"].alias("attempts"),
-        state["visits"].alias("visits"),
+    verdict = struct(
+        is_valid="size(_state.errors) = 0",
+        errors="_state.errors",
+        warnings=empty(rules.ERROR),
+        schema_version="'1.0'",
+        repair_attempted="_state.attempts > 0",
+        repair_successful="_state.attempts > 0 AND size(_state.errors) = 0",
+        attempts="_state.attempts",
+        visits="_state.visits",
     )
     return (
-        df.withColumn("_state", rounds)
-        .withColumns({"validation": verdict, "structured_data": state["data"]})
+        df.withColumn("_state", F.expr(rounds))
+        .withColumns({"validation": F.expr(verdict), "structured_data": F.col("_state.data")})
         .drop("_state")
     )
 
 
 def error_rows(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "document_type")) -> DataFrame:
     """One row per error, numbered in catalogue order."""
-    rows = df.select(*keys, F.posexplode("validation.errors").alias("ord", "error"))
-    return rows.select(*keys, "ord", "error.*")
+    # The outer form keeps Spark from evaluating the rules a second time in a
+    # filter for records without errors.
+    rows = df.select(*keys, F.posexplode_outer("validation.errors").alias("ord", "error"))
+    return rows.where("ord IS NOT NULL").select(*keys, "ord", "error.*")
 
 
 def error_report(df: DataFrame) -> DataFrame:

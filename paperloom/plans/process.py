@@ -20,7 +20,7 @@ class ProcessOptions:
     use_model_spans: bool = True
     max_repair_attempts: int = MAX_REPAIR_ATTEMPTS
     model: str | None = None
-    run_at: Column | None = None
+    run_at: str = "current_timestamp()"
 
 
 def process(
@@ -48,17 +48,16 @@ def process(
         .transform(replies.read_repairs)
         .transform(replies.read_detection)
     )
-    checked = validate.validate(read, F.col("fixes"), F.col("untruthy"))
+    checked = validate.validate(read, "fixes", "untruthy")
     masked = redact.redact(
         checked,
-        model_spans=F.col("model_spans") if options.use_model_spans else None,
+        model_spans="model_spans" if options.use_model_spans else None,
         mode=options.mode,
     )
     loaded = F.col("load_error").isNull()
     valid = F.col("validation.is_valid")
     judged = masked.withColumn("success", loaded & valid)
-    run_at = F.current_timestamp() if options.run_at is None else options.run_at
-    traced = trace.add_trace(judged, run_at, options.model)
+    traced = trace.add_trace(judged, options.run_at, options.model)
     started = F.col("started_at") if "started_at" in docs.columns else None
     finished = F.col("finished_at") if "finished_at" in docs.columns else None
     time = report.processing_time(F.col("agent_trace"), started, finished)

@@ -55,7 +55,7 @@ def ingest(files: DataFrame, max_mb: int = MAX_DOCUMENT_MB) -> DataFrame:
     suffix = F.regexp_extract(name, r"^.+\.([^.]+)$", 1)
     size_error = F.concat(
         F.lit("File too large: "),
-        fixed_point(F.col("length") / 1024 / 1024, 2),
+        F.expr(fixed_point("length / 1024D / 1024D", 2)),
         F.lit(f"MB (max: {max_mb}MB)"),
     )
     error = (
