@@ -40,13 +40,16 @@ def type_table(spark: SparkSession) -> DataFrame:
 def type_usage(records: DataFrame) -> DataFrame:
     """C3 next to the data: each listed type with the number of records it has.
 
-    Records are counted per type before they meet the twelve catalogue rows.
+    Only listed types are counted, so the counts are at most twelve rows.
     """
     types = type_table(records.sparkSession)
-    counts = records.groupBy("document_type").agg(F.count(F.lit(1)).alias("records"))
+    counts = (
+        records.where(F.col("document_type").isin(DOCUMENT_TYPES))
+        .groupBy("document_type")
+        .agg(F.count(F.lit(1)).alias("records"))
+    )
     return (
-        F.broadcast(types)  # twelve rows
-        .join(counts, "document_type", "left")
+        types.join(F.broadcast(counts), "document_type", "left")
         .withColumn("records", F.coalesce("records", F.lit(0)))
     )
 
@@ -54,15 +57,16 @@ def type_usage(records: DataFrame) -> DataFrame:
 def field_coverage(records: DataFrame) -> DataFrame:
     """C1 next to the data: per catalogue field, how many records fill it."""
     fields = rule_table(records.sparkSession).where("kind != 'pattern'")
+    keys = ["document_type", "field"]
     filled = (
         records.select("document_type", F.explode("structured_data").alias("field", "value"))
         .where(F.coalesce(F.col("value"), F.lit("")) != "")
-        .groupBy("document_type", "field")
+        .join(F.broadcast(fields.select(*keys)), keys, "left_semi")  # 64 catalogue rows
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("filled"))
     )
     return (
-        F.broadcast(fields)  # fixed catalogue
-        .join(filled, ["document_type", "field"], "left")
+        fields.join(F.broadcast(filled), keys, "left")  # at most one row per catalogue row
         .select(
             "document_type", "kind", "ord", "field", F.coalesce("filled", F.lit(0)).alias("filled")
         )

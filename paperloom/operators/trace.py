@@ -173,6 +173,18 @@ def add_trace(
     return df.withColumns({"agent_trace": F.expr(agent_trace), "audit": F.expr(audit)})
 
 
+def stage_time() -> str:
+    """Sum of the durations in ``agent_trace``, without having to build it."""
+    stages = " + ".join(
+        f"coalesce({s}.duration_ms, 0D)" for s in ("classify", "extract", "detect_pii")
+    )
+    repairs = (
+        "aggregate(slice(repairs, 1, validation.attempts), 0D, "
+        "(acc, r) -> acc + coalesce(r.duration_ms, 0D))"
+    )
+    return f"{stages} + coalesce({repairs}, 0D)"
+
+
 def decision_rows(df: DataFrame, trace: str = "agent_trace") -> DataFrame:
     """M14 the other way round: one row per decision, in order within its document."""
     rows = df.select("doc_id", F.posexplode_outer(trace).alias("seq", "d")).where("seq IS NOT NULL")

@@ -7,6 +7,8 @@ recursive queries here.
 
 from __future__ import annotations
 
+import re
+
 from paperloom.functions import prompts
 from paperloom.functions.fixed_values import (
     DOCUMENT_RULES,
@@ -224,7 +226,7 @@ ORACLE["classification_replies"] = (
 FIELDS = (
     "ex AS (SELECT * FROM " + object_sql("docs", "extract") + "), "
     "items AS (SELECT doc_id, i, json_extract(j, '$.fields[' || i || ']') AS x FROM ex, "
-    "unnest(range(0, coalesce(json_array_length(j, '$.fields'), 0))) AS t(i) WHERE j IS NOT NULL), "
+    "unnest(range(0, CAST(coalesce(json_array_length(j, '$.fields'), 0) AS BIGINT))) AS t(i) WHERE j IS NOT NULL), "
     "raw_fields AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, "
     "coalesce(json_extract_string(x, '$.name'), 'unknown') AS name, "
     "CASE json_type(x, '$.value') WHEN 'DOUBLE' THEN CAST(CAST(json_extract_string(x, '$.value') "
@@ -238,13 +240,14 @@ FIELDS = (
     "fields AS (SELECT * FROM raw_fields WHERE doc_id NOT IN (SELECT doc_id FROM bad)), "
     "good AS (SELECT * FROM ex WHERE j IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM bad)), "
     # structured data: own keys when there are any, else the fields
-    "own AS (SELECT doc_id, key AS name, coalesce(json_extract(j, '$.structured_data.' || key), "
-    "NULL) AS v FROM (SELECT doc_id, j, unnest(json_keys(j, '$.structured_data')) AS key FROM good "
-    "WHERE json_type(j, '$.structured_data') = 'OBJECT')), "
-    "vals AS (SELECT doc_id, name, CASE json_type(v) WHEN 'VARCHAR' THEN json_extract_string(v, "
+    "own AS (SELECT doc_id, key AS name, pos, json_extract(j, '$.structured_data.' || key) AS v "
+    "FROM (SELECT doc_id, j, unnest(json_keys(j, '$.structured_data')) AS key, "
+    "unnest(range(0, 20)) AS pos FROM good WHERE json_type(j, '$.structured_data') = 'OBJECT') "
+    "WHERE key IS NOT NULL), "
+    "vals AS (SELECT doc_id, name, pos, CASE json_type(v) WHEN 'VARCHAR' THEN json_extract_string(v, "
     "'$') ELSE CAST(v AS VARCHAR) END AS value, json_type(v) NOT IN ('VARCHAR', 'ARRAY') AND "
     "CAST(v AS VARCHAR) = '0' AS falsy FROM own UNION ALL "
-    "SELECT doc_id, name, arg_max(value, ord), false FROM fields WHERE doc_id NOT IN "
+    "SELECT doc_id, name, min(ord), arg_max(value, ord), false FROM fields WHERE doc_id NOT IN "
     "(SELECT doc_id FROM own) GROUP BY doc_id, name)"
 )
 
@@ -270,7 +273,7 @@ ORACLE["extraction_replies"] = (
 MODEL = (
     "detected AS (SELECT * FROM " + object_sql("docs", "detect_pii") + "), "
     "listed AS (SELECT doc_id, i, json_extract(j, '$.pii_entities[' || i || ']') AS x FROM "
-    "detected, unnest(range(0, coalesce(json_array_length(j, '$.pii_entities'), 0))) AS t(i) "
+    "detected, unnest(range(0, CAST(coalesce(json_array_length(j, '$.pii_entities'), 0) AS BIGINT))) AS t(i) "
     "WHERE j IS NOT NULL), "
     "named AS (SELECT doc_id, i, " + cases(
         "replace(lower(json_extract_string(x, '$.type')), ' ', '_')", PII_ALIASES)
@@ -769,3 +772,145 @@ ORACLE["field_accuracy"] = (
     "fields f USING (doc_id, name) GROUP BY 1) SELECT *, round(CAST(fields_correct AS DOUBLE) / "
     "fields_total, 6) AS extraction_accuracy FROM c"
 )
+
+# Values after repair, in order: known keys keep their place, new ones follow.
+_FINAL = (
+    "shown AS (SELECT v.doc_id, name, pos, CASE WHEN n0 > 0 AND name = 'date' THEN '2024-05-05' "
+    "WHEN n0 > 0 AND name = 'vendor_name' THEN 'Acme' ELSE value END AS value FROM vals v JOIN "
+    "judged USING (doc_id) UNION ALL SELECT doc_id, a.name, a.pos, a.value FROM judged, "
+    "(VALUES ('date', 100, '2024-05-05'), ('vendor_name', 101, 'Acme')) a(name, pos, value) "
+    "WHERE n0 > 0 AND NOT EXISTS (SELECT 1 FROM vals v WHERE v.doc_id = judged.doc_id AND v.name = "
+    "a.name)), "
+    # Masked spans in output order, and their types by first appearance.
+    "kept AS (SELECT doc_id, pii_type, row_number() OVER (PARTITION BY doc_id ORDER BY step DESC) "
+    "AS ord FROM folded WHERE kept), "
+    "per_type AS (SELECT doc_id, pii_type, count(*) AS n, min(ord) AS ord FROM kept GROUP BY 1, 2)"
+)
+ORACLE["processed_api_view"] = (
+    f"{CHAIN}, {_FINAL}, e AS (SELECT doc_id, '{{' || string_agg(CAST(to_json(name) AS VARCHAR) || "
+    "':' || CAST(to_json(value) AS VARCHAR), ',' ORDER BY pos) || '}' AS extracted_data FROM shown "
+    "GROUP BY 1), t AS (SELECT doc_id, count(*) AS pii_types FROM per_type GROUP BY 1) SELECT "
+    "doc_id, valid AS success, document_type, coalesce(extracted_data, '{}') AS extracted_data, "
+    "coalesce(pii_types, 0) AS pii_types, valid AS validation_passed, concat_ws('; ', "
+    f"classify_error, extract_error) AS errors, {_MS} AS processing_time_ms {_JOINED} "
+    "LEFT JOIN e USING (doc_id) LEFT JOIN t USING (doc_id)"
+)
+ORACLE["processed_result_view"] = (
+    f"{CHAIN}, {_FINAL}, b AS (SELECT doc_id, document_type, bytes, n_values {_JOINED}), "
+    "lines AS (SELECT doc_id, 0 AS part, 0 AS pos, 'info' AS section, 'File' AS label, 'd' || "
+    "CAST(doc_id AS VARCHAR) || '.txt' AS value FROM b UNION ALL SELECT doc_id, 0, 1, 'info', "
+    "'Type', document_type FROM b UNION ALL SELECT doc_id, 0, 2, 'info', 'Size', "
+    "format('{:.1f}', bytes / CAST(1024 AS DOUBLE)) || ' KB' FROM b UNION ALL "
+    "SELECT doc_id, 1, r, 'data', name, CASE WHEN length(value) > 50 THEN left(value, 50) || '...' "
+    "ELSE value END FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM "
+    "shown) WHERE r <= 10 UNION ALL SELECT doc_id, 2, 0, 'data', '...', '(' || CAST(n_values - 10 "
+    "AS VARCHAR) || ' more fields)' FROM b WHERE n_values > 10 UNION ALL SELECT doc_id, 3, ord, "
+    "'pii', pii_type, CAST(n AS VARCHAR) FROM per_type) SELECT doc_id, row_number() OVER "
+    "(PARTITION BY doc_id ORDER BY part, pos) - 1 AS ord, section, label, value FROM lines"
+)
+
+
+def _seen(limit: int) -> str:
+    return f"CASE WHEN length(text) > {limit} THEN {limit + len(_MARK)} ELSE length(text) END"
+
+
+_FACTS = (
+    f"{_FINAL}, mean AS (SELECT doc_id, count(*) AS n_fields, list_reduce(list(CAST(confidence AS "
+    "DOUBLE) ORDER BY ord), lambda a, b: a + b, CAST(0 AS DOUBLE)) / count(*) AS mean, "
+    "string_agg(chr(39) || name || chr(39), ', ' ORDER BY ord) AS names FROM fields GROUP BY 1), "
+    "kinds_found AS (SELECT doc_id, string_agg(chr(39) || pii_type || chr(39) || ': ' || "
+    "CAST(n AS VARCHAR), ', ' ORDER BY ord) AS by_type FROM per_type GROUP BY 1), "
+    "n_found AS (SELECT doc_id, count(*) AS n_found FROM spans GROUP BY 1), "
+    "n_model AS (SELECT doc_id, count(*) AS n_model FROM model GROUP BY 1), "
+    f"x AS (SELECT doc_id, document_type, classify_error, extract_error, n1, n_values, valid, "
+    "attempts, total_pii_found AS n_pii, CAST(classification_confidence AS DOUBLE) AS conf, "
+    "reasoning, coalesce(n_fields, 0) AS n_fields, coalesce(mean, CAST(0 AS DOUBLE)) AS mean, "
+    "coalesce(names, '') AS names, coalesce(by_type, '') AS by_type, coalesce(n_found, 0) AS "
+    "n_found, coalesce(n_model, 0) AS n_model, n_chars * CAST(0.25 AS DOUBLE) AS ms, "
+    f"length(text) AS size, {_seen(10000)} AS seen, {_seen(15000)} AS read {_JOINED} "
+    "JOIN (SELECT doc_id, reasoning FROM typed) USING (doc_id) JOIN (SELECT doc_id, text FROM "
+    "documents) USING (doc_id) LEFT JOIN mean USING (doc_id) LEFT JOIN kinds_found USING (doc_id) "
+    "LEFT JOIN n_found USING (doc_id) LEFT JOIN n_model USING (doc_id)), "
+    "visits AS (SELECT *, unnest(CASE WHEN attempts = 3 THEN [1, 2, 3] ELSE [attempts] END) AS a "
+    "FROM x)"
+)
+
+
+def _say(template: str) -> str:
+    """SQL for a message with {column} holes; < and > stand for braces."""
+    out = []
+    for i, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2:
+            out.append(f"CAST({part} AS VARCHAR)")
+        elif part:
+            out.append(text(part.replace("<", "{").replace(">", "}")))
+    return " || ".join(out)
+
+
+def _stage(part: int, agent: str, source: str, said: str, did: str, conf: str, why: str = "NULL",
+           ms: str = "0", error: str = "NULL", pos: str = "0") -> str:
+    name = {"classifier": "ClassifierAgent", "extractor": "ExtractorAgent",
+            "validator": "ValidatorAgent", "redactor": "RedactorAgent",
+            "reporter": "ReporterAgent"}[agent]
+    return (
+        f"SELECT doc_id, {part} AS part, {pos} AS pos, '{agent}' AS agent_type, '{name}' AS "
+        f"agent_name, {said} AS input_summary, {did} AS output_summary, round(CAST({conf} AS "
+        f"DOUBLE), 6) AS confidence, CAST({why} AS VARCHAR) AS reasoning, CAST({ms} AS DOUBLE) AS "
+        f"duration_ms, CAST({error} AS VARCHAR) AS error_message FROM {source}"
+    )
+
+
+_SURE = "format('{:.2f}', conf)"
+_MEAN = "format('{:.2f}', mean)"
+_TRUE = "CASE WHEN {0} THEN 'True' ELSE 'False' END"
+_FILE = _say("Document: d{doc_id}.txt")
+_STAGES = [
+    _stage(0, "classifier", "x WHERE classify_error IS NULL",
+           _FILE + " || " + _say(" ({seen} chars)"),
+           f"'Classified as ' || document_type || ' with ' || {_SURE} || ' confidence'", "conf",
+           "reasoning", "ms"),
+    _stage(0, "classifier", "x WHERE classify_error IS NOT NULL", _FILE,
+           "'Classification failed'", "NULL", "NULL", "ms", "classify_error"),
+    _stage(1, "extractor", "x WHERE extract_error IS NULL",
+           _say("Document type: {document_type}, Content: {read} chars"),
+           _say("Extracted {n_fields} fields with avg confidence ") + f" || {_MEAN}", "mean",
+           _say("Extracted fields: [{names}]"), "ms * 2"),
+    _stage(1, "extractor", "x WHERE extract_error IS NOT NULL",
+           _say("Document type: {document_type}"), "'Extraction failed'", "NULL", "NULL",
+           "ms * 2", "extract_error"),
+    _stage(2, "validator", "visits", _say("Validating {n_values} fields for {document_type}"),
+           f"'Valid: ' || {_TRUE.format('valid')} || " + _say(", Errors: {n1}, Warnings: 0"),
+           "CASE WHEN valid THEN 1 ELSE 0.5 END", _say("Repair attempts: {a}"),
+           "CASE WHEN a = 1 THEN 16.5 ELSE 0 END", pos="a"),
+    _stage(3, "redactor", "x", _say("Text with {size} characters"),
+           _say("Found {n_pii} PII entities: <{by_type}>"),
+           "CASE WHEN n_pii > 0 THEN 0.95 ELSE 1 END",
+           _say("Regex found: {n_found}, LLM found: {n_model}"), "ms"),
+    _stage(4, "reporter",
+           "(SELECT *, 3 + CASE WHEN attempts = 3 THEN 3 ELSE 1 END AS before FROM x)",
+           _say("Processing state with {before} agent decisions"),
+           f"'Report generated, success=' || {_TRUE.format('valid')}", "1"),
+]
+_LOGGED = [
+    _stage(0, "classifier", "x WHERE classify_error IS NULL",
+           _say("Document content ({seen} chars)"),
+           f"'Type: ' || document_type || ', Confidence: ' || {_SURE}", "conf"),
+    _stage(1, "extractor", "x WHERE extract_error IS NULL",
+           _say("Document type: {document_type}"), _say("Extracted {n_fields} fields"), "mean"),
+    _stage(2, "validator", "visits", _say("Document type: {document_type}"),
+           f"'Valid: ' || {_TRUE.format('valid')}", "CASE WHEN valid THEN 1 ELSE 0.5 END",
+           pos="a"),
+    _stage(3, "redactor", "x", _say("Document with {size} chars"),
+           _say("Redacted {n_pii} PII entities"), "0.95"),
+]
+_SEQ = "row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1 AS seq"
+ORACLE["processed_trace"] = (
+    f"{CHAIN}, {_FACTS}, s AS ({' UNION ALL '.join(_STAGES)}) SELECT doc_id, {_SEQ}, agent_type, "
+    "agent_name, input_summary, output_summary, confidence, reasoning, duration_ms, error_message "
+    "FROM s"
+)
+ORACLE["processed_audit"] = (
+    f"{CHAIN}, {_FACTS}, s AS ({' UNION ALL '.join(_LOGGED)}) SELECT doc_id, {_SEQ}, agent_type, "
+    "left(input_summary, 500) AS input_summary, left(output_summary, 500) AS output_summary, "
+    "confidence FROM s"
+)

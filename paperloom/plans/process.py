@@ -60,7 +60,7 @@ def process(
     traced = trace.add_trace(judged, options.run_at, options.model)
     started = F.col("started_at") if "started_at" in docs.columns else None
     finished = F.col("finished_at") if "finished_at" in docs.columns else None
-    time = report.processing_time(F.col("agent_trace"), started, finished)
+    time = report.processing_time(F.expr(trace.stage_time()), started, finished)
     stage_errors = F.array_compact(F.array("classify_error", "extract_error"))
 
     def when_loaded(value: Column, kind: str | None = None, otherwise=None) -> Column:
