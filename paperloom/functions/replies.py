@@ -93,7 +93,11 @@ def _is_untruthy(v: str) -> str:
 def _fix_of(v: str, payload: str, path: str) -> str:
     """A JSON object as FIX, keys in the order they were written."""
     members = f"try_variant_get({v}, '$', 'map<string,variant>')"
-    keys = f"json_object_keys(get_json_object({payload}, '{path}'))"
+    # A VARIANT object lists its keys sorted; the text has them as written.
+    keys = (
+        "CASE WHEN size(m) < 2 THEN map_keys(m) "
+        f"ELSE json_object_keys(get_json_object({payload}, '{path}')) END"
+    )
     fix = struct(
         data=f"map_from_arrays(ks, transform(ks, k -> {value_text('m[k]')}))",
         untruthy=f"filter(ks, k -> {_is_untruthy('m[k]')})",
@@ -112,7 +116,14 @@ def envelope_text(reply: str) -> str:
         "try_variant_get(env, '$.content[0].text', 'string'), "
         f"{_text_only(_get('env', 'content'))}, {reply})"
     )
-    return let("env", f"try_parse_json({reply})", found)
+    # Most replies are plain; only those that may have such a key are parsed.
+    # (A key can also be spelled with escapes.)
+    marks = ("outputs", "choices", "content", "\\u")
+    maybe = " OR ".join(f"contains({reply}, {lit(m)})" for m in marks)
+    return (
+        f"CASE WHEN {maybe} THEN {let('env', f'try_parse_json({reply})', found)} "
+        f"ELSE {reply} END"
+    )
 
 
 def unfenced(text: str) -> str:

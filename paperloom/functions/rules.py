@@ -91,31 +91,41 @@ def rule_errors(
     return f"CAST(CASE {' '.join(cases)} ELSE array() END AS array<{ERROR}>)"
 
 
+def _visit(fields: str, errors: str, attempts: str) -> str:
+    return "array(" + struct(
+        n_fields=f"size({fields})",
+        is_valid=f"size({errors}) = 0",
+        n_errors=f"size({errors})",
+        attempts=attempts,
+    ) + ")"
+
+
+def first_visit(data: str, untruthy: str, errors: str) -> str:
+    """STATE of a record that is not repaired; a NULL ``data`` counts no visit."""
+    visits = f"CASE WHEN {data} IS NULL THEN {empty(VISIT)} ELSE {_visit(data, errors, '0')} END"
+    state = struct(data=data, untruthy=untruthy, errors=errors, attempts="0", visits=visits)
+    return f"CAST({state} AS {STATE})"
+
+
 def repair_rounds(
-    document_type: str, data: str, untruthy: str, fixes: str, rules: dict = DOCUMENT_RULES
+    document_type: str,
+    data: str,
+    untruthy: str,
+    errors: str,
+    fixes: str,
+    rules: dict = DOCUMENT_RULES,
 ) -> str:
-    """V7, V8: validate, then use one correction per round while errors remain.
+    """V7, V8: use one correction per round while errors remain. Gives STATE.
 
-    ``fixes`` is an array of FIX, one per allowed attempt (NULL or an empty map
-    where the attempt brought nothing). The bound is the length of that array, so
-    the loop is a fold inside the row: no join and no pass over the data per
-    round. A NULL ``data`` is never repaired. Gives STATE.
+    ``errors`` are those of ``data``. ``fixes`` is an array of FIX, one per
+    allowed attempt (NULL or an empty map where the attempt brought nothing). The
+    bound is the length of that array, so the loop is a fold inside the row: no
+    join and no pass over the data per round. Records without errors, and a NULL
+    ``data``, never evaluate ``fixes``.
     """
-
-    def visit(fields: str, errors: str, attempts: str) -> str:
-        return "array(" + struct(
-            n_fields=f"size({fields})",
-            is_valid=f"size({errors}) = 0",
-            n_errors=f"size({errors})",
-            attempts=attempts,
-        ) + ")"
-
-    visits = (
-        f"CASE WHEN {data} IS NULL THEN {empty(VISIT)} "
-        f"WHEN size(e0) = 0 OR size({fixes}) = 0 THEN {visit(data, 'e0', '0')} "
-        f"ELSE {empty(VISIT)} END"
+    start = struct(
+        data=data, untruthy=untruthy, errors=errors, attempts="0", visits=empty(VISIT)
     )
-    start = struct(data=data, untruthy=untruthy, errors="e0", attempts="0", visits=visits)
     used = "coalesce(size(fix.data) > 0, false)"
     candidate = struct(
         data=f"CASE WHEN {used} THEN {merge_maps('acc.data', 'fix.data')} ELSE acc.data END",
@@ -131,11 +141,15 @@ def repair_rounds(
         untruthy="c.untruthy",
         errors="e",
         attempts="acc.attempts + 1",
-        visits=f"concat(acc.visits, {visit('c.data', 'e', 'acc.attempts + 1')})",
+        visits=f"concat(acc.visits, {_visit('c.data', 'e', 'acc.attempts + 1')})",
     )
     attempt = (
-        "CASE WHEN acc.data IS NULL OR size(acc.errors) = 0 THEN acc "
+        "CASE WHEN size(acc.errors) = 0 THEN acc "
         f"ELSE {let('c', candidate, let('e', checked, after))} END"
     )
-    fold = f"aggregate({fixes}, CAST({start} AS {STATE}), (acc, fix) -> {attempt})"
-    return let("e0", rule_errors(document_type, data, untruthy, rules), fold)
+    fold = f"aggregate(fx, CAST({start} AS {STATE}), (acc, fix) -> {attempt})"
+    once = first_visit(data, untruthy, errors)
+    rounds = let("fx", fixes, f"CASE WHEN size(fx) = 0 THEN {once} ELSE {fold} END")
+    return (
+        f"CASE WHEN {data} IS NULL OR size({errors}) = 0 THEN {once} ELSE {rounds} END"
+    )

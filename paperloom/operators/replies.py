@@ -136,11 +136,14 @@ def read_detection(df: DataFrame, answer: str = "detect_pii") -> DataFrame:
     )
 
 
-def read_repairs(df: DataFrame, answers: str = "repairs") -> DataFrame:
-    """Adds ``fixes``, one per attempt, NULL where the attempt failed."""
+def corrections(answers: str = "repairs") -> str:
+    """Expression for the corrections of each attempt, NULL where it failed."""
     text = f"CASE WHEN an.error IS NULL THEN {R.payload('an.reply')} END"
     read = let("pt", text, let("pv", R.parsed("pt"), R.corrections("pv", "pt")))
     slots = f"coalesce({answers}, {empty(_ANSWER)})"
-    return df.withColumn(
-        "fixes", F.expr(f"CAST(transform({slots}, an -> {read}) AS array<{FIX}>)")
-    )
+    return f"CAST(transform({slots}, an -> {read}) AS array<{FIX}>)"
+
+
+def read_repairs(df: DataFrame, answers: str = "repairs") -> DataFrame:
+    """Adds ``fixes`` for every row, needed or not."""
+    return df.withColumn("fixes", F.expr(corrections(answers)))

@@ -19,17 +19,18 @@ def validate(
     """Add ``validation`` and replace ``structured_data`` by its repaired form.
 
     Needs ``document_type`` and ``structured_data MAP<STRING,STRING>``. ``fixes``
-    names a column with one correction per allowed attempt; without it nothing is
-    repaired. Row-local: no shuffle, works on a stream.
+    is a column or expression with one correction per allowed attempt, evaluated
+    only for records with errors; without it nothing is repaired. Row-local: no
+    shuffle, works on a stream.
     """
     none = empty("string")
-    rounds = rules.repair_rounds(
-        "coalesce(document_type, 'unknown')",
-        "structured_data",
-        f"coalesce({untruthy}, {none})" if untruthy else none,
-        fixes or empty(rules.FIX),
-        catalogue,
-    )
+    kind = "coalesce(document_type, 'unknown')"
+    falsy = f"coalesce({untruthy}, {none})" if untruthy else none
+    data = "structured_data"
+    if fixes:
+        rounds = rules.repair_rounds(kind, data, falsy, "_errors", fixes, catalogue)
+    else:
+        rounds = rules.first_visit(data, falsy, "_errors")
     verdict = struct(
         is_valid="size(_state.errors) = 0",
         errors="_state.errors",
@@ -41,9 +42,10 @@ def validate(
         visits="_state.visits",
     )
     return (
-        df.withColumn("_state", F.expr(rounds))
+        df.withColumn("_errors", F.expr(rules.rule_errors(kind, data, falsy, catalogue)))
+        .withColumn("_state", F.expr(rounds))
         .withColumns({"validation": F.expr(verdict), "structured_data": F.col("_state.data")})
-        .drop("_state")
+        .drop("_errors", "_state")
     )
 
 

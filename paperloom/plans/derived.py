@@ -78,7 +78,7 @@ def columns_sql(columns: dict[str, str]) -> list[str]:
 
 
 def invoices(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "orders").selectExpr(*columns_sql(INVOICE_COLUMNS))
+    rows = spread(table(spark, folder, "orders")).selectExpr(*columns_sql(INVOICE_COLUMNS))
     entries = F.array_compact(
         F.array(
             F.struct(F.lit("invoice_number").alias("k"), F.col("invoice_number").alias("v")),
@@ -102,7 +102,7 @@ def invoices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem").selectExpr(*columns_sql(RECEIPT_COLUMNS))
+    rows = spread(table(spark, folder, "lineitem")).selectExpr(*columns_sql(RECEIPT_COLUMNS))
     fields = [c for c in RECEIPT_COLUMNS if c != "doc_id"]
     pairs = [x for f in fields for x in (F.lit(f), F.col(f))]
     return rows.select(
@@ -215,8 +215,7 @@ DOC_REPAIR = """'{"corrected_fields": {"date": "2024-05-05", "vendor_name": "Acm
 
 def answers(spark: SparkSession, folder: str, *stages: str) -> DataFrame:
     """Reply table for the documents; the text is read only where it is quoted."""
-    docs = table(spark, folder, "documents").selectExpr("doc_id", "text", "n_chars",
-                                                        f"{KIND} AS kind")
+    docs = documents(spark, folder, "n_chars").withColumn("kind", F.expr(KIND))
     json = {
         "classify": wrapped(CLASSIFY_JSON),
         "extract": wrapped(EXTRACT_JSON),

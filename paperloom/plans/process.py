@@ -45,10 +45,9 @@ def process(
     read = (
         full.transform(replies.read_classification)
         .transform(replies.read_extraction)
-        .transform(replies.read_repairs)
         .transform(replies.read_detection)
     )
-    checked = validate.validate(read, "fixes", "untruthy")
+    checked = validate.validate(read, replies.corrections(), "untruthy")
     masked = redact.redact(
         checked,
         model_spans="model_spans" if options.use_model_spans else None,

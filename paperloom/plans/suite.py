@@ -282,7 +282,7 @@ def record_error_report(spark, sf):
 def _repaired(spark, sf):
     gathered = replies.gather(D.repair_replies(spark, sf))
     joined = replies.attach(D.invoices(spark, sf), gathered)
-    return validate.validate(replies.read_repairs(joined), "fixes")
+    return validate.validate(joined, replies.corrections())
 
 
 @query
