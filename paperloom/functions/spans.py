@@ -63,8 +63,11 @@ def _spans_of(text: str, pii_type: str, pattern: str, group: int) -> str:
     """
     regex = lit(_FLAGS + pattern)
     whole = f"regexp_extract_all({text}, {regex}, 0)"
-    value = f"regexp_extract_all({text}, {regex}, {group})" if group else whole
-    matches = f"zip_with({whole}, {value}, (m, v) -> {struct(whole='m', value='v')})"
+    if group:
+        value = f"regexp_extract_all({text}, {regex}, {group})"
+        matches = f"zip_with({whole}, {value}, (m, v) -> {struct(whole='m', value='v')})"
+    else:
+        matches = f"transform({whole}, m -> {struct(whole='m', value='m')})"
     steps = (
         f"zip_with(split({text}, {regex}, -1), {matches}, "
         f"(g, h) -> {struct(gap='length(g)', hit='h')})"
