@@ -25,8 +25,10 @@ _FLAGS = "(?iUd)"
 # decides whether the fourteen patterns are tried at all. Exact, not a sample.
 _NEEDS_DIGITS = r"(?U)\d{3}|\d[./-]\d"
 
-# Where a fold over spans stands: the position reached and the spans so far.
-_START = f"CAST({struct(upto='0', spans=empty(SPAN))} AS struct<upto:int,spans:array<{SPAN}>>)"
+# Spark copies a fold's state at every step. A fold over the spans of a text
+# that is full of them therefore runs in runs of this many.
+_RUN = 64
+_STATE = f"struct<upto:int,spans:array<{SPAN}>>"
 
 
 def may_hold_pii(text: str) -> str:
@@ -59,7 +61,8 @@ def _spans_of(text: str, pii_type: str, pattern: str, group: int) -> str:
 
     Spark has no function that returns match offsets, but the text between the
     matches is what ``split`` returns, so the lengths of the gaps and matches
-    before a match add up to its start.
+    before a match add up to its start. That is done in runs: first the length
+    of each run, then where each run starts, then the spans inside it.
     """
     regex = lit(_FLAGS + pattern)
     whole = f"regexp_extract_all({text}, {regex}, 0)"
@@ -79,11 +82,30 @@ def _spans_of(text: str, pii_type: str, pattern: str, group: int) -> str:
         str(PATTERN_CONFIDENCE),
     )
     grown = struct(upto=end, spans=f"concat(acc.spans, array({found}))")
-    fold = (
-        f"aggregate({steps}, {_START}, (acc, step) -> "
+    begin = f"CAST({struct(upto='b', spans=empty(SPAN))} AS {_STATE})"
+    run = (
+        f"aggregate(r, {begin}, (acc, step) -> "
         f"CASE WHEN step.hit IS NULL THEN acc ELSE {grown} END, acc -> acc.spans)"
     )
-    return f"CASE WHEN {text} RLIKE {regex} THEN {fold} ELSE {empty(SPAN)} END"
+    runs = (
+        f"transform(sequence(0, (size(steps) - 1) DIV {_RUN}), "
+        f"n -> slice(steps, n * {_RUN} + 1, {_RUN}))"
+    )
+    sizes = (
+        "transform(runs, r -> aggregate(r, 0, (acc, step) -> "
+        "acc + step.gap + coalesce(length(step.hit.whole), 0)))"
+    )
+    starts = "transform(sizes, (z, i) -> aggregate(slice(sizes, 1, i), 0, (acc, x) -> acc + x))"
+    found_all = let(
+        "steps",
+        steps,
+        let(
+            "runs",
+            runs,
+            let("sizes", sizes, f"flatten(zip_with(runs, {starts}, (r, b) -> {run}))"),
+        ),
+    )
+    return f"CASE WHEN {text} RLIKE {regex} THEN {found_all} ELSE {empty(SPAN)} END"
 
 
 def pattern_spans(text: str) -> str:
@@ -133,14 +155,19 @@ def resolve(text: str, spans: str) -> str:
     """
     sound = (
         f"filter({spans}, s -> s.start_index >= 0 AND s.start_index < s.end_index "
-        f"AND s.end_index <= length({text}) AND s.original_value <> '')"
+        f"AND s.end_index <= size_ AND s.original_value <> '')"
     )
     keyed = (
         f"array_sort(transform({sound}, (s, i) -> "
         f"{struct(at='s.start_index', longest='-s.end_index', i='i', span='s')}))"
     )
-    grown = struct(upto="k.span.end_index", spans="concat(acc.spans, array(k.span))")
-    return (
-        f"aggregate({keyed}, {_START}, (acc, k) -> "
-        f"CASE WHEN k.at < acc.upto THEN acc ELSE {grown} END, acc -> acc.spans)"
+    # The state holds places in the list, not spans: it is copied at every step.
+    begin = f"CAST({struct(upto='0', n='0', kept='array()')} AS struct<upto:int,n:int,kept:array<int>>)"
+    keep = struct(upto="k.span.end_index", n="acc.n + 1", kept="concat(acc.kept, array(acc.n + 1))")
+    skip = struct(upto="acc.upto", n="acc.n + 1", kept="acc.kept")
+    places = (
+        f"aggregate(sorted, {begin}, (acc, k) -> "
+        f"CASE WHEN k.at < acc.upto THEN {skip} ELSE {keep} END, acc -> acc.kept)"
     )
+    chosen = let("sorted", keyed, f"transform({places}, p -> element_at(sorted, p).span)")
+    return let("size_", f"length({text})", chosen)

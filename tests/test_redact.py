@@ -169,3 +169,14 @@ def test_detection_runs_once_per_row(spark):
     for out in (redact.span_rows(redact.detect(df), "pii_spans"), redact.redact(df)):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(r"regexp_extract_all(coalesce(text") == 12 + 2 * 2
+
+
+@pytest.mark.parametrize("mode", ["compat", "clean"])
+def test_texts_full_of_spans_match_the_model(spark, mode):
+    unique = " ".join(f"é t{i}@email.com at {i % 256}.1.2.{i % 200} {'x' * (i % 70)}" for i in range(400))
+    repeated = "a@b.com (555) 123-4567\n" * 150
+    texts = [unique, repeated, unique[:4096], "é" * 4096 + "a@b.com", "x" * 4090 + " a@b.com " + "y" * 9000]
+    for text, (got, counts) in zip(texts, run(spark, texts, mode), strict=True):
+        found = sorted(model.find(text), key=lambda s: s[2])
+        want, kept = model.mask(text, found) if mode == "compat" else model.clean(text, found)
+        assert got == want and sum(counts.values()) == len(kept)
