@@ -71,7 +71,8 @@ def score_spans(
     keys: Sequence[str] = ("doc_id", "pii_type"),
 ) -> DataFrame:
     """A found span is right when it overlaps a true one of its type; a true
-    span is missed when no found one overlaps it. ``by`` must be among ``keys``.
+    span is missed when no found one overlaps it. ``by`` must be among ``keys``. Both
+    tables are read twice: ``settle`` them when they are costly to compute.
     """
     hits = flag_overlaps(found, truth, keys).select(
         *by,
