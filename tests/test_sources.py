@@ -1,4 +1,5 @@
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -95,8 +96,9 @@ def test_wall_time_wins_over_durations(spark):
 def test_stream_equals_batch(spark, tmp_path):
     folder = make_folder(tmp_path)
     out = str(tmp_path / "out")
+    # The progress of a named stream outlives the session, so each run needs its own name.
     query = stream.start(
-        stream.redacted_documents(spark, str(folder)), f"t{tmp_path.name}", out
+        stream.redacted_documents(spark, str(folder)), f"test-{uuid.uuid4().hex}", out
     )
     query.awaitTermination(120)
     got = {r.file_name: (r.redacted_text, r.load_error) for r in spark.read.parquet(out).collect()}
