@@ -94,10 +94,10 @@ def record_id(url: str, date: str, key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {key}')}>"
 
 
-def warc_type(url: str) -> str:
-    """WARC type that matches the scheme of an ARC record."""
+def warc_type(url: str, block: bytes) -> str:
+    """WARC type of an ARC record: what was fetched by HTTP or DNS is a response."""
     scheme = url.partition(":")[0].lower()
-    return "warcinfo" if scheme == "filedesc" else "response" if scheme in ("http", "https", "dns") else "resource"
+    return "warcinfo" if scheme == "filedesc" else "response" if block.startswith(b"HTTP/") or scheme == "dns" else "resource"
 
 
 def warc_record(kind: str, url: str, date: str, ident: str, block: bytes, payload_digest: str, refers: tuple[str, str] | None = None) -> bytes:
@@ -180,7 +180,7 @@ def arc_digests(arcs: DataFrame) -> DataFrame:
             for arc in frame.column("arc"):
                 pages, digests, sizes = [], [], []
                 for record in read_arc(arc.as_py()):
-                    if warc_type(record["url"]) == "response":
+                    if warc_type(record["url"], record["block"]) == "response":
                         head, payload = http_parts(record["block"])
                         pages.append(_page_of(head))
                         digests.append(sha1_base32(payload))
@@ -215,7 +215,7 @@ def arc_to_warc(arcs: DataFrame, references: DataFrame) -> DataFrame:
     def split(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for arc in frame.column("arc"):
-                rows = [r for r in read_arc(arc.as_py()) if warc_type(r["url"]) == "response"]
+                rows = [r for r in read_arc(arc.as_py()) if warc_type(r["url"], r["block"]) == "response"]
                 parts = [http_parts(r["block"]) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [

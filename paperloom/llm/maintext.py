@@ -61,7 +61,7 @@ class Token:
 class Weights:
     """What a tag costs and a word earns, learned from pages that mark their article."""
 
-    tags: dict[str, float] = field(default_factory=dict)
+    tags: dict[str, float] = field(default_factory=lambda: dict.fromkeys((*INLINE, *HEADING, "p", "br", "blockquote", "pre"), 1e-3))
     other: float = 0.5
     word: float = 1.0
     link: float = 0.2
@@ -169,7 +169,7 @@ def tokens(page: str) -> tuple[list[Token], bool]:
                 best = max(best, mark)
         if not excluded or not raw or raw[-1][0] != name:
             raw.append((name, 2 if marks[2] else 1 if marks[1] else 0, False, "", name not in INLINE))
-    put_text(page[at:] if not page[at:].startswith("<") else "")
+    put_text(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", page[at:]))  # without a tag that is cut off
     out_tokens = []
     for kind, depth, linked, text, breaks in raw:
         zone = FREE if not best else IN if depth == best else OUT

@@ -18,6 +18,8 @@ MOST = 2
 #: Documents of a source that one flight moves; larger sources fly in several blocks.
 BLOCK = 4096
 EPS = 1e-9
+#: Units that a block of a large source leaves to the next flight.
+SPARE = 8
 #: Units of a source that its landing may flip besides the fractional ones.
 EXCHANGES = 16
 
@@ -121,8 +123,13 @@ def _fly_blocks(rows: DataFrame, seed: int) -> DataFrame:
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("size", "descending"), ("doc_id", "ascending")]))
         start, size = rows.column("chance").to_numpy().astype(float), rows.column("size").to_numpy().astype(float)
         draws = np.random.default_rng([seed, key[0].as_py(), key[1].as_py(), len(size)])
-        chance = fly(start, size, draws)
-        if rows.column("blocks")[0].as_py() == 1:
+        last = rows.column("blocks")[0].as_py() == 1
+        # Units of all sizes wait for the last block, so that its landing has some to choose from.
+        waits = np.linspace(0, len(size) - 1, 0 if last else min(SPARE, len(size) // 4)).round().astype(int)
+        flies = np.setdiff1d(np.arange(len(size)), waits)
+        chance = start.copy()
+        chance[flies] = fly(start[flies], size[flies], draws)
+        if last:
             chance = land(chance, size, float(start @ size))
         return rows.select(["doc_id", "size", "code"]).append_column("chance", pa.array(chance))
 

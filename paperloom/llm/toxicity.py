@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import hash_share, remainder, settle, shuffle_partitions
 
 #: Documented bounds of the training sample, in rows: confirmed toxic, and unlabelled.
-MAX_POSITIVE = 4000
-MAX_UNLABELLED = 8000
+MAX_POSITIVE = 3000
+MAX_UNLABELLED = 6000
 #: Lengths of the beginnings of words that count as stems.
 PREFIXES = (4, 5, 6)
 #: Features are counted under so many hashes; at most KEPT of them get a weight.
@@ -90,16 +90,22 @@ Rows = list[tuple[np.ndarray, np.ndarray]]
 
 def _matrix(rows: Rows, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row starts, column numbers and densities of the kept features."""
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    columns = [place[codes] for codes, _ in rows]
-    lengths = np.array([int((c >= 0).sum()) for c in columns], np.int64)
-    values = np.concatenate([v[c >= 0] for c, (_, v) in zip(columns, rows)])
-    return np.concatenate(([0], np.cumsum(lengths))), np.concatenate([c[c >= 0] for c in columns]), values
+    columns, values = [], []
+    for codes, density in rows:
+        found = place[codes]
+        columns.append(found[found >= 0])
+        values.append(density[found >= 0])
+    lengths = np.array([len(c) for c in columns], np.int64)
+    return np.concatenate(([0], np.cumsum(lengths))), np.concatenate(columns), np.concatenate(values)
 
 
 def _sums(rows: Rows) -> np.ndarray:
-    return np.bincount(np.concatenate([c for c, _ in rows]), np.concatenate([v for _, v in rows]), minlength=BUCKETS)
+    out = np.zeros(BUCKETS)
+    for codes, density in rows:
+        out[codes] += density  # a hash comes once in a text
+    return out
 
 
 def fit(positive: Rows, unlabelled: Rows, prior: float, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
