@@ -172,11 +172,6 @@ MAX_DOCUMENT_MB = 10
 
 # ---- requests and replies (fixed values) -----------------------------------
 
-CLASSIFY_CHARS = 10000
-EXTRACT_CHARS = 15000
-DETECT_CHARS = 8000
-REPAIR_CHARS = 5000
-CUT_MARK = "\n...[truncated]..."
 
 DEFAULT_CLASS_CONFIDENCE = 0.5
 DEFAULT_REASONING = "No reasoning provided"

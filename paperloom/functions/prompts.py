@@ -4,14 +4,9 @@ from __future__ import annotations
 
 from paperloom.functions.basics import lit
 from paperloom.functions.fixed_values import (
-    CLASSIFY_CHARS,
-    CUT_MARK,
-    DETECT_CHARS,
     DOCUMENT_TYPES,
-    EXTRACT_CHARS,
     EXTRACTION_FIELDS,
     PII_MASKS,
-    REPAIR_CHARS,
 )
 
 CLASSIFY_HEAD = (
@@ -42,32 +37,30 @@ def extract_head(doc_type: str) -> str:
     return f"Read these fields out of the {doc_type}: {names}.\n{EXTRACT_SHAPE}"
 
 
-def cut(text: str, limit: int, mark: str = "") -> str:
-    """Text up to ``limit`` characters, with ``mark`` after a cut."""
-    short = f"concat(substring({text}, 1, {limit}), {lit(mark)})"
-    return f"CASE WHEN length({text}) > {limit} THEN {short} ELSE {text} END"
-
-
-def classify_content(text: str) -> str:
-    return cut(text, CLASSIFY_CHARS, CUT_MARK)
-
-
-def extract_content(text: str) -> str:
-    return cut(text, EXTRACT_CHARS, CUT_MARK)
+def windows(text: str, limit: int | None) -> str:
+    """The whole text as ``(part, offset, piece)``; pieces of ``limit`` characters if one is given."""
+    if limit is None:
+        return f"array(named_struct('part', 0, 'offset', 0, 'piece', {text}))"
+    last = f"greatest(0, CAST(ceil(length({text}) / {limit}) AS INT) - 1)"
+    piece = f"substring({text}, i * {limit} + 1, {limit})"
+    return (
+        f"transform(sequence(0, {last}), "
+        f"i -> named_struct('part', i, 'offset', i * {limit}, 'piece', {piece}))"
+    )
 
 
 def classify_request(text: str) -> str:
-    return f"concat({lit(CLASSIFY_HEAD)}, {classify_content(text)})"
+    return f"concat({lit(CLASSIFY_HEAD)}, {text})"
 
 
 def extract_request(document_type: str, text: str) -> str:
     heads = " ".join(f"WHEN {lit(t)} THEN {lit(extract_head(t))}" for t in EXTRACTION_FIELDS)
     head = f"CASE {document_type} {heads} ELSE {lit(OPEN_EXTRACT_HEAD)} END"
-    return f"concat({head}, {extract_content(text)})"
+    return f"concat({head}, {text})"
 
 
 def detect_request(text: str) -> str:
-    return f"concat({lit(DETECT_HEAD)}, {cut(text, DETECT_CHARS)})"
+    return f"concat({lit(DETECT_HEAD)}, {text})"
 
 
 def error_lines(errors: str) -> str:
@@ -87,6 +80,6 @@ def repair_request(data: str, errors: str, text: str) -> str:
         lit("\nErrors:\n"),
         error_lines(errors),
         lit("\nDocument:\n"),
-        cut(f"coalesce({text}, '')", REPAIR_CHARS),
+        f"coalesce({text}, '')",
     ]
     return f"concat({', '.join(parts)})"

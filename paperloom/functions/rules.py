@@ -63,7 +63,7 @@ def _checks(doc_type: str, rule: tuple, data: str, untruthy: str) -> list[str]:
             expected=lit(pattern),
             actual=value(field),
         )
-        fails = f"NOT ({value(field)} RLIKE {lit('(?d)' + pattern)})"
+        fails = f"NOT ({value(field)} RLIKE {lit('(?Ud)' + pattern)})"
         checks.append(f"CASE WHEN {truthy(field)} AND {fails} THEN {error} END")
     if doc_type == "invoice":
         checks += [numeric(f, f"map_contains_key({data}, {lit(f)})") for f in INVOICE_NUMERIC]

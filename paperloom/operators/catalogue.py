@@ -40,16 +40,18 @@ def type_table(spark: SparkSession) -> DataFrame:
 def type_usage(records: DataFrame) -> DataFrame:
     """C3 next to the data: each listed type with the number of records it has.
 
-    Only listed types are counted, so the counts are at most twelve rows.
+    Records of other types and of none follow as ``(unlisted)`` and ``(none)`` where there
+    are any, so the counts are at most fourteen rows and add up to the input.
     """
     types = type_table(records.sparkSession)
-    counts = (
-        records.where(F.col("document_type").isin(DOCUMENT_TYPES))
-        .groupBy("document_type")
-        .agg(F.count(F.lit(1)).alias("records"))
+    kind = (
+        F.when(F.col("document_type").isin(DOCUMENT_TYPES), F.col("document_type"))
+        .when(F.col("document_type").isNull(), "(none)")
+        .otherwise("(unlisted)")
     )
+    counts = records.groupBy(kind.alias("document_type")).agg(F.count(F.lit(1)).alias("records"))
     return (
-        types.join(F.broadcast(counts), "document_type", "left")
+        types.join(F.broadcast(counts), "document_type", "full")
         .withColumn("records", F.coalesce("records", F.lit(0)))
     )
 

@@ -125,12 +125,14 @@ def score_fields(
 def score_types(
     results: DataFrame, truth: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Share of documents whose predicted type is the true one."""
+    """Share of labelled documents whose predicted type is the true one.
+
+    A labelled document without a prediction counts, as a wrong one.
+    """
     want = truth.groupBy("doc_id", *by).agg(F.max("document_type").alias("want"))
     right = F.count_if(F.col("document_type") == F.col("want"))
     return (
-        results.select("doc_id", "document_type")
-        .join(want, "doc_id")
+        want.join(results.select("doc_id", "document_type"), "doc_id", "left")
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("documents"), right.alias("correct"))
         .withColumn(

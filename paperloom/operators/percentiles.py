@@ -115,4 +115,13 @@ def exact_percentiles(
 def _with_bracket(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     # One row per group on the right. Spark broadcasts it when its measured size
     # allows and splits hot groups of a shuffled join otherwise.
-    return rows.join(small, keys)
+    return join_groups(rows, small, keys, "inner")
+
+
+def join_groups(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join on group keys where NULL is a group like any other."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])

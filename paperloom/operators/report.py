@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.basics import fixed_point
-from paperloom.functions.fixed_values import AGENTS, THRESHOLDS
-from paperloom.operators.percentiles import exact_percentiles
+from paperloom.functions.fixed_values import THRESHOLDS
+from paperloom.operators.percentiles import exact_percentiles, join_groups
 
 
 def status(valid: Column) -> Column:
@@ -82,7 +82,7 @@ def metrics(inputs: DataFrame, by: Sequence[str] = (), scores: DataFrame | None
     )
     points = exact_percentiles(inputs, "processing_time_ms", by)
     if by:
-        joined = share.join(points, list(by), "left")
+        joined = join_groups(share, points, by)
     else:
         # One row each; the constant key keeps this an ordinary equi-join.
         joined = (
@@ -96,7 +96,7 @@ def metrics(inputs: DataFrame, by: Sequence[str] = (), scores: DataFrame | None
     if scores is None:
         return out.withColumns({c: F.lit(None).cast("double") for c in names})
     if by:
-        return out.join(scores.select(*by, *names), list(by), "left")
+        return join_groups(out, scores.select(*by, *names), by)
     return (
         out.withColumn("_one", F.lit(1))
         .join(F.broadcast(scores.select(F.lit(1).alias("_one"), *names)), "_one", "left")
@@ -149,23 +149,25 @@ def decision_view(decisions: DataFrame, *keys: str) -> DataFrame:
 
 
 def audit_summary(decisions: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
-    """M8: one aggregate; the agent map has one slot per known agent type."""
-    known = [*AGENTS, "self_repair"]
-    n = F.count(F.lit(1))
-    per_agent = {a: F.count_if(F.col("agent_type") == a) for a in known}
-    counts = F.create_map(*[x for a, c in per_agent.items() for x in (F.lit(a), c)])
-    return (
-        decisions.groupBy(*by)
-        .agg(
-            n.alias("total_decisions"),
-            counts.alias("_counts"),
-            F.sum("duration_ms").alias("total_duration_ms"),
-            F.avg("duration_ms").alias("avg_duration_ms"),
-            F.count_if(_failed()).alias("error_count"),
-            (F.count_if(_failed()) / n).alias("error_rate"),
-        )
-        .withColumn("decisions_by_agent", F.map_filter("_counts", lambda _, c: c > 0))
-        .drop("_counts")
+    """M8: counts per agent first, then one row per group with a map of any agents.
+
+    Decisions without an agent are counted as ``(none)``.
+    """
+    per_agent = decisions.groupBy(*by, F.coalesce("agent_type", F.lit("(none)")).alias("_agent")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("duration_ms").alias("_sum"),
+        F.count("duration_ms").alias("_timed"),
+        F.count_if(_failed()).alias("_failed"),
+    )
+    n, errors, timed = F.sum("_n"), F.sum("_failed"), F.sum("_timed")
+    entries = F.sort_array(F.collect_list(F.struct("_agent", "_n")))
+    return per_agent.groupBy(*by).agg(
+        n.alias("total_decisions"),
+        F.sum("_sum").alias("total_duration_ms"),
+        F.when(timed > 0, F.sum("_sum") / timed).alias("avg_duration_ms"),
+        errors.alias("error_count"),
+        (errors / n).alias("error_rate"),
+        F.map_from_entries(entries).alias("decisions_by_agent"),
     )
 
 

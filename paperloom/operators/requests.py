@@ -1,4 +1,9 @@
-"""Request tables for the model stages (I1-I4): (doc_id, stage, request)."""
+"""Request tables for the model stages (I1-I4): (doc_id, stage, part, offset, request).
+
+A request holds the whole text. Where a model takes less, ``limit`` gives a window in
+characters: a document then has a request for each window, and the windows join up to its
+text. Positions in a reply to a window count from its ``offset``.
+"""
 
 from __future__ import annotations
 
@@ -8,24 +13,33 @@ from pyspark.sql import functions as F
 from paperloom.functions import prompts
 
 
-def _requests(df: DataFrame, stage: str, request: str, *extra: str) -> DataFrame:
-    return df.select(
-        "doc_id", *extra, F.lit(stage).alias("stage"), F.expr(request).alias("request")
+def _requests(
+    df: DataFrame, stage: str, request: str, text: str, limit: int | None, *extra: str
+) -> DataFrame:
+    pieces = df.select(
+        "doc_id", *extra, F.inline_outer(F.expr(prompts.windows(f"coalesce({text}, '')", limit)))
+    )
+    return pieces.select(
+        "doc_id", *extra, F.lit(stage).alias("stage"), "part", "offset",
+        F.expr(request).alias("request"),
     )
 
 
-def classification_requests(df: DataFrame, text: str = "text") -> DataFrame:
-    return _requests(df, "classify", prompts.classify_request(f"coalesce({text}, '')"))
+def classification_requests(
+    df: DataFrame, text: str = "text", limit: int | None = None
+) -> DataFrame:
+    return _requests(df, "classify", prompts.classify_request("piece"), text, limit)
 
 
-def extraction_requests(df: DataFrame, text: str = "text") -> DataFrame:
-    request = prompts.extract_request("document_type", f"coalesce({text}, '')")
-    return _requests(df, "extract", request, "document_type")
+def extraction_requests(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
+    request = prompts.extract_request("document_type", "piece")
+    return _requests(df, "extract", request, text, limit, "document_type")
 
 
-def detection_requests(df: DataFrame, text: str = "text") -> DataFrame:
+def detection_requests(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
     """None for an empty text."""
-    return _requests(df.where(F.length(text) > 0), "detect_pii", prompts.detect_request(text))
+    full = df.where(F.length(text) > 0)
+    return _requests(full, "detect_pii", prompts.detect_request("piece"), text, limit)
 
 
 def repair_requests(df: DataFrame, max_attempts: int, text: str = "text") -> DataFrame:

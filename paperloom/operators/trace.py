@@ -7,7 +7,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions import prompts
 from paperloom.functions.basics import empty, fixed_point, lit, struct
 from paperloom.functions.fixed_values import AGENTS, SUMMARY_CHARS
 
@@ -65,11 +64,11 @@ def add_trace(
     The audit copy is shorter: no failed stages, no reporter, summaries cut.
     """
     text = "coalesce(text, '')"
-    seen = f"length({prompts.classify_content(text)})"
+    seen = f"length({text})"
     parts = {
         "file": "coalesce(file_name, 'unknown')",
         "seen": seen,
-        "read": f"length({prompts.extract_content(text)})",
+        "read": seen,
         "size": f"length({text})",
         "kind": "document_type",
         "sure": fixed_point("classification_confidence", 2),

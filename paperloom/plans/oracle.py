@@ -354,11 +354,6 @@ ORACLE["pii_detection_scores"] = (
 # ---- requests ---------------------------------------------------------------
 
 
-def _cut(limit: int, mark: str = "") -> str:
-    tail = f" || {text(mark)}" if mark else ""
-    return f"CASE WHEN length(text) > {limit} THEN substr(text, 1, {limit}){tail} ELSE text END"
-
-
 def _facts(request: str, source: str, extra: str = "") -> str:
     return (
         f"SELECT doc_id, {extra}length(r) AS n_chars, sha256(r) AS request_hash FROM "
@@ -366,21 +361,23 @@ def _facts(request: str, source: str, extra: str = "") -> str:
     )
 
 
-_MARK = "\n...[truncated]..."
 ORACLE["classification_requests"] = _facts(
-    f"{text(prompts.CLASSIFY_HEAD)} || {_cut(10000, _MARK)}", "documents"
+    f"{text(prompts.CLASSIFY_HEAD)} || coalesce(text, '')", "documents"
 )
 _HEADS = " ".join(
     f"WHEN '{t}' THEN {text(prompts.extract_head(t))}" for t in EXTRACTION_FIELDS
 )
 ORACLE["extraction_requests"] = _facts(
     f"CASE document_type {_HEADS} ELSE {text(prompts.OPEN_EXTRACT_HEAD)} END || "
-    f"{_cut(15000, _MARK)}",
+    "coalesce(text, '')",
     f"(SELECT *, lower({D.KIND}) AS document_type FROM documents)",
     "document_type, ",
 )
 ORACLE["detection_requests"] = _facts(
-    f"{text(prompts.DETECT_HEAD)} || {_cut(8000)}", "documents WHERE length(text) > 0"
+    f"{text(prompts.DETECT_HEAD)} || substr(text, CAST(part * 8000 + 1 AS BIGINT), 8000)",
+    "(SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 8000.0) AS BIGINT))) AS part "
+    "FROM documents WHERE length(text) > 0)",
+    "CAST(part AS INT) AS part, CAST(part * 8000 AS INT) AS \"offset\", ",
 )
 
 # ---- records ----------------------------------------------------------------
@@ -761,7 +758,7 @@ ORACLE["processed_metrics"] = (
 ORACLE["classifier_accuracy"] = (
     f"WITH {answers_cte()}, {TYPED}, c AS (SELECT quality, count(*) AS documents, count(*) FILTER "
     "(document_type = CASE WHEN doc_id % 2 = 0 THEN 'invoice' ELSE 'receipt' END) AS correct FROM "
-    "typed JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id) GROUP BY 1) "
+    "typed RIGHT JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id) GROUP BY 1) "
     "SELECT *, round(CAST(correct AS DOUBLE) / documents, 6) AS classifier_accuracy FROM c"
 )
 ORACLE["field_accuracy"] = (
@@ -810,10 +807,6 @@ ORACLE["processed_result_view"] = (
 )
 
 
-def _seen(limit: int) -> str:
-    return f"CASE WHEN length(text) > {limit} THEN {limit + len(_MARK)} ELSE length(text) END"
-
-
 _FACTS = (
     f"{_FINAL}, mean AS (SELECT doc_id, count(*) AS n_fields, list_reduce(list(CAST(confidence AS "
     "DOUBLE) ORDER BY ord), lambda a, b: a + b, CAST(0 AS DOUBLE)) / count(*) AS mean, "
@@ -827,7 +820,7 @@ _FACTS = (
     "reasoning, coalesce(n_fields, 0) AS n_fields, coalesce(mean, CAST(0 AS DOUBLE)) AS mean, "
     "coalesce(names, '') AS names, coalesce(by_type, '') AS by_type, coalesce(n_found, 0) AS "
     "n_found, coalesce(n_model, 0) AS n_model, n_chars * CAST(0.25 AS DOUBLE) AS ms, "
-    f"length(text) AS size, {_seen(10000)} AS seen, {_seen(15000)} AS read {_JOINED} "
+    f"length(text) AS size, length(text) AS seen, length(text) AS read {_JOINED} "
     "JOIN (SELECT doc_id, reasoning FROM typed) USING (doc_id) JOIN (SELECT doc_id, text FROM "
     "documents) USING (doc_id) LEFT JOIN mean USING (doc_id) LEFT JOIN kinds_found USING (doc_id) "
     "LEFT JOIN n_found USING (doc_id) LEFT JOIN n_model USING (doc_id)), "

@@ -172,7 +172,8 @@ def extraction_requests(spark, sf):
 
 @query
 def detection_requests(spark, sf):
-    return _request_facts(requests.detection_requests(D.documents(spark, sf)))
+    rows = requests.detection_requests(D.documents(spark, sf), limit=8000)
+    return _request_facts(rows, "part", "offset")
 
 
 @query

@@ -33,8 +33,9 @@ def scan(spark: SparkSession, path: str, max_mb: int = MAX_DOCUMENT_MB) -> DataF
 
 
 def scan_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New files of a folder as a stream; a stream needs the schema up front."""
-    return spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(path)
+    """New files below a folder as a stream; a stream needs the schema up front."""
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    return files.schema(FILE_SCHEMA).load(path)
 
 
 def decode(content: Column) -> Column:
@@ -60,6 +61,7 @@ def ingest(files: DataFrame, max_mb: int = MAX_DOCUMENT_MB) -> DataFrame:
     )
     error = (
         F.when(F.col("length") > limit, size_error)
+        .when(F.col("content").isNull(), "File content was not read")
         .when(F.col("route") == "pdf", "Failed to load PDF: text extraction not available")
         .when(F.col("route") == "unsupported", F.concat(F.lit("Unsupported file type: "),
                                                         F.col("file_type")))

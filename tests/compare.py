@@ -45,13 +45,14 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if bad:
         return f"{len(bad)} rows differ; {cols}; first: spark {bad[0][0]} sql {bad[0][1]}"[:1500]
     for c in cols:
-        if (got[c].dtype.kind in "iu") != (want[c].dtype.kind in "iu") and len(got):
+        filled = got[c].notna().any() and want[c].notna().any()  # pandas has no type for NULLs only
+        if (got[c].dtype.kind in "iu") != (want[c].dtype.kind in "iu") and filled:
             return f"type of {c}: {got[c].dtype} != {want[c].dtype}"
     return None
 
 
 def _plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return None
     if isinstance(x, pd.Timestamp):
         return x.isoformat()

@@ -168,12 +168,23 @@ def test_gather_keeps_the_last_attempt_and_one_row_per_document(spark):
     assert [a and a.reply for a in got[2].repairs] == [None, None, "third"]
 
 
-def test_requests_cut_long_texts(spark):
-    df = spark.createDataFrame([(1, "x" * 16000, "invoice"), (2, "", "memo")],
+def test_requests_hold_whole_texts(spark):
+    df = spark.createDataFrame([(1, "x" * 16000 + "y", "invoice"), (2, "", "memo"), (3, None, "memo")],
                                "doc_id long, text string, document_type string")
-    classify = requests.classification_requests(df).where("doc_id = 1").first().request
-    assert classify.endswith("x" * 10000 + "\n...[truncated]...")
+    classify = requests.classification_requests(df).where("doc_id = 1").collect()
+    assert len(classify) == 1 and classify[0].request.endswith("x" * 16000 + "y")
     extract = {r.doc_id: r.request for r in requests.extraction_requests(df).collect()}
-    assert extract[1].endswith("x" * 15000 + "\n...[truncated]...") and "due_date" in extract[1]
+    assert extract[1].endswith("x" * 16000 + "y") and "due_date" in extract[1] and len(extract) == 3
     detect = requests.detection_requests(df).collect()
-    assert [r.doc_id for r in detect] == [1] and detect[0].request.endswith("\n" + "x" * 8000)
+    assert [r.doc_id for r in detect] == [1] and detect[0].request.endswith("\n" + "x" * 16000 + "y")
+
+
+def test_request_windows_join_up_to_the_text(spark):
+    text = "".join(chr(97 + i % 26) for i in range(2001))
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, "z" * 500)], "doc_id long, text string")
+    found = {}
+    for r in sorted(requests.detection_requests(df, limit=500).collect(), key=lambda r: (r.doc_id, r.part)):
+        piece = r.request.split("\n\n", 1)[1]
+        assert r.offset == len(found.get(r.doc_id, "")) == r.part * 500
+        found[r.doc_id] = found.get(r.doc_id, "") + piece
+    assert found == {1: text, 2: "short", 3: "z" * 500}
