@@ -121,7 +121,9 @@ def _with_bracket(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFra
 def join_groups(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Join on group keys where NULL is a group like any other."""
+    """Join on group keys where NULL is a group like any other; without keys both have one row."""
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), how)
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
     return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])

@@ -149,26 +149,21 @@ def decision_view(decisions: DataFrame, *keys: str) -> DataFrame:
 
 
 def audit_summary(decisions: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
-    """M8: counts per agent first, then one row per group with a map of any agents.
-
-    Decisions without an agent are counted as ``(none)``.
-    """
-    per_agent = decisions.groupBy(*by, F.coalesce("agent_type", F.lit("(none)")).alias("_agent")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("duration_ms").alias("_sum"),
-        F.count("duration_ms").alias("_timed"),
-        F.count_if(_failed()).alias("_failed"),
-    )
-    n, errors, timed = F.sum("_n"), F.sum("_failed"), F.sum("_timed")
-    entries = F.sort_array(F.collect_list(F.struct("_agent", "_n")))
-    return per_agent.groupBy(*by).agg(
+    """M8: one row per group with a map of any agents; those without one are ``(none)``."""
+    n = F.count(F.lit(1))
+    totals = decisions.groupBy(*by).agg(
         n.alias("total_decisions"),
-        F.sum("_sum").alias("total_duration_ms"),
-        F.when(timed > 0, F.sum("_sum") / timed).alias("avg_duration_ms"),
-        errors.alias("error_count"),
-        (errors / n).alias("error_rate"),
-        F.map_from_entries(entries).alias("decisions_by_agent"),
+        F.sum("duration_ms").alias("total_duration_ms"),
+        F.avg("duration_ms").alias("avg_duration_ms"),
+        F.count_if(_failed()).alias("error_count"),
+        (F.count_if(_failed()) / n).alias("error_rate"),
+    )
+    per_agent = decisions.groupBy(*by, F.coalesce("agent_type", F.lit("(none)")).alias("_agent"))
+    entries = F.sort_array(F.collect_list(F.struct("_agent", "count")))
+    maps = per_agent.count().groupBy(*by).agg(
+        F.map_from_entries(entries).alias("decisions_by_agent")
     )
+    return join_groups(totals, maps, by)
 
 
 def precision_recall(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
