@@ -25,6 +25,13 @@ _FLAGS = "(?iUd)"
 # decides whether the fourteen patterns are tried at all. Exact, not a sample.
 _NEEDS_DIGITS = r"(?U)\d{3}|\d[./-]\d"
 
+# All that a pattern for numbers can match holds seven digits, with at most two
+# other characters between one and the next. Ignoring case, the long s is an s and
+# the i of other alphabets is an i.
+_SEVEN_DIGITS = r"(?U)(?:\d[-.\s)]{0,2}){6}\d"
+_SSN_WORDS = ("ssn", "social", "security", "\u017f")
+_BIRTH_WORDS = ("dob", "birth", "born", "\u0131", "\u0130")
+
 # Spark copies a fold's state at every step. A fold over the spans of a text
 # that is full of them therefore runs in runs of this many.
 _RUN = 64
@@ -108,10 +115,43 @@ def _spans_of(text: str, pii_type: str, pattern: str, group: int) -> str:
     return f"CASE WHEN {text} RLIKE {regex} THEN {found_all} ELSE {empty(SPAN)} END"
 
 
+def _gate(pii_type: str, pattern: str) -> str:
+    """What must hold, of ``seven`` (digits) and the text ``low``, for the pattern to match."""
+    if pii_type == "email":
+        return "contains(low, '@')"
+    if pii_type == "ip_address":
+        return "contains(low, '.')"
+    if pii_type == "date_of_birth":
+        return " OR ".join(f"contains(low, {lit(w)})" for w in _BIRTH_WORDS)
+    if "security" in pattern:
+        return f"seven AND ({' OR '.join(f'contains(low, {lit(w)})' for w in _SSN_WORDS)})"
+    if pii_type in ("ssn", "phone", "credit_card"):
+        return "seven"
+    return "true"
+
+
 def pattern_spans(text: str) -> str:
-    """Spans of every pattern, in catalogue order, overlaps kept."""
-    every = ", ".join(_spans_of(text, *entry) for entry in PII_PATTERNS)
-    return f"CASE WHEN {may_hold_pii(text)} THEN concat({every}) ELSE {empty(SPAN)} END"
+    """Spans of every pattern, in catalogue order, overlaps kept.
+
+    A pattern is tried only where a cheaper test leaves it a chance. The second
+    pattern for cards, and the one for licences, match nothing that the pattern
+    before them does not match as well.
+    """
+    found = []
+    tried = iter(PII_PATTERNS)
+    for entry in tried:
+        spans = _spans_of(text, *entry)
+        if entry[0] in ("credit_card", "passport"):
+            wider = let("wider", spans, f"CASE WHEN size(wider) = 0 THEN wider "
+                        f"ELSE concat(wider, {_spans_of(text, *next(tried))}) END")
+            spans = wider
+        gate = _gate(*entry[:2])
+        found.append(f"CASE WHEN {gate} THEN {spans} ELSE {empty(SPAN)} END")
+    seven = f"{text} RLIKE {lit(_SEVEN_DIGITS)}"
+    # Lower case with the original: some letters change their length.
+    low = f"concat(lower({text}), CASE WHEN contains({text}, '\u0130') THEN '\u0130' ELSE '' END)"
+    every = let("low", low, let("seven", seven, f"concat({', '.join(found)})"))
+    return f"CASE WHEN {may_hold_pii(text)} THEN {every} ELSE {empty(SPAN)} END"
 
 
 def context(text: str, span: str) -> str:
@@ -161,13 +201,22 @@ def resolve(text: str, spans: str) -> str:
         f"array_sort(transform({sound}, (s, i) -> "
         f"{struct(at='s.start_index', longest='-s.end_index', i='i', span='s')}))"
     )
-    # The state holds places in the list, not spans: it is copied at every step.
-    begin = f"CAST({struct(upto='0', n='0', kept='array()')} AS struct<upto:int,n:int,kept:array<int>>)"
-    keep = struct(upto="k.span.end_index", n="acc.n + 1", kept="concat(acc.kept, array(acc.n + 1))")
-    skip = struct(upto="acc.upto", n="acc.n + 1", kept="acc.kept")
-    places = (
-        f"aggregate(sorted, {begin}, (acc, k) -> "
-        f"CASE WHEN k.at < acc.upto THEN {skip} ELSE {keep} END, acc -> acc.kept)"
+    # A fold's state is copied at every step, so lists grow only inside a run: first
+    # where the kept spans before each run end, then the spans kept in each run.
+    runs = (
+        f"transform(sequence(0, size(sorted) DIV {_RUN}), "
+        f"n -> slice(sorted, n * {_RUN} + 1, {_RUN}))"
+    )
+    starts = (
+        "aggregate(runs, array(0), (acc, r) -> concat(acc, array(aggregate(r, "
+        "element_at(acc, -1), (upto, k) -> CASE WHEN k.at < upto THEN upto "
+        "ELSE k.span.end_index END))))"
+    )
+    begin = f"CAST({struct(upto='b', spans=empty(SPAN))} AS {_STATE})"
+    keep = struct(upto="k.span.end_index", spans="concat(acc.spans, array(k.span))")
+    run = (
+        f"aggregate(r, {begin}, (acc, k) -> "
+        f"CASE WHEN k.at < acc.upto THEN acc ELSE {keep} END, acc -> acc.spans)"
     )
-    chosen = let("sorted", keyed, f"transform({places}, p -> element_at(sorted, p).span)")
-    return let("size_", f"length({text})", chosen)
+    kept = let("runs", runs, f"flatten(zip_with(runs, slice({starts}, 1, size(runs)), (r, b) -> {run}))")
+    return let("size_", f"length({text})", let("sorted", keyed, kept))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,55 +15,61 @@ from paperloom.operators.report import precision_recall
 BLOCK_CHARS = 4096
 
 
-def _blocks(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct spans with their multiplicity, one row per block they touch."""
-    first = F.floor(F.least("start_index", F.col("end_index") - 1) / BLOCK_CHARS)
-    last = F.floor(F.greatest("start_index", F.col("end_index") - 1) / BLOCK_CHARS)
-    return (
-        spans.groupBy(*keys, "start_index", "end_index")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("block", F.explode(F.sequence(first, last)))
-    )
+def compare_spans(found: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """R4 between two span tables, both ways in one pass: the distinct spans of each,
+    ``is_true`` for those of ``truth``, with their count ``n`` and whether a span of the
+    other table with the same keys overlaps them.
 
-
-def flag_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """R4 between two span tables: distinct spans of ``left`` with their count ``n``
-    and whether any span of ``right`` with the same keys overlaps them.
-
-    No pair is ever produced. Within a block, the spans of ``right`` that start
-    before a span's end are the ones it can overlap, and it does overlap one
-    exactly when the furthest of their ends lies beyond its start: a running
-    maximum over one sort. Both sides lose duplicates before the shuffle, so a
-    block holds a number of spans bounded by its length.
+    No pair is ever produced. Within a block, the spans that start before a span's end
+    are the ones it can overlap, and it does overlap one exactly when the furthest of
+    their ends lies beyond its start: a running maximum over one sort. Duplicates go
+    before the sort, so a block holds a number of spans bounded by its length.
     """
-    asked = _blocks(left, keys).select(
-        *keys, "block", F.col("end_index").alias("at"), F.lit(0).alias("side"),
-        "start_index", "end_index", "n", F.lit(None).cast("int").alias("reach"),
+    span = [*keys, "start_index", "end_index", "is_true"]
+    first = F.floor(F.least("start_index", F.col("end_index") - 1) / BLOCK_CHARS)
+    last = F.floor(F.greatest("start_index", F.col("end_index") - 1) / BLOCK_CHARS)
+    # On equal positions the question (given = 0) comes first: starting where a span
+    # ends is not an overlap.
+    events = F.array(
+        F.struct(F.col("end_index").alias("at"), F.lit(0).alias("given")),
+        F.struct(F.col("start_index").alias("at"), F.lit(1).alias("given")),
     )
-    given = _blocks(right, keys).select(
-        *keys, "block", F.col("start_index").alias("at"), F.lit(1).alias("side"),
-        F.lit(None).cast("int").alias("start_index"), F.lit(None).cast("int").alias("end_index"),
-        F.lit(None).cast("bigint").alias("n"), F.col("end_index").alias("reach"),
+    plain = [*keys, "start_index", "end_index"]
+    both = found.select(*plain, F.lit(False).alias("is_true")).unionByName(
+        truth.select(*plain, F.lit(True).alias("is_true"))
     )
-    # On equal positions the question (side 0) comes first: starting where a span
-    # ends is not an overlap.
     upto = (
-        W.partitionBy(*keys, "block").orderBy("at", "side")
+        W.partitionBy(*keys, "block").orderBy("at", "given")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
+
+    def reach(of_truth: bool) -> Column:
+        here = (F.col("given") == 1) & (F.col("is_true") == of_truth)
+        return F.max(F.when(here, F.col("end_index"))).over(upto)
+
+    other = F.when(F.col("is_true"), F.col("_found")).otherwise(F.col("_true"))
     return (
-        asked.unionByName(given)
-        .withColumn("_reach", F.max("reach").over(upto))
-        .where("side = 0")
-        .groupBy(*keys, "start_index", "end_index")
+        both.groupBy(*span)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("block", F.explode(F.sequence(first, last)))
+        .select(*span, "n", "block", F.inline(events))
+        .withColumns({"_found": reach(False), "_true": reach(True)})
+        .where("given = 0")
+        .groupBy(*span)
         .agg(
             F.max("n").alias("n"),
-            F.max(F.coalesce(F.col("_reach") > F.col("start_index"), F.lit(False)))
-            .alias("overlapped"),
+            F.max(F.coalesce(other > F.col("start_index"), F.lit(False))).alias("overlapped"),
         )
     )
 
 
+def flag_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct spans of ``left`` with their count ``n`` and whether any span of
+    ``right`` with the same keys overlaps them.
+    """
+    return compare_spans(left, right, keys).where("NOT is_true").drop("is_true")
+
+
 def score_spans(
     found: DataFrame,
     truth: DataFrame,
@@ -71,22 +77,18 @@ def score_spans(
     keys: Sequence[str] = ("doc_id", "pii_type"),
 ) -> DataFrame:
     """A found span is right when it overlaps a true one of its type; a true
-    span is missed when no found one overlaps it. ``by`` must be among ``keys``. Both
-    tables are read twice: ``settle`` them when they are costly to compute.
+    span is missed when no found one overlaps it. ``by`` must be among ``keys``.
     """
-    hits = flag_overlaps(found, truth, keys).select(
-        *by,
-        F.when(F.col("overlapped"), F.col("n")).otherwise(0).alias("tp"),
-        F.when(F.col("overlapped"), 0).otherwise(F.col("n")).alias("fp"),
-        F.lit(0).cast("bigint").alias("fn"),
-    )
-    misses = flag_overlaps(truth, found, keys).select(
-        *by,
-        F.lit(0).cast("bigint").alias("tp"),
-        F.lit(0).cast("bigint").alias("fp"),
-        F.when(F.col("overlapped"), 0).otherwise(F.col("n")).alias("fn"),
+    hit, true = F.col("overlapped"), F.col("is_true")
+
+    def spans(where: Column) -> Column:
+        return F.when(where, F.col("n")).otherwise(0)
+
+    counted = compare_spans(found, truth, keys).select(
+        *by, spans(~true & hit).alias("tp"), spans(~true & ~hit).alias("fp"),
+        spans(true & ~hit).alias("fn"),
     )
-    counts = hits.unionByName(misses).groupBy(*by).agg(
+    counts = counted.groupBy(*by).agg(
         F.coalesce(F.sum("tp"), F.lit(0)).cast("bigint").alias("true_positives"),
         F.coalesce(F.sum("fp"), F.lit(0)).cast("bigint").alias("false_positives"),
         F.coalesce(F.sum("fn"), F.lit(0)).cast("bigint").alias("false_negatives"),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import PERCENTILES
 
+#: A sketch cuts the line of values into 2 ** _HALVINGS bins.
+_HALVINGS = 10
 _ACCURACY = 10000
-_MARGIN = 3.0 / _ACCURACY
 
 
 def _index(n: Column, fraction: float) -> Column:
@@ -28,94 +29,66 @@ def exact_percentiles(
 ) -> DataFrame:
     """Element ``int(n*f)`` of each group's sorted values, one column per fraction.
 
-    Sorting a group in one task fails when a group holds a third of all rows, so:
-    a sketch brackets each percentile, one counting pass says on which side of
-    the bracket the element really lies, and only that slice is ranked, after
-    equal values were counted together. The sketch decides the cost, never the
-    result. Three passes over two columns; each shuffles pre-aggregated rows.
+    Equal values are counted together first; that is the one shuffle of all rows, by
+    group and value. Twice, the line of values is then cut into bins, and only the bins
+    that hold a wanted element go on, so what is ranked at last is about a millionth of
+    the values, whatever share of the rows a group has. The cuts decide the cost, never
+    the result. NULL values do not count; NULL is a group like any other.
     """
-    names = list(fractions)
     keys = list(by) or ["_all"]
     rows = (df if by else df.withColumn("_all", F.lit(0))).select(
         *keys, F.col(value).cast("double").alias("_x")
     )
-    rows = rows.where(F.col("_x").isNotNull())
-    ends = [
-        min(max(f + side, 0.0), 1.0)
-        for f in fractions.values()
-        for side in (-_MARGIN, _MARGIN)
+    values = rows.where("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.count("_x").alias("_c"))
+    places = [
+        F.struct(F.lit(name).alias("name"), _index(F.col("_n"), f).alias("at"))
+        for name, f in fractions.items()
     ]
-    bracket = rows.groupBy(*keys).agg(
-        F.count("_x").alias("_n"),
-        F.percentile_approx("_x", ends, _ACCURACY).alias("_ends"),
-    )
-    if not by:
-        bracket = F.broadcast(bracket)  # one row
-
-    def low(i: int) -> Column:
-        return F.col("_ends")[2 * i]
-
-    def high(i: int) -> Column:
-        return F.col("_ends")[2 * i + 1]
-
-    counted = (
-        _with_bracket(rows, bracket, keys)
+    given = F.struct(F.col("_name").alias("name"), F.col("_at").alias("at"))
+    found = _narrow(values, keys, F.explode(F.array(*places)), keys)
+    found = _narrow(found, [*keys, "_name", "_at"], given, keys)
+    upto = F.sum("_c").over(W.partitionBy(*keys, "_name").orderBy("_x"))
+    return (
+        found.withColumn("_upto", upto)
+        .where("_upto > _at")
         .groupBy(*keys)
-        .agg(
-            F.first("_n").alias("_n"),
-            F.first("_ends").alias("_ends"),
-            *[F.count_if(F.col("_x") < low(i)).alias(f"_below_{i}") for i in range(len(names))],
-            *[F.count_if(F.col("_x") <= high(i)).alias(f"_upto_{i}") for i in range(len(names))],
-        )
+        .agg(*[F.min(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in fractions])
+        .select(*by, *fractions)
     )
 
-    def target(i: int, name: str) -> Column:
-        at = _index(F.col("_n"), fractions[name])
-        below, upto = F.col(f"_below_{i}"), F.col(f"_upto_{i}")
-        side = F.when(at < below, -1).when(at < upto, 0).otherwise(1)
-        skipped = F.when(at < below, F.lit(0)).when(at < upto, below).otherwise(upto)
-        return F.struct(
-            F.lit(name).alias("name"),
-            side.alias("side"),
-            (at - skipped).alias("rank"),
-            low(i).alias("low"),
-            high(i).alias("high"),
-        )
-
-    targets = counted.select(
-        *keys, F.array(*[target(i, n) for i, n in enumerate(names)]).alias("_targets")
+
+def _narrow(values: DataFrame, keys: list[str], target: Column, kept: list[str]) -> DataFrame:
+    """The values in the bins that hold a target, each with its ``_name`` and its place
+    ``_at`` among the values of its bin. ``target`` may use the size ``_n`` of a group.
+    """
+    binned = _bins(values)
+    sums = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_s"))
+    group = W.partitionBy(*keys)  # at most 2 ** _HALVINGS rows
+    asked = (
+        sums.withColumn("_upto", F.sum("_s").over(group.orderBy("_bin")))
+        .withColumn("_n", F.sum("_s").over(group))
+        .select("*", target.alias("_t"))
+        .where("_t.at < _upto AND _t.at >= _upto - _s")
     )
-    if not by:
-        targets = F.broadcast(targets)  # one row
-
-    def holds(t: Column) -> Column:
-        x = F.col("_x")
-        side = F.when(x < t["low"], -1).when(x <= t["high"], 0).otherwise(1)
-        return side == t["side"]
-
-    ranked = (
-        _with_bracket(rows, targets, keys)
-        .select(*keys, "_x", F.explode(F.filter("_targets", holds)).alias("_t"))
-        .groupBy(*keys, F.col("_t.name").alias("_name"), F.col("_t.rank").alias("_rank"), "_x")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn(
-            "_cum",
-            F.sum("_c").over(
-                W.partitionBy(*keys, "_name").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-            ),
-        )
-        .where(F.col("_cum") > F.col("_rank"))
+    chosen = asked.select(
+        *keys, "_bin", F.col("_t.name").alias("_to"),
+        (F.col("_t.at") - F.col("_upto") + F.col("_s")).alias("_place"),
     )
-    found = ranked.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in names]
+    return join_groups(binned, chosen, [*keys, "_bin"], "inner").select(
+        *kept, "_x", "_c", F.col("_to").alias("_name"), F.col("_place").alias("_at")
     )
-    return found.select(*by, *names)
 
 
-def _with_bracket(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    # One row per group on the right. Spark broadcasts it when its measured size
-    # allows and splits hot groups of a shuffled join otherwise.
-    return join_groups(rows, small, keys, "inner")
+def _bins(values: DataFrame) -> DataFrame:
+    """``values`` with ``_bin``, the number of cuts up to ``_x``, by a search in halves."""
+    steps = 1 << _HALVINGS
+    cuts = F.percentile_approx("_x", [i / steps for i in range(1, steps)], _ACCURACY)
+    out = values.withColumn("_cuts", values.agg(F.array_sort(cuts).alias("cuts")).scalar())
+    out = out.withColumn("_bin", F.lit(0))
+    while steps := steps // 2:
+        beyond = F.get("_cuts", F.col("_bin") + (steps - 1)) <= F.col("_x")
+        out = out.withColumn("_bin", F.col("_bin") + F.when(beyond, steps).otherwise(0))
+    return out.drop("_cuts")
 
 
 def join_groups(

@@ -323,12 +323,16 @@ ORACLE["pii_merged_spans"] = (
 
 # ---- evaluation -------------------------------------------------------------
 
+_TRUE = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS pii_type, text, regexp_extract(text, {text(pattern)}, 0) AS value "
+    "FROM documents"
+    for kind, pattern in D.TRUE_PATTERNS.items()
+)
 TRUTH = (
-    spans_cte() + ", found AS (SELECT * FROM spans WHERE pii_type IN ('credit_card', 'ip_address'))"
-    ", truth AS (SELECT doc_id, pii_type, s + CASE WHEN doc_id % 3 = 0 THEN 100 ELSE 0 END AS s, "
-    "e + CASE WHEN doc_id % 3 = 0 THEN 100 ELSE 0 END AS e FROM found WHERE pii_type = "
-    "'credit_card' OR list_max(list_transform(string_split(value, '.'), "
-    "lambda o: CAST(o AS INTEGER))) <= 255), "
+    spans_cte() + ", found AS (SELECT * FROM spans), "
+    f"first_values AS (SELECT *, instr(text, value) - 1 + {D.TRUE_SHIFT} AS s FROM ({_TRUE}) "
+    "WHERE value <> ''), "
+    "truth AS (SELECT doc_id, pii_type, s, s + length(value) AS e FROM first_values), "
     "hits AS (SELECT *, EXISTS (SELECT 1 FROM truth t WHERE t.doc_id = f.doc_id AND t.pii_type = "
     "f.pii_type AND t.s < f.e AND f.s < t.e) AS hit FROM found f), "
     "misses AS (SELECT *, EXISTS (SELECT 1 FROM found f WHERE t.doc_id = f.doc_id AND t.pii_type = "
@@ -480,7 +484,7 @@ _JSON_MAP = (
 ORACLE["repair_requests"] = (
     f"WITH {RECORDS}, need AS (SELECT doc_id, {text(prompts.REPAIR_HEAD)} || chr(10) || 'Values:' "
     f"|| chr(10) || {_JSON_MAP} || chr(10) || 'Errors:' || chr(10) || l || chr(10) || 'Document:' "
-    f"|| chr(10) AS r FROM full_inv JOIN (SELECT rid, {_LINES} AS l FROM errors GROUP BY 1) "
+    f"|| chr(10) || repeat(doc_id || ' ', 900) AS r FROM full_inv JOIN (SELECT rid, {_LINES} AS l FROM errors GROUP BY 1) "
     "USING (rid)) SELECT doc_id, CAST(1 AS BIGINT) AS attempt, length(r) AS n_chars, sha256(r) AS "
     "request_hash FROM need"
 )
@@ -637,15 +641,20 @@ ORACLE["evaluation_period"] = (
 # ---- files ------------------------------------------------------------------
 
 
-def _files(limit_mb: int) -> str:
+def _files(limit_mb: int | None) -> str:
+    latin = "page_id % 3 = 1 AND strlen(html) = length(html)"
+    too_large = f"bytes > {limit_mb} * 1048576" if limit_mb else "false"
     return (
-        f"f AS (SELECT *, {D.FILE_PATH} AS path, strlen(html) AS bytes FROM pages), "
+        f"w AS (SELECT {D.FILE_PATH} AS path, {D.FILE_TEXT} AS written, {latin} AS latin FROM pages), "
+        "f AS (SELECT path, CASE WHEN latin THEN written || 'é' ELSE written END AS html, "
+        "strlen(written) + CAST(latin AS INT) AS bytes, CASE WHEN latin THEN encode(written) || "
+        "'\\xE9'::BLOB ELSE encode(written) END AS content FROM w), "
         "n AS (SELECT *, split_part(path, '/', -1) AS file_name, "
         "regexp_extract(split_part(path, '/', -1), '^.+\\.([^.]+)$', 1) AS suffix FROM f), "
         "r AS (SELECT *, CASE WHEN lower(suffix) IN ('txt', 'text', 'md', 'csv', 'json') THEN "
         "'text' WHEN lower(suffix) = 'pdf' THEN 'pdf' WHEN lower(suffix) IN ('jpg', 'jpeg', 'png', "
         "'gif', 'bmp', 'tiff') THEN 'image' ELSE 'unsupported' END AS route FROM n), "
-        f"e AS (SELECT *, CASE WHEN bytes > {limit_mb} * 1048576 THEN 'File too large: ' || "
+        f"e AS (SELECT *, CASE WHEN {too_large} THEN 'File too large: ' || "
         f"format('{{:.2f}}', bytes / 1048576.0) || 'MB (max: {limit_mb}MB)' WHEN route = 'pdf' THEN "
         "'Failed to load PDF: text extraction not available' WHEN route = 'unsupported' THEN "
         "'Unsupported file type: ' || lower(suffix) END AS load_error FROM r)"
@@ -653,10 +662,10 @@ def _files(limit_mb: int) -> str:
 
 
 ORACLE["ingested_files"] = (
-    f"WITH {_files(10)} SELECT path AS file_path, file_name, CASE WHEN load_error IS NULL THEN "
+    f"WITH {_files(None)} SELECT path AS file_path, file_name, CASE WHEN load_error IS NULL THEN "
     "lower(suffix) ELSE suffix END AS file_type, CAST(CASE WHEN load_error IS NULL THEN bytes ELSE "
     "0 END AS BIGINT) AS file_size_bytes, false AS ocr_applied, CASE WHEN load_error IS NULL THEN "
-    "sha256(html) END AS source_hash, route, CASE WHEN load_error IS NULL THEN CASE route WHEN "
+    "sha256(content) END AS source_hash, route, CASE WHEN load_error IS NULL THEN CASE route WHEN "
     "'image' THEN '[Image content - OCR not available]' ELSE replace(replace(html, chr(13) || "
     "chr(10), chr(10)), chr(13), chr(10)) END END AS text, load_error FROM e"
 )

@@ -9,7 +9,6 @@ from paperloom.functions.basics import fixed_point
 from paperloom.functions.fixed_values import (
     IMAGE_SUFFIXES,
     IMAGE_TEXT,
-    MAX_DOCUMENT_MB,
     PDF_SUFFIXES,
     TEXT_SUFFIXES,
 )
@@ -17,14 +16,18 @@ from paperloom.functions.fixed_values import (
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def scan(spark: SparkSession, path: str, max_mb: int = MAX_DOCUMENT_MB) -> DataFrame:
+def scan(spark: SparkSession, path: str, max_mb: int | None = None) -> DataFrame:
     """Files below ``path`` as ``(path, modificationTime, length, content)``.
 
-    Files over the limit keep their row but their content is never read: the two
-    reads push opposite length filters to the scan, the second without content.
+    With ``max_mb`` (the fixed value is ``MAX_DOCUMENT_MB``), files over it keep their
+    row but their content is never read: two reads push opposite length filters to the
+    scan, the second without content. A column ``max_mb`` tells ``ingest``.
     """
-    limit = max_mb * 1024 * 1024
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if max_mb is None:
+        return files
+    files = files.withColumn("max_mb", F.lit(max_mb))
+    limit = max_mb * 1024 * 1024
     fits = files.where(F.col("length") <= limit)
     too_big = files.drop("content").where(F.col("length") > limit)
     return fits.unionByName(
@@ -32,10 +35,11 @@ def scan(spark: SparkSession, path: str, max_mb: int = MAX_DOCUMENT_MB) -> DataF
     )
 
 
-def scan_stream(spark: SparkSession, path: str) -> DataFrame:
+def scan_stream(spark: SparkSession, path: str, max_mb: int | None = None) -> DataFrame:
     """New files below a folder as a stream; a stream needs the schema up front."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
-    return files.schema(FILE_SCHEMA).load(path)
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.schema(FILE_SCHEMA).load(path)
+    return files if max_mb is None else files.withColumn("max_mb", F.lit(max_mb))
 
 
 def decode(content: Column) -> Column:
@@ -46,21 +50,25 @@ def decode(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def ingest(files: DataFrame, max_mb: int = MAX_DOCUMENT_MB) -> DataFrame:
+def ingest(files: DataFrame) -> DataFrame:
     """Metadata, text and ``load_error`` of each file, one row per file.
 
+    The size limit is the scan's: a column ``max_mb``, none where it is absent or NULL.
     Row-local, so it also runs on ``scan_stream``.
     """
-    limit = max_mb * 1024 * 1024
+    if "max_mb" not in files.columns:
+        files = files.withColumn("max_mb", F.lit(None).cast("int"))
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.regexp_extract(name, r"^.+\.([^.]+)$", 1)
     size_error = F.concat(
         F.lit("File too large: "),
         F.expr(fixed_point("length / 1024D / 1024D", 2)),
-        F.lit(f"MB (max: {max_mb}MB)"),
+        F.lit("MB (max: "),
+        F.col("max_mb").cast("string"),
+        F.lit("MB)"),
     )
     error = (
-        F.when(F.col("length") > limit, size_error)
+        F.when(F.col("length") > F.col("max_mb") * F.lit(1024 * 1024).cast("bigint"), size_error)
         .when(F.col("content").isNull(), "File content was not read")
         .when(F.col("route") == "pdf", "Failed to load PDF: text extraction not available")
         .when(F.col("route") == "unsupported", F.concat(F.lit("Unsupported file type: "),

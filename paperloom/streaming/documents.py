@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.redact import redact
 from paperloom.sources.files import ingest, scan_stream
-from paperloom.sources.sinks import checkpoint_folder
 
 
 def redacted_documents(spark: SparkSession, folder: str, mode: str = "compat") -> DataFrame:
@@ -20,13 +19,17 @@ def redacted_documents(spark: SparkSession, folder: str, mode: str = "compat") -
     return redact(docs, mode=mode).drop("text", "pii_entities")
 
 
-def start(stream: DataFrame, name: str, out: str, once: bool = True) -> StreamingQuery:
-    """Append to ``out``; progress is kept under the shared checkpoint folder."""
+def start(
+    stream: DataFrame, name: str, out: str, checkpoint: str, once: bool = True
+) -> StreamingQuery:
+    """Append to ``out``. ``checkpoint`` holds the progress: a restart with the same folder
+    goes on where the last run stopped, so give each stream one that all executors reach.
+    """
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .queryName(name)
         .option("path", out)
-        .option("checkpointLocation", f"{checkpoint_folder(stream.sparkSession)}/streams/{name}")
+        .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -45,6 +45,9 @@ def test_a_file_that_scan_left_out_has_an_error(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "big.txt").write_text("x" * 1_600_000)
     (tmp_path / "small.txt").write_text("y")
-    got = {r.file_name: r for r in files.ingest(files.scan(spark, str(tmp_path), max_mb=1), max_mb=10).collect()}
-    assert got["small.txt"].load_error is None and got["big.txt"].load_error == "File content was not read"
-    assert files.ingest(files.scan(spark, str(tmp_path), max_mb=10)).where("text is not null").count() == 2
+    got = {r.file_name: r for r in files.ingest(files.scan(spark, str(tmp_path), max_mb=1)).collect()}
+    assert got["small.txt"].load_error is None and got["big.txt"].load_error == "File too large: 1.53MB (max: 1MB)"
+    unread = files.scan(spark, str(tmp_path), max_mb=1).drop("max_mb")
+    errors = {r.file_name: r.load_error for r in files.ingest(unread).collect()}
+    assert errors == {"small.txt": None, "big.txt": "File content was not read"}
+    assert files.ingest(files.scan(spark, str(tmp_path))).where("text is not null").count() == 2

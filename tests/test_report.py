@@ -34,10 +34,11 @@ def test_percentiles_of_skewed_and_tied_groups(spark):
     assert tuple(whole) == (every[n // 2], every[int(n * 0.95)], every[int(n * 0.99)])
 
 
-def test_percentiles_stay_exact_when_the_bracket_is_wrong(spark, monkeypatch):
+def test_percentiles_stay_exact_when_the_cuts_are_coarse(spark, monkeypatch):
     from paperloom.operators import percentiles
 
-    monkeypatch.setattr(percentiles, "_MARGIN", -0.4)
+    monkeypatch.setattr(percentiles, "_HALVINGS", 1)
+    monkeypatch.setattr(percentiles, "_ACCURACY", 1)
     xs = [float(i * 7919 % 5003) for i in range(5003)]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     xs.sort()
@@ -45,6 +46,28 @@ def test_percentiles_stay_exact_when_the_bracket_is_wrong(spark, monkeypatch):
     assert tuple(got) == (xs[2501], xs[int(5003 * 0.95)], xs[int(5003 * 0.99)])
 
 
+def test_percentiles_shuffle_raw_rows_once_and_keep_null_groups(spark):
+    rows = [(None if i % 3 else "a", float(i % 50) if i % 7 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    points = exact_percentiles(df, "x", ("g",))
+    for r in points.collect():
+        xs = sorted(x for g, x in rows if g == r.g and x is not None)
+        assert (r.p50, r.p95, r.p99) == tuple(xs[i] for i in (len(xs) // 2, int(len(xs) * 0.95), int(len(xs) * 0.99)))
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Initial Plan")].count("ReusedExchange") >= 2
+    assert points.count() == 2 and exact_percentiles(df.where("false"), "x", ("g",)).count() == 0
+
+
+def test_more_than_one_row_of_scores_is_an_error(spark):
+    results = spark.createDataFrame([(True, {"a": "1"}, {"email": 1}, True, 5.0)], RESULT)
+    score = "extraction_accuracy double, pii_recall double, pii_precision double"
+    one = spark.createDataFrame([(0.95, 0.9, 0.9)], score)
+    m = report.meets_thresholds(report.metrics(report.metric_inputs(results), scores=one)).first()
+    assert (m.meets_extraction_accuracy, m.meets_pii_recall, m.meets_pii_precision) == (True, False, True)
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        report.metrics(report.metric_inputs(results), scores=one.union(one)).collect()
+
+
 RESULT = (
     "success boolean, extracted_data map<string,string>, pii_summary map<string,int>, "
     "validation_passed boolean, processing_time_ms double"

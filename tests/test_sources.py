@@ -1,5 +1,4 @@
 import hashlib
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ def make_folder(tmp_path):
 
 def test_ingest(spark, tmp_path):
     folder = make_folder(tmp_path)
-    docs = files.ingest(files.scan(spark, str(folder), max_mb=1), max_mb=1)
+    docs = files.ingest(files.scan(spark, str(folder), max_mb=1))
     got = {r.file_name: r for r in docs.collect()}
     assert len(got) == 8
     a = got["a.TXT"]
@@ -42,7 +41,7 @@ def test_ingest(spark, tmp_path):
 
 
 def test_large_files_are_not_read(spark, tmp_path):
-    plan = files.scan(spark, str(make_folder(tmp_path)))._jdf.queryExecution().executedPlan()
+    plan = files.scan(spark, str(make_folder(tmp_path)), max_mb=1)._jdf.queryExecution().executedPlan()
     text = plan.toString()
     assert "LessThanOrEqual(length," in text and "GreaterThan(length," in text
     assert text.count("content#") and "ReadSchema: struct<path:string,modificationTime" in text
@@ -96,11 +95,12 @@ def test_wall_time_wins_over_durations(spark):
 def test_stream_equals_batch(spark, tmp_path):
     folder = make_folder(tmp_path)
     out = str(tmp_path / "out")
-    # The progress of a named stream outlives the session, so each run needs its own name.
-    query = stream.start(
-        stream.redacted_documents(spark, str(folder)), f"test-{uuid.uuid4().hex}", out
-    )
-    query.awaitTermination(120)
+    for _ in range(2):  # the second run finds nothing new
+        query = stream.start(
+            stream.redacted_documents(spark, str(folder)), "test", out, str(tmp_path / "progress")
+        )
+        query.awaitTermination(120)
+    assert spark.read.parquet(out).count() == 8
     got = {r.file_name: (r.redacted_text, r.load_error) for r in spark.read.parquet(out).collect()}
     assert got["a.TXT"] == ("Mail [EMAIL REDACTED]\nné\nend", None)
     assert len(got) == 8 and got["e.docx"][1] == "Unsupported file type: docx"
