@@ -96,7 +96,7 @@ def _fix_of(v: str, payload: str, path: str) -> str:
     # A VARIANT object lists its keys sorted; the text has them as written.
     keys = (
         "CASE WHEN size(m) < 2 THEN map_keys(m) "
-        f"ELSE json_object_keys(get_json_object({payload}, '{path}')) END"
+        f"ELSE array_distinct(json_object_keys(get_json_object({payload}, '{path}'))) END"
     )
     fix = struct(
         data=f"map_from_arrays(ks, transform(ks, k -> {value_text('m[k]')}))",

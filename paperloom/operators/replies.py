@@ -136,6 +136,22 @@ def read_detection(df: DataFrame, answer: str = "detect_pii") -> DataFrame:
     )
 
 
+def window_detections(replies: DataFrame) -> DataFrame:
+    """I9 over windows: ``(doc_id, model_spans)`` from replies ``(doc_id, offset, attempt,
+    reply, error)``, one or more per request window. The last attempt of a window counts, and
+    its positions are moved by the window's ``offset``, so they are those of the whole text.
+    """
+    answer = F.max(F.struct(F.col("attempt").cast("int").alias("attempt"), "reply", "error"))
+    read = read_detection(replies.groupBy("doc_id", "offset").agg(answer.alias("detect_pii")))
+    moved = F.transform(
+        "model_spans",
+        lambda s: s.withField("start_index", s["start_index"] + F.col("offset"))
+        .withField("end_index", s["end_index"] + F.col("offset")),
+    )
+    parts = F.sort_array(F.collect_list(F.struct("offset", moved.alias("spans"))))
+    return read.groupBy("doc_id").agg(F.flatten(parts["spans"]).alias("model_spans"))
+
+
 def corrections(answers: str = "repairs") -> str:
     """Expression for the corrections of each attempt, NULL where it failed."""
     text = f"CASE WHEN an.error IS NULL THEN {R.payload('an.reply')} END"

@@ -84,7 +84,7 @@ def metrics(inputs: DataFrame, by: Sequence[str] = (), scores: DataFrame | None
     if by:
         joined = join_groups(share, points, by)
     else:
-        joined = _beside(share, points, ("p50", "p95", "p99"))
+        joined = beside(share, points, ("p50", "p95", "p99"))
     out = joined.withColumns({f"{p}_latency_ms": F.coalesce(p, F.lit(0.0)) for p in
                               ("p50", "p95", "p99")}).drop("p50", "p95", "p99")
     names = ("extraction_accuracy", "pii_recall", "pii_precision")
@@ -92,10 +92,10 @@ def metrics(inputs: DataFrame, by: Sequence[str] = (), scores: DataFrame | None
         return out.withColumns({c: F.lit(None).cast("double") for c in names})
     if by:
         return join_groups(out, scores.select(*by, *names), by)
-    return _beside(out, scores, names)
+    return beside(out, scores, names)
 
 
-def _beside(df: DataFrame, row: DataFrame, names: Sequence[str]) -> DataFrame:
+def beside(df: DataFrame, row: DataFrame, names: Sequence[str]) -> DataFrame:
     """Columns of the one row of ``row``, NULL where it has none; more rows are an error."""
     found = row.select(F.struct(*names).alias("found")).scalar()
     return df.withColumn("_found", found).select("*", "_found.*").drop("_found")

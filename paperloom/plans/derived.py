@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.prompts import windows
 from paperloom.operators import redact
 
 # ---- reading the given tables -----------------------------------------------
@@ -230,6 +231,56 @@ def answers(spark: SparkSession, folder: str, *stages: str) -> DataFrame:
     return docs.selectExpr("doc_id", f"inline(array({slots}))")
 
 
+# One window's reply names the first @ in it.
+WINDOW_CHARS = 2000
+WINDOW_JSON = (
+    """CASE WHEN instr(piece, '@') = 0 THEN '{"pii_entities": []}' ELSE """
+    """'{"pii_entities": [{"type": "email", "value": "@", "start": ' || """
+    """CAST(instr(piece, '@') - 1 AS STRING) || ', "end": ' || CAST(instr(piece, '@') AS STRING)"""
+    """ || ', "confidence": 0.95}]}' END"""
+)
+
+
+def window_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies to the detection windows of the documents, an older attempt for each second one."""
+    pieces = documents(spark, folder).where("length(text) > 0").selectExpr(
+        "doc_id", f"inline({windows('text', WINDOW_CHARS)})"
+    )
+    stale = "named_struct('attempt', 1, 'reply', '{', 'error', CAST(NULL AS STRING))"
+    fresh = f"named_struct('attempt', 2, 'reply', {WINDOW_JSON}, 'error', CAST(NULL AS STRING))"
+    return pieces.selectExpr(
+        "doc_id", "offset", f"inline(CASE WHEN part % 2 = 0 THEN array({fresh}) ELSE array({stale}, {fresh}) END)"
+    )
+
+
+# ---- conversations ----------------------------------------------------------
+
+# Every kind of value that the patterns look for, said in one turn or another.
+SAID = [
+    " my ssn 123-45-6789",
+    " it is 987 65 4321.",
+    " 123456789 is my social security number",
+    " DOB: 1/2/1990 ok",
+    " Born March 5, 1988 in town",
+    " passport AB1234567 here",
+    " licence D123456 kept",
+    " card 4111-1111-1111-1111 now",
+    " call +1 555-123-4567 or 555-1234",
+    " Date of Birth 03-04-85",
+    " mail a.b@example.org from 10.0.0.1",
+]
+SAID_TEXT = (
+    f"text || CASE (conv_id + turn) % {len(SAID) + 1} "
+    + " ".join(f"WHEN {i} THEN '{said}'" for i, said in enumerate(SAID))
+    + " ELSE '' END"
+)
+
+
+def turns(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "conversations"))
+    return rows.selectExpr("conv_id", "turn", f"{SAID_TEXT} AS text")
+
+
 # ---- decisions --------------------------------------------------------------
 
 DECISION_COLUMNS = {

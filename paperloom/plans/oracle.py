@@ -104,7 +104,8 @@ ORACLE["pii_spans"] = (
     "mask AS masked_value, conf AS confidence FROM spans"
 )
 ORACLE["pii_spans_in_conversations"] = (
-    f"WITH {spans_cte('conversations', 'conv_id, turn')} SELECT conv_id, turn, CAST(ord AS BIGINT)"
+    f"WITH said AS (SELECT conv_id, turn, {D.SAID_TEXT} AS text FROM conversations), "
+    f"{spans_cte('said', 'conv_id, turn')} SELECT conv_id, turn, CAST(ord AS BIGINT)"
     " AS ord, CAST(s AS BIGINT) AS start_index, CAST(e AS BIGINT) AS end_index, pii_type, "
     "value AS original_value FROM spans"
 )
@@ -779,6 +780,35 @@ ORACLE["field_accuracy"] = (
     "fields_total, 6) AS extraction_accuracy FROM c"
 )
 
+ORACLE["threshold_checks"] = (
+    "SELECT round(a, 6) AS extraction_accuracy, round(r, 6) AS pii_recall, round(p, 6) AS "
+    "pii_precision, a >= 0.9 AS meets_extraction_accuracy, r >= 0.95 AS meets_pii_recall, p >= 0.9 "
+    "AS meets_pii_precision, meets_workflow_success, meets_latency_p95 FROM (SELECT "
+    f"CAST(sum(fields_correct) AS DOUBLE) / sum(fields_total) AS a FROM ({ORACLE['field_accuracy']})), "
+    "(SELECT CAST(sum(true_positives) AS DOUBLE) / sum(total_detected) AS p, CAST(sum(true_positives)"
+    " AS DOUBLE) / (sum(true_positives) + sum(false_negatives)) AS r FROM "
+    f"({ORACLE['pii_detection_scores']})), ({ORACLE['processed_metrics']})"
+)
+ORACLE["pii_window_spans"] = (
+    "SELECT doc_id, place AS start_index, place + 1 AS end_index, 'email' AS pii_type FROM (SELECT doc_id, "
+    f"part * {D.WINDOW_CHARS} + instr(piece, '@') - 1 AS place, piece FROM (SELECT doc_id, part, "
+    f"substr(text, part * {D.WINDOW_CHARS} + 1, {D.WINDOW_CHARS}) AS piece FROM (SELECT doc_id, text, "
+    f"unnest(range(CAST(ceil(length(text) / {D.WINDOW_CHARS}.0) AS BIGINT))) AS part FROM documents))) "
+    "WHERE instr(piece, '@') > 0"
+)
+ORACLE["file_footer"] = (
+    f"WITH {_files(1)} SELECT count(*) FILTER (load_error IS NULL) || '/' || count(*) AS done FROM e"
+)
+ORACLE["file_metrics_by_type"] = (
+    f"WITH {_files(1)}, m AS (SELECT CASE WHEN load_error IS NULL THEN 'unknown' END AS "
+    "document_type, load_error IS NULL AS valid, length(path) * 0.5::DOUBLE + length(file_name) % 3 "
+    "AS ms FROM e), a AS (SELECT document_type, count(*) AS total_documents, count(*) FILTER (valid) "
+    "AS successful_documents, count(*) FILTER (NOT valid) AS failed_documents, round(avg(CAST(valid "
+    "AS DOUBLE)), 6) AS workflow_success_rate, round(avg(CAST(valid AS DOUBLE)), 6) AS "
+    f"validator_pass_rate, round(avg(ms), 6) AS avg_latency_ms, {_points('m', 'ms')} FROM m GROUP BY 1)"
+    " SELECT * RENAME (p50 AS p50_latency_ms, p95 AS p95_latency_ms, p99 AS p99_latency_ms) FROM a"
+)
+
 # Values after repair, in order: known keys keep their place, new ones follow.
 _FINAL = (
     "shown AS (SELECT v.doc_id, name, pos, CASE WHEN n0 > 0 AND name = 'date' THEN '2024-05-05' "

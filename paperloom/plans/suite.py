@@ -62,8 +62,9 @@ def pii_spans(spark, sf):
 
 @query
 def pii_spans_in_conversations(spark, sf):
-    turns = D.spread(D.table(spark, sf, "conversations"))
-    rows = redact.span_rows(redact.detect(turns), "pii_spans", ("conv_id", "turn"))
+    rows = redact.span_rows(
+        redact.detect(D.turns(spark, sf)), "pii_spans", ("conv_id", "turn")
+    )
     return rows.select(
         "conv_id", "turn", *_long("ord", "start_index", "end_index"), "pii_type", "original_value"
     )
@@ -113,6 +114,15 @@ def pii_model_spans(spark, sf):
     )
 
 
+@query
+def pii_window_spans(spark, sf):
+    """Model spans in windows of each text, at their places in the whole text."""
+    found = replies.window_detections(D.window_answers(spark, sf))
+    return found.select("doc_id", F.inline("model_spans")).select(
+        "doc_id", *_long("start_index", "end_index"), "pii_type"
+    )
+
+
 @query
 def pii_merged_redaction(spark, sf):
     done = redact.redact(_with_model_spans(spark, sf), model_spans="model_spans")
@@ -449,6 +459,51 @@ def processed_metrics(spark, sf):
     )
 
 
+@query
+def threshold_checks(spark, sf):
+    """All five limits, with accuracy, recall and precision from given truth."""
+    fields = field_accuracy(spark, sf).agg(
+        (F.sum("fields_correct") / F.sum("fields_total")).alias("extraction_accuracy")
+    )
+    spans = evaluate.score_spans(D.found_spans(spark, sf), D.true_spans(spark, sf))
+    named = spans.select(
+        F.col("recall").alias("pii_recall"), F.col("precision").alias("pii_precision")
+    )
+    scores = report.beside(fields, named, ("pii_recall", "pii_precision"))
+    inputs = settle(report.metric_inputs(_processed(spark, sf)))
+    out = report.meets_thresholds(report.metrics(inputs, scores=scores))
+    names = ["extraction_accuracy", "pii_recall", "pii_precision"]
+    return _round(out.select(*names, *[c for c in out.columns if c.startswith("meets_")]), *names)
+
+
+def _files_processed(spark, sf):
+    """Pages as files through the whole chain; some cannot be loaded."""
+    files = D.files(spark, sf).withColumn("max_mb", F.lit(1))
+    return process(file_source.ingest(files))
+
+
+@query
+def file_footer(spark, sf):
+    return report.batch_footer(_files_processed(spark, sf))
+
+
+@query
+def file_metrics_by_type(spark, sf):
+    """Metrics per type, with the failed loads as the group without one."""
+    done = _files_processed(spark, sf).withColumn(
+        "processing_time_ms", F.length("doc_id") * F.lit(0.5) + F.length("file_name") % 3
+    )
+    out = report.metrics(report.metric_inputs(done, ("document_type",)), ("document_type",))
+    return _round(
+        out.select(
+            "document_type", "total_documents", "successful_documents", "failed_documents",
+            "workflow_success_rate", "validator_pass_rate", "avg_latency_ms", "p50_latency_ms",
+            "p95_latency_ms", "p99_latency_ms",
+        ),
+        "workflow_success_rate", "validator_pass_rate", "avg_latency_ms",
+    )
+
+
 @query
 def processed_trace(spark, sf):
     rows = trace.decision_rows(_processed(spark, sf))
