@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from paperloom.functions.fixed_values import PERCENTILES
 
 #: A sketch cuts the line of values into 2 ** _HALVINGS bins.
-_HALVINGS = 10
-_ACCURACY = 10000
+_HALVINGS = 7
+_ACCURACY = 2000
 
 
 def _index(n: Column, fraction: float) -> Column:
@@ -31,7 +31,7 @@ def exact_percentiles(
 
     Equal values are counted together first; that is the one shuffle of all rows, by
     group and value. Twice, the line of values is then cut into bins, and only the bins
-    that hold a wanted element go on, so what is ranked at last is about a millionth of
+    that hold a wanted element go on, so what is ranked at last is about a ten-thousandth of
     the values, whatever share of the rows a group has. The cuts decide the cost, never
     the result. NULL values do not count; NULL is a group like any other.
     """
