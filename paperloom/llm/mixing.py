@@ -120,7 +120,7 @@ def _fly_blocks(rows: DataFrame, seed: int) -> DataFrame:
 
     def solve(key: tuple, rows: pa.Table) -> pa.Table:
         # Large documents first: what is left fractional at the end is small.
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[("size", "descending"), ("doc_id", "ascending")]))
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("size", "descending"), ("doc_id", "ascending"), ("row", "ascending")]))
         start, size = rows.column("chance").to_numpy().astype(float), rows.column("size").to_numpy().astype(float)
         draws = np.random.default_rng([seed, key[0].as_py(), key[1].as_py(), len(size)])
         last = rows.column("blocks")[0].as_py() == 1
@@ -131,33 +131,54 @@ def _fly_blocks(rows: DataFrame, seed: int) -> DataFrame:
         chance[flies] = fly(start[flies], size[flies], draws)
         if last:
             chance = land(chance, size, float(start @ size))
-        return rows.select(["doc_id", "size", "code"]).append_column("chance", pa.array(chance))
+        return rows.select(["row", "doc_id", "size", "salt", "code"]).append_column("chance", pa.array(chance))
 
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("blocks")).cast("int")
-    return rows.withColumn("block", block).groupBy("code", "block").applyInArrow(solve, "doc_id long, size long, code int, chance double")
+    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("salt")), F.col("blocks")).cast("int")
+    return rows.withColumn("block", block).groupBy("code", "block").applyInArrow(solve, "row long, doc_id long, size long, salt long, code int, chance double")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for every row of ``docs(doc_id, text, source)``.
+def _salted(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``salt``: the row number where one id and size fill more than a block, else NULL.
+
+    A NULL leaves the hash that deals rows to blocks as it is.
+    """
+    many = settle(sizes.groupBy("doc_id", "size").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "repeated")
+    if not many.head(1):
+        return sizes.withColumn("salt", F.lit(None).cast("long"))
+    many = many.select(F.col("doc_id").alias("its_id"), F.col("size").alias("its_size"), "n")
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("size") == F.col("its_size"))
+    return sizes.join(many, same, "left").withColumn("salt", F.when(F.col("n").isNotNull(), F.col("row"))).drop("its_id", "its_size", "n")
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, row: str | None = None
+) -> DataFrame:
+    """(row, doc_id, size, source, source_size, target, copies, taken) for every row of ``docs(doc_id, text, source)``.
+
+    ``row`` names a column of unique numbers in a settled table; without one, rows are
+    numbered here.
 
     A document of a source with ratio r = target / source_size is taken floor(r) times, and
     once more with the inclusion probability r - floor(r), drawn by the cube method so that
     each source keeps its number of words and of documents: flights over blocks of at most
     about BLOCK documents, then flights over what they left, until one block per source is
     left and the last one or two units land. Every level is written to the shared folder, and
-    draws depend on ids only, so reruns agree. No source is ever held by one task.
+    draws depend on ids only, so reruns agree; row numbers tell rows of one id and size apart.
+    No source is ever held by one task, nor are the rows of one id.
 
     NULL text has size 0; NULL source is a source of its own, last in order; a source without
     words has target 0 and takes nothing. Repeated rows are drawn one by one.
     """
-    sizes = settle(with_size(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text"), "doc_id", "source"), "sizes")
+    number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+    kept = docs.select(number.alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+    sizes = settle(with_size(kept, "row", "doc_id", "source"), "sizes")
     sources = settle(source_targets(sizes, weights, share, most).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "targets")
-    rows = sizes.join(sources.select(F.col("source").alias("s"), "code", "docs", "ratio"), F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "code", "docs", F.floor("ratio").cast("double").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("chance")
+    rows = _salted(sizes).join(sources.select(F.col("source").alias("s"), "code", "docs", "ratio"), F.col("source").eqNullSafe(F.col("s"))).select(
+        "row", "doc_id", "size", "salt", "code", "docs", F.floor("ratio").cast("double").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("chance")
     )
     sure = (F.col("chance") <= EPS) | (F.col("chance") >= 1 - EPS)
-    done = [rows.where(sure).select("doc_id", "size", "code", F.round("chance").alias("chance"))]
-    open_rows = rows.where(~sure).select("doc_id", "size", "code", "chance", F.ceil(F.col("docs") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    done = [rows.where(sure).select("row", "doc_id", "size", "salt", "code", F.round("chance").alias("chance"))]
+    open_rows = rows.where(~sure).select("row", "doc_id", "size", "salt", "code", "chance", F.ceil(F.col("docs") / F.lit(BLOCK)).cast("int").alias("blocks"))
     level = 0
     while True:
         flown = settle(_fly_blocks(open_rows, seed + level), "flight")
@@ -166,12 +187,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         counts = settle(left.groupBy("code").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "left")
         if not counts.head(1):
             break
-        open_rows = left.join(counts, "code").select("doc_id", "size", "code", "chance", "blocks")
+        open_rows = left.join(counts, "code").select("row", "doc_id", "size", "salt", "code", "chance", "blocks")
         level += 1
     drawn = done[0]
     for part in done[1:]:
         drawn = drawn.unionByName(part)
     return drawn.join(sources, "code").select(
+        "row",
         "doc_id",
         "size",
         "source",
@@ -185,11 +207,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all their columns, every row as often as the mix takes it.
 
-    Rows that share a doc_id are numbered, so that each gets a draw of its own.
+    Rows are numbered once, in the shared folder, and each meets its own draw by that number.
     """
-    drawn = mix(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("draws__"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    numbered = docs.withColumn("place__", place)
-    joined = numbered.join(drawn.withColumnRenamed("doc_id", "id__"), F.col("doc_id").cast("long").eqNullSafe(F.col("id__")))
-    times = F.coalesce(F.get("draws__", F.col("place__") - 1), F.lit(0))
-    return joined.where(times > 0).withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    numbered = settle(docs.withColumn("row__", F.monotonically_increasing_id()), "numbered")
+    drawn = mix(numbered, row="row__", **options).where("copies > 0").select(F.col("row").alias("drawn__"), F.col("copies").alias("times__"))
+    joined = numbered.join(drawn, F.col("row__") == F.col("drawn__"))
+    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), "times__"))).select(*docs.columns)
