@@ -97,24 +97,26 @@ def record_id(url: str, date: str, key: str) -> str:
 def warc_type(url: str, block: bytes) -> str:
     """WARC type of an ARC record: what was fetched by HTTP or DNS is a response."""
     scheme = url.partition(":")[0].lower()
-    return "warcinfo" if scheme == "filedesc" else "response" if block.startswith(b"HTTP/") or scheme == "dns" else "resource"
+    return "response" if block.startswith(b"HTTP/") or scheme == "dns" else "warcinfo" if scheme == "filedesc" else "resource"
 
 
-def warc_record(kind: str, url: str, date: str, ident: str, block: bytes, payload_digest: str, refers: tuple[str, str] | None = None) -> bytes:
+def warc_record(kind: str, url: str, date: str, ident: str, block: bytes, payload_digest: str, refers: tuple[str, str] | None = None, mime: str = "application/octet-stream") -> bytes:
     """One WARC record without the two line ends that close it."""
     http = block.startswith(b"HTTP/")
+    uri = re.sub(r"[\x00-\x20]+", "%20", url)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {ident}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {re.sub(r'[\x00-\x20]+', '%20', url)}",
+        f"WARC-Filename: {uri.partition('//')[2]}" if kind == "warcinfo" else f"WARC-Target-URI: {uri}",
         f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
-        f"WARC-Payload-Digest: sha1:{payload_digest}",
     ]
+    if kind != "warcinfo":
+        lines.append(f"WARC-Payload-Digest: sha1:{payload_digest}")
     if refers:
         lines += [f"WARC-Refers-To: {refers[0]}", f"WARC-Refers-To-Date: {refers[1]}", f"WARC-Profile: {REVISIT_PROFILE}"]
-    lines += [f"Content-Type: {'application/http;msgtype=response' if http else 'application/octet-stream'}", f"Content-Length: {len(block)}"]
+    lines += [f"Content-Type: {'application/http;msgtype=response' if http else mime}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
@@ -173,76 +175,89 @@ def _header_number(head: bytes, name: bytes) -> int:
 
 
 def arc_digests(arcs: DataFrame) -> DataFrame:
-    """(page_id, payload_digest, payload_bytes) of the HTTP records of ``arcs(arc)``."""
+    """(page_id, payload_digest, payload_bytes, url, date) of the HTTP records of ``arcs(arc)``."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for arc in frame.column("arc"):
-                pages, digests, sizes = [], [], []
+                pages, digests, sizes, urls, dates = [], [], [], [], []
                 for record in read_arc(arc.as_py()):
                     if warc_type(record["url"], record["block"]) == "response":
                         head, payload = http_parts(record["block"])
                         pages.append(_page_of(head))
                         digests.append(sha1_base32(payload))
                         sizes.append(len(payload))
-                yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], ["page_id", "payload_digest", "payload_bytes"])
+                        urls.append(record["url"])
+                        dates.append(record["date"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pages, pa.int64()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(urls, pa.string()), pa.array(dates, pa.string())],
+                    ["page_id", "payload_digest", "payload_bytes", "url", "date"],
+                )
 
-    return arcs.mapInArrow(batches, "page_id long, payload_digest string, payload_bytes long")
+    return arcs.mapInArrow(batches, "page_id long, payload_digest string, payload_bytes long, url string, date string")
 
 
 def revisits(digests: DataFrame, at_least: int = 0) -> DataFrame:
-    """(page_id, payload_digest, refers_to): the records that repeat the payload of the one with the largest page_id."""
+    """(page_id, payload_digest, refers_to, refers_url, refers_date): the records that repeat the payload of the one with the largest page_id."""
     groups = settle(
         digests.where((F.col("payload_bytes") >= at_least) & F.col("page_id").isNotNull())
         .groupBy("payload_digest")
-        .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+        .agg(F.max(F.struct("page_id", "url", "date")).alias("to"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n"),
+        .select("payload_digest", F.col("to.page_id").alias("refers_to"), F.col("to.url").alias("refers_url"), F.col("to.date").alias("refers_date")),
         "payloads",
     )
     found = digests.where(F.col("payload_bytes") >= at_least).join(groups, "payload_digest").where("page_id <> refers_to")
-    return settle(found.select("page_id", "payload_digest", "refers_to").distinct(), "revisits")
+    return settle(found.select("page_id", "payload_digest", "refers_to", "refers_url", "refers_date").distinct(), "revisits")
+
+
+def _page_record_id(url: str, date: str, page: int | None, digest: str) -> str:
+    return record_id(url, date, f"{page} {digest}")
 
 
 def arc_to_warc(arcs: DataFrame, references: DataFrame) -> DataFrame:
-    """(record): a WARC record, as text, for every HTTP record of ``arcs(arc)``.
+    """(record): a WARC record for every record of ``arcs(arc)``, its bytes as a string.
 
-    Identifiers are derived from url, date and page; ARC dates become WARC dates; the type
-    follows the scheme and ``references(page_id, payload_digest, refers_to)``: a page with a reference is a
-    revisit and carries its head only. The other records stay whole.
+    Identifiers of HTTP records are derived from url, date, page and payload, those of others from
+    the segment and the place in it; ARC dates become WARC dates; the type follows the block and scheme and
+    ``references(page_id, payload_digest, refers_to, refers_url, refers_date)``: a page with a reference is
+    a revisit, carries its head only and names the record it repeats. The other records stay whole.
     """
 
     def split(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for arc in frame.column("arc"):
-                rows = [r for r in read_arc(arc.as_py()) if warc_type(r["url"], r["block"]) == "response"]
+                data = arc.as_py()
+                segment = sha1_base32(data)
+                rows = [r | {"key": f"{segment} {n}", "kind": warc_type(r["url"], r["block"])} for n, r in enumerate(read_arc(data))]
                 parts = [http_parts(r["block"]) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([_page_of(head) for head, _ in parts], pa.int64()),
                         pa.array([sha1_base32(payload) for _, payload in parts], pa.string()),
-                        *(pa.array([r[k] for r in rows], kind) for k, kind in (("url", pa.string()), ("date", pa.string()), ("block", pa.binary()))),
+                        *(pa.array([r[k] for r in rows], pa.string()) for k in ("url", "date", "type", "key", "kind")),
+                        pa.array([r["block"] for r in rows], pa.binary()),
                     ],
-                    ["page_id", "payload_digest", "url", "date", "block"],
+                    ["page_id", "payload_digest", "url", "date", "type", "key", "kind", "block"],
                 )
 
     def convert(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             out = []
             for row in frame.to_pylist():
-                head, _ = http_parts(row["block"])
+                kind, url, block, digest, refers = row["kind"], row["url"], row["block"], row["payload_digest"], None
                 date = warc_date(row["date"])
-                ident = record_id(row["url"], date, str(row["page_id"]))
-                if row["refers_to"] is None:
-                    made = warc_record("response", row["url"], date, ident, row["block"], row["payload_digest"])
-                else:
-                    to = head[:-2] + f"X-Refers-To-Page: {row['refers_to']}\r\n\r\n".encode()
-                    made = warc_record("revisit", row["url"], date, ident, to, row["payload_digest"], (record_id("page", date, str(row["refers_to"])), date))
-                out.append(made.decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
+                head, _ = http_parts(block)
+                ident = _page_record_id(url, date, row["page_id"], digest) if head else record_id(url, date, row["key"])
+                if row["refers_to"] is not None:
+                    kind, block, to = "revisit", head, warc_date(row["refers_date"])
+                    refers = (_page_record_id(row["refers_url"], to, row["refers_to"], digest), to)
+                out.append(warc_record(kind, url, date, ident, block, digest, refers, row["type"]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    rows = arcs.mapInArrow(split, "page_id long, payload_digest string, url string, date string, block binary")
-    return rows.join(references, ["page_id", "payload_digest"], "left").mapInArrow(convert, "record string")
+    rows = arcs.mapInArrow(split, "page_id long, payload_digest string, url string, date string, type string, key string, kind string, block binary")
+    made = rows.join(references, ["page_id", "payload_digest"], "left").mapInArrow(convert, "record binary")
+    return made.select(F.col("record").cast("string"))  # the bytes as they are, UTF-8 or not
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -251,30 +266,36 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the WARC files of a folder.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the responses and revisits in the WARC files of a folder.
 
     A response is measured anew: its payload must have the digest that its header states.
+    ``refers_to`` is the page of the response whose identifier a revisit names, NULL if the folder has none.
     """
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_id"]
+        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4]
         for frame in frames:
             for content in frame.column("content"):
                 rows = []
                 for fields, block in read_warc(content.as_py()):
+                    if fields["warc-type"] not in ("response", "revisit"):
+                        continue
                     head, payload = http_parts(block)
-                    digest, size, refers = fields["warc-payload-digest"].removeprefix("sha1:"), len(payload), None
-                    if fields["warc-type"] == "response":
-                        if sha1_base32(payload) != digest:
-                            raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
-                    else:
-                        size, refers = _header_number(head, b"Content-Length"), int(re.search(rb"\r\nX-Refers-To-Page: (-?\d+)\r\n", head)[1])
-                    rows.append((_page_of(head), size, digest, fields["warc-type"], refers))
+                    digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), len(payload)
+                    if fields["warc-type"] == "revisit":
+                        size = _header_number(head, b"Content-Length")
+                    elif sha1_base32(payload) != digest:
+                        raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
+                    rows.append((_page_of(head), size, digest, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to")))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
-    return files.mapInArrow(batches, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = settle(files.mapInArrow(batches, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_id string"), "warc_rows")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    named = found.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers_id")
+    again = found.where("record_type = 'revisit'").join(named, "refers_id", "left").select(*columns, "refers_to")
+    return found.where("record_type = 'response'").select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(again)
 
 
 def convert_pages(pages: DataFrame) -> DataFrame:
