@@ -37,15 +37,21 @@ def extract_head(doc_type: str) -> str:
     return f"Read these fields out of the {doc_type}: {names}.\n{EXTRACT_SHAPE}"
 
 
-def windows(text: str, limit: int | None) -> str:
-    """The whole text as ``(part, offset, piece)``; pieces of ``limit`` characters if one is given."""
+def windows(text: str, limit: int | None, overlap: int = 0) -> str:
+    """The whole text as ``(part, offset, piece)``; pieces of ``limit`` characters if one is given.
+
+    Each piece repeats the last ``overlap`` characters of the one before it.
+    """
     if limit is None:
         return f"array(named_struct('part', 0, 'offset', 0, 'piece', {text}))"
-    last = f"greatest(0, CAST(ceil(length({text}) / {limit}) AS INT) - 1)"
-    piece = f"substring({text}, i * {limit} + 1, {limit})"
+    if not 0 <= overlap < limit:
+        raise ValueError(f"overlap {overlap} does not fit windows of {limit}")
+    step = limit - overlap
+    last = f"greatest(0, CAST(ceil((length({text}) - {overlap}) / {step}) AS INT) - 1)"
+    piece = f"substring({text}, i * {step} + 1, {limit})"
     return (
         f"transform(sequence(0, {last}), "
-        f"i -> named_struct('part', i, 'offset', i * {limit}, 'piece', {piece}))"
+        f"i -> named_struct('part', i, 'offset', i * {step}, 'piece', {piece}))"
     )
 
 

@@ -140,6 +140,7 @@ def window_detections(replies: DataFrame) -> DataFrame:
     """I9 over windows: ``(doc_id, model_spans)`` from replies ``(doc_id, offset, attempt,
     reply, error)``, one or more per request window. The last attempt of a window counts, and
     its positions are moved by the window's ``offset``, so they are those of the whole text.
+    A span of one type and place that overlapping windows report counts once, the surest one.
     """
     answer = F.max(F.struct(F.col("attempt").cast("int").alias("attempt"), "reply", "error"))
     read = read_detection(replies.groupBy("doc_id", "offset").agg(answer.alias("detect_pii")))
@@ -148,8 +149,14 @@ def window_detections(replies: DataFrame) -> DataFrame:
         lambda s: s.withField("start_index", s["start_index"] + F.col("offset"))
         .withField("end_index", s["end_index"] + F.col("offset")),
     )
-    parts = F.sort_array(F.collect_list(F.struct("offset", moved.alias("spans"))))
-    return read.groupBy("doc_id").agg(F.flatten(parts["spans"]).alias("model_spans"))
+    spans = read.select("doc_id", "offset", F.posexplode_outer(moved).alias("pos", "span"))
+    once = spans.groupBy("doc_id", "span.pii_type", "span.start_index", "span.end_index").agg(
+        F.min(F.struct("offset", "pos")).alias("place"),
+        F.max_by("span", F.coalesce("span.confidence", F.lit(-1.0))).alias("span"),
+    )
+    found = F.when(F.col("span").isNotNull(), F.struct("place", "span"))
+    parts = F.sort_array(F.collect_list(found))
+    return once.groupBy("doc_id").agg(parts["span"].alias("model_spans"))
 
 
 def corrections(answers: str = "repairs") -> str:

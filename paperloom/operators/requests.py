@@ -2,7 +2,8 @@
 
 A request holds the whole text. Where a model takes less, ``limit`` gives a window in
 characters: a document then has a request for each window, and the windows join up to its
-text. Positions in a reply to a window count from its ``offset``.
+text. Positions in a reply to a window count from its ``offset``. Windows for detection can
+``overlap``: a value of at most ``overlap + 1`` characters then lies whole in one of them.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from paperloom.functions import prompts
 
 
 def _requests(
-    df: DataFrame, stage: str, request: str, text: str, limit: int | None, *extra: str
+    df: DataFrame, stage: str, request: str, text: str, limit: int | None, *extra: str,
+    overlap: int = 0,
 ) -> DataFrame:
     pieces = df.select(
-        "doc_id", *extra, F.inline_outer(F.expr(prompts.windows(f"coalesce({text}, '')", limit)))
+        "doc_id", *extra,
+        F.inline_outer(F.expr(prompts.windows(f"coalesce({text}, '')", limit, overlap))),
     )
     return pieces.select(
         "doc_id", *extra, F.lit(stage).alias("stage"), "part", "offset",
@@ -36,10 +39,12 @@ def extraction_requests(df: DataFrame, text: str = "text", limit: int | None = N
     return _requests(df, "extract", request, text, limit, "document_type")
 
 
-def detection_requests(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
+def detection_requests(
+    df: DataFrame, text: str = "text", limit: int | None = None, overlap: int = 0
+) -> DataFrame:
     """None for an empty text."""
     full = df.where(F.length(text) > 0)
-    return _requests(full, "detect_pii", prompts.detect_request("piece"), text, limit)
+    return _requests(full, "detect_pii", prompts.detect_request("piece"), text, limit, overlap=overlap)
 
 
 def repair_requests(df: DataFrame, max_attempts: int, text: str = "text") -> DataFrame:
