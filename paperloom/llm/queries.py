@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import archives, decontaminate, langmix, linededup, maintext, mixing, neighbours, shards, simhash, toxicity
+from paperloom.llm import archives, chatformat, decontaminate, langmix, linededup, maintext, mixing, neighbours, periodicruns, prefixtrie, shards, simhash, toxicity
 from paperloom.llm.common import table
 
 
@@ -54,6 +54,19 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodicruns.digests(periodicruns.periodic_runs(periodicruns.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(prefixtrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = chatformat.with_control_texts(table(spark, sf_dir, "conversations"))
+    return chatformat.digests(chatformat.read_back(chatformat.render(chatformat.fold(chatformat.log(told)))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,5 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_shards,
         op9_line_dedup,
         op10_pu_toxicity,
+        op11_periodic_runs,
+        op12_prefix_trie,
+        op13_chat_format,
     )
 }
