@@ -46,7 +46,8 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"{len(bad)} rows differ; {cols}; first: spark {bad[0][0]} sql {bad[0][1]}"[:1500]
     for c in cols:
         filled = got[c].notna().any() and want[c].notna().any()  # pandas has no type for NULLs only
-        if (got[c].dtype.kind in "iu") != (want[c].dtype.kind in "iu") and filled:
+        whole = got[c].isna().any() and pd.api.types.is_float_dtype(got[c]) and (got[c].dropna() % 1 == 0).all()
+        if (got[c].dtype.kind in "iu" or whole) != (want[c].dtype.kind in "iu") and filled:  # with NULLs, whole numbers arrive as floats
             return f"type of {c}: {got[c].dtype} != {want[c].dtype}"
     return None
 
