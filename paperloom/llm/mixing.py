@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import settle
@@ -170,8 +171,17 @@ def mix(
     words has target 0 and takes nothing. Repeated rows are drawn one by one.
     """
     number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
-    kept = docs.select(number.alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
-    sizes = settle(with_size(kept, "row", "doc_id", "source"), "sizes")
+    return _drawn(settle(_sizes(docs, number), "sizes"), weights, share, most, seed)
+
+
+def _sizes(docs: DataFrame, number: Column, *keys: Column) -> DataFrame:
+    """(row, doc_id, source, size) and other columns of every row of ``docs``."""
+    kept = docs.select(number.alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), *keys, "text")
+    return with_size(kept, *kept.columns[:-1])
+
+
+def _drawn(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
+    """The mix of a settled table ``sizes(row, doc_id, source, size)``; see mix."""
     sources = settle(source_targets(sizes, weights, share, most).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "targets")
     rows = _salted(sizes).join(sources.select(F.col("source").alias("s"), "code", "docs", "ratio"), F.col("source").eqNullSafe(F.col("s"))).select(
         "row", "doc_id", "size", "salt", "code", "docs", F.floor("ratio").cast("double").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("chance")
@@ -207,9 +217,16 @@ def mix(
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all their columns, every row as often as the mix takes it.
 
-    Rows are numbered once, in the shared folder, and each meets its own draw by that number.
+    Each row meets its own draw: by its place in its file where ``docs`` are read from files,
+    so that only numbers are written; else rows are numbered once, in the shared folder.
     """
-    numbered = settle(docs.withColumn("row__", F.monotonically_increasing_id()), "numbered")
-    drawn = mix(numbered, row="row__", **options).where("copies > 0").select(F.col("row").alias("drawn__"), F.col("copies").alias("times__"))
-    joined = numbered.join(drawn, F.col("row__") == F.col("drawn__"))
+    try:
+        places = {"file__": F.xxhash64("_metadata.file_path"), "place__": F.col("_metadata.row_index")}
+        placed = docs.withColumns(places)
+    except AnalysisException:
+        placed = settle(docs.withColumns({"file__": F.lit(0).cast("long"), "place__": F.monotonically_increasing_id()}), "numbered")
+    sizes = settle(_sizes(placed, F.monotonically_increasing_id(), F.col("file__"), F.col("place__")), "sizes")
+    drawn = _drawn(sizes.select("row", "doc_id", "source", "size"), **options).where("copies > 0").select("row", F.col("copies").alias("times__"))
+    draws = sizes.select("row", F.col("file__").alias("drawn__"), F.col("place__").alias("at__")).join(drawn, "row")
+    joined = placed.join(draws.drop("row"), (F.col("file__") == F.col("drawn__")) & (F.col("place__") == F.col("at__")))
     return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), "times__"))).select(*docs.columns)
