@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +38,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most BATCH_BYTES (the session's own setting, if smaller).
+
+    Whole texts are held in several copies on their way, so large batches of long texts fill a
+    task's memory. The setting holds for the session.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(name).lower()).groups()
+    spark.conf.set(name, str(min(BATCH_BYTES, int(number) << 10 * " kmgtp".index(unit or " "))))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
