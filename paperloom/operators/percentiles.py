@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import PERCENTILES
+from paperloom.sources.sinks import settle
 
 #: A sketch cuts the line of values into 2 ** _HALVINGS bins.
 _HALVINGS = 7
@@ -29,8 +30,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Element ``int(n*f)`` of each group's sorted values, one column per fraction.
 
-    Equal values are counted together first; that is the one shuffle of all rows, by
-    group and value. Twice, the line of values is then cut into bins, and only the bins
+    Equal values are counted together first and written to the checkpoint folder; that is the
+    one shuffle of all rows, by group and value. Twice, the line of values is then cut into bins, and only the bins
     that hold a wanted element go on, so what is ranked at last is about a ten-thousandth of
     the values, whatever share of the rows a group has. The cuts decide the cost, never
     the result. NULL values do not count; NULL is a group like any other.
@@ -39,13 +40,14 @@ def exact_percentiles(
     rows = (df if by else df.withColumn("_all", F.lit(0))).select(
         *keys, F.col(value).cast("double").alias("_x")
     )
-    values = rows.where("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.count("_x").alias("_c"))
+    counted = rows.where("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.count("_x").alias("_c"))
+    values = settle(counted)  # read by the cuts, the sums and the join of both rounds
     places = [
         F.struct(F.lit(name).alias("name"), _index(F.col("_n"), f).alias("at"))
         for name, f in fractions.items()
     ]
     given = F.struct(F.col("_name").alias("name"), F.col("_at").alias("at"))
-    found = _narrow(values, keys, F.explode(F.array(*places)), keys)
+    found = settle(_narrow(values, keys, F.explode(F.array(*places)), keys))
     found = _narrow(found, [*keys, "_name", "_at"], given, keys)
     upto = F.sum("_c").over(W.partitionBy(*keys, "_name").orderBy("_x"))
     return (
