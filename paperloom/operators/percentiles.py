@@ -27,6 +27,7 @@ def exact_percentiles(
     value: str,
     by: Sequence[str] = (),
     fractions: dict[str, float] = PERCENTILES,
+    weight: str | None = None,
 ) -> DataFrame:
     """Element ``int(n*f)`` of each group's sorted values, one column per fraction.
 
@@ -34,13 +35,14 @@ def exact_percentiles(
     one shuffle of all rows, by group and value. Twice, the line of values is then cut into bins, and only the bins
     that hold a wanted element go on, so what is ranked at last is about a ten-thousandth of
     the values, whatever share of the rows a group has. The cuts decide the cost, never
-    the result. NULL values do not count; NULL is a group like any other.
+    the result. NULL values do not count; NULL is a group like any other. A row stands for
+    ``weight`` equal ones where that column is given.
     """
     keys = list(by) or ["_all"]
     rows = (df if by else df.withColumn("_all", F.lit(0))).select(
-        *keys, F.col(value).cast("double").alias("_x")
+        *keys, F.col(value).cast("double").alias("_x"), (F.col(weight) if weight else F.lit(1)).alias("_w")
     )
-    counted = rows.where("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.count("_x").alias("_c"))
+    counted = rows.where("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.sum("_w").alias("_c"))
     values = settle(counted)  # read by the cuts, the sums and the join of both rounds
     places = [
         F.struct(F.lit(name).alias("name"), _index(F.col("_n"), f).alias("at"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.basics import fixed_point
 from paperloom.functions.fixed_values import THRESHOLDS
 from paperloom.operators.percentiles import exact_percentiles, join_groups
+from paperloom.sources.sinks import settle
 
 
 def status(valid: Column) -> Column:
@@ -95,6 +96,60 @@ def metrics(inputs: DataFrame, by: Sequence[str] = (), scores: DataFrame | None
     return beside(out, scores, names)
 
 
+def metrics_by_levels(inputs: DataFrame, levels: Sequence[Sequence[str]]) -> DataFrame:
+    """M3, M4 on several groupings in one pass, such as type, language and total.
+
+    ``inputs`` as from ``metric_inputs`` with all columns that ``levels`` name. Columns: ``level``
+    (the columns of the grouping, comma-joined; empty for the total), the group columns, the
+    metrics. A column that a level does not group by is NULL, as is a group of rows without a value;
+    ``level`` tells them apart. Each row is counted once for every level, percentiles are exact on each.
+    The inputs are written once and read from there; levels are expanded before the one shuffle.
+    """
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    kinds = dict(inputs.dtypes)
+    sets = [
+        F.struct(
+            F.lit(",".join(level)).alias("level"),
+            *[(F.col(c) if c in level else F.lit(None).cast(kinds[c])).alias(c) for c in columns],
+        )
+        for level in levels
+    ]
+    kept = settle(inputs.groupBy(*inputs.columns).agg(F.count(F.lit(1)).alias("_n")))
+    rest = [c for c in inputs.columns if c not in columns]
+    spread = kept.select(F.inline(F.array(*sets)), *rest, "_n")
+    return _weighted_metrics(spread, ["level", *columns])
+
+
+def _weighted_metrics(inputs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``metrics`` of groups of rows that stand for ``_n`` equal rows each."""
+    n = F.col("_n")
+    time = F.col("processing_time_ms")
+    total = F.col("total_documents")
+    share = inputs.groupBy(*by).agg(
+        F.sum(n).alias("total_documents"),
+        F.sum(F.when(F.col("success"), n).otherwise(0)).alias("successful_documents"),
+        F.sum(F.col("n_fields") * n).alias("fields_extracted"),
+        F.sum(F.col("n_pii") * n).alias("pii_total_detected"),
+        F.sum(F.when(F.col("validation_passed"), n).otherwise(0)).alias("_passed"),
+        F.coalesce(F.try_divide(F.sum(time * n), F.sum(F.when(time.isNotNull(), n))), F.lit(0.0)).alias("avg_latency_ms"),
+    )
+    share = share.select(
+        *by,
+        "total_documents",
+        "successful_documents",
+        (total - F.col("successful_documents")).alias("failed_documents"),
+        (F.col("successful_documents") / total).alias("workflow_success_rate"),
+        "fields_extracted",
+        "pii_total_detected",
+        (F.col("_passed") / total).alias("validator_pass_rate"),
+        "avg_latency_ms",
+    )
+    points = exact_percentiles(inputs, "processing_time_ms", by, weight="_n")
+    out = join_groups(share, points, by)
+    names = ("p50", "p95", "p99")
+    return out.withColumns({f"{p}_latency_ms": F.coalesce(p, F.lit(0.0)) for p in names}).drop(*names)
+
+
 def beside(df: DataFrame, row: DataFrame, names: Sequence[str]) -> DataFrame:
     """Columns of the one row of ``row``, NULL where it has none; more rows are an error."""
     found = row.select(F.struct(*names).alias("found")).scalar()

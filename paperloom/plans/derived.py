@@ -77,7 +77,12 @@ def columns_sql(columns: dict[str, str]) -> list[str]:
 
 
 def invoices(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(table(spark, folder, "orders")).selectExpr(*columns_sql(INVOICE_COLUMNS))
+    return invoice_rows(spread(table(spark, folder, "orders")))
+
+
+def invoice_rows(orders: DataFrame) -> DataFrame:
+    """Invoices of a table or stream of orders."""
+    rows = orders.selectExpr(*columns_sql(INVOICE_COLUMNS))
     entries = F.array_compact(
         F.array(
             F.struct(F.lit("invoice_number").alias("k"), F.col("invoice_number").alias("v")),
@@ -126,7 +131,11 @@ REPAIR_REPLIES = [
 
 
 def repair_replies(spark: SparkSession, folder: str) -> DataFrame:
-    keys = table(spark, folder, "orders").selectExpr(
+    return repair_reply_rows(table(spark, folder, "orders"))
+
+
+def repair_reply_rows(orders: DataFrame) -> DataFrame:
+    keys = orders.selectExpr(
         f"{INVOICE_COLUMNS['doc_id']} AS doc_id", "o_orderkey AS k"
     )
     slots = ", ".join(REPAIR_REPLIES)

@@ -946,3 +946,43 @@ ORACLE["processed_audit"] = (
     "left(input_summary, 500) AS input_summary, left(output_summary, 500) AS output_summary, "
     "confidence FROM s"
 )
+
+# ---- tables of commits, streams, levels ---------------------------------------
+
+ORACLE["scanned_files"] = (
+    "WITH f AS (SELECT page_id, page_id % 2 AS run, coalesce(html, '') || chr(10) AS c, "
+    "CAST(page_id AS VARCHAR) || '/' AS place FROM pages), h AS (SELECT *, sha256(c) AS source_hash FROM f), "
+    "news AS (SELECT * FROM h WHERE run = 0 OR source_hash NOT IN (SELECT source_hash FROM h WHERE run = 0)) "
+    "SELECT arg_min(page_id, place) AS page_id, run, 'txt' AS file_type, CAST(strlen(any_value(c)) AS BIGINT) AS "
+    "file_size_bytes, source_hash, sha256(replace(replace(any_value(c), chr(13) || chr(10), chr(10)), chr(13), chr(10))) "
+    "AS text_hash FROM news GROUP BY run, source_hash"
+)
+ORACLE["new_pages"] = (
+    "WITH h AS (SELECT page_id, sha256(html) AS source_hash FROM pages WHERE html IS NOT NULL) SELECT min(page_id) AS "
+    "page_id, source_hash FROM h WHERE source_hash NOT IN (SELECT source_hash FROM h WHERE page_id % 3 <> 0) GROUP BY 2"
+)
+ORACLE["committed_decisions"] = (
+    f"WITH {DECISIONS} SELECT session_id, agent_type, count(*) AS decisions, count(DISTINCT doc_id) AS documents, "
+    "round(sum(duration_ms), 4) AS total_duration_ms FROM decisions GROUP BY 1, 2"
+)
+ORACLE["committed_results"] = (
+    "SELECT document_type, count(*) AS results, count(*) FILTER (is_valid) AS passed, CAST(sum(n_errors) AS BIGINT) AS "
+    f"errors FROM ({ORACLE['record_verdicts']}) GROUP BY 1"
+)
+ORACLE["streamed_repairs"] = ORACLE["repair_rounds"]
+ORACLE["pii_overlap_pairs"] = (
+    f"WITH {TRUTH} SELECT f.doc_id, f.pii_type AS left_pii_type, CAST(f.s AS BIGINT) AS left_start_index, CAST(f.e AS "
+    "BIGINT) AS left_end_index, t.pii_type AS right_pii_type, CAST(t.s AS BIGINT) AS right_start_index, CAST(t.e AS "
+    "BIGINT) AS right_end_index FROM found f JOIN truth t ON t.doc_id = f.doc_id AND NOT (f.e <= t.s OR t.e <= f.s)"
+)
+_LEVEL = "CASE grouping(document_type, lang) WHEN 0 THEN 'document_type,lang' WHEN 1 THEN 'document_type' ELSE '' END"
+ORACLE["metrics_by_level"] = (
+    f"{CHAIN}, m AS (SELECT *, {_MS} AS ms {_JOINED} JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)), a AS "
+    f"(SELECT {_LEVEL} AS level, document_type, lang, count(*) AS total_documents, count(*) FILTER (valid) AS "
+    "successful_documents, count(*) FILTER (NOT valid) AS failed_documents, round(CAST(count(*) FILTER (valid) AS DOUBLE) "
+    "/ count(*), 6) AS workflow_success_rate, CAST(sum(n_values) AS BIGINT) AS fields_extracted, CAST(sum(total_pii_found) "
+    "AS BIGINT) AS pii_total_detected, round(CAST(count(*) FILTER (valid) AS DOUBLE) / count(*), 6) AS "
+    f"validator_pass_rate, round(avg(ms), 6) AS avg_latency_ms, {_points('m', 'ms')} FROM m GROUP BY GROUPING SETS "
+    "((document_type, lang), (document_type), ())) SELECT * RENAME (p50 AS p50_latency_ms, p95 AS p95_latency_ms, "
+    "p99 AS p99_latency_ms) FROM a"
+)

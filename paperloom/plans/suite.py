@@ -11,6 +11,7 @@ from paperloom.functions import prompts
 from paperloom.operators import (
     catalogue,
     evaluate,
+    overlaps,
     redact,
     replies,
     report,
@@ -21,8 +22,11 @@ from paperloom.operators import (
 from paperloom.operators.percentiles import exact_percentiles
 from paperloom.plans import derived as D
 from paperloom.plans.process import ProcessOptions, process
+from paperloom.sources import commits, ledger, sinks
 from paperloom.sources import files as file_source
 from paperloom.sources.sinks import settle
+from paperloom.streaming import documents as stream
+from paperloom.streaming import repairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,6 +155,19 @@ def pii_span_overlaps(spark, sf):
     )
 
 
+@query
+def pii_overlap_pairs(spark, sf):
+    """Pairs of a found span and a true span of a document that overlap, whatever their types."""
+    found, truth = D.found_spans(spark, sf).drop("text"), D.true_spans(spark, sf)
+    kept = ["doc_id", "pii_type", "start_index", "end_index"]
+    pairs = overlaps.overlap_pairs(found.select(*kept), truth.select(*kept), ("doc_id",))
+    return pairs.select(
+        "doc_id",
+        *[F.col(f"{side}.{c}").cast(kind).alias(f"{side}_{c}") for side in ("left", "right")
+          for c, kind in (("pii_type", "string"), ("start_index", "bigint"), ("end_index", "bigint"))],
+    )
+
+
 @query
 def pii_detection_scores(spark, sf):
     found, truth = D.found_spans(spark, sf), D.true_spans(spark, sf)
@@ -298,7 +315,10 @@ def _repaired(spark, sf):
 
 @query
 def repair_rounds(spark, sf):
-    done = _repaired(spark, sf)
+    return _round_columns(_repaired(spark, sf))
+
+
+def _round_columns(done):
     return done.select(
         "doc_id",
         F.col("validation.is_valid").alias("is_valid"),
@@ -406,14 +426,91 @@ def quarantined_files(spark, sf):
     return docs.groupBy("route", "load_error").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query
+def scanned_files(spark, sf):
+    """Pages written as files and scanned in two runs; the second opens only what the first has not seen."""
+    base = sinks.scratch(spark, "scanned")
+    for part in (0, 1):
+        rows = D.table(spark, sf, "pages").where(F.col("page_id") % 2 == part)
+        rows.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(f"{base}/in/part{part}")
+    runs = []
+    for run, folder in enumerate((f"{base}/in/part0", f"{base}/in")):
+        runs.append(ledger.ingest_new(spark, folder, f"{base}/ledger", f"run{run}").withColumn("run", F.lit(run).cast("bigint")))
+    return runs[0].unionByName(runs[1]).select(
+        F.regexp_extract("file_path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+        "run", "file_type", "file_size_bytes", "source_hash", F.sha2("text", 256).alias("text_hash"),
+    )
+
+
+@query
+def new_pages(spark, sf):
+    """Pages whose content a ledger of two thirds of them does not have."""
+    pages = D.table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("source_hash"))
+    path = sinks.scratch(spark, "known")
+    known = pages.where("page_id % 3 <> 0")
+    commits.write_batch(known, path, "first")
+    commits.write_batch(known, path, "first")
+    return ledger.new_rows(pages, commits.read_table(spark, path), "source_hash", "page_id")
+
+
+@query
+def committed_decisions(spark, sf):
+    """Decisions appended in three batches, one of them twice, one also by a job that died."""
+    path = sinks.scratch(spark, "decisions")
+    rows = D.decisions(spark, sf)
+    for batch in (0, 1, 2, 1):
+        part = rows.where(F.col("doc_id") % 3 == batch)
+        if batch == 2:
+            commits.write_attempt(part, path, ("session_id",))
+        sinks.append_decisions(part, path, None, f"batch {batch}")
+    found = commits.read_table(spark, path)
+    return found.groupBy("session_id", "agent_type").agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_distinct("doc_id").alias("documents"),
+        F.round(F.sum("duration_ms"), 4).alias("total_duration_ms"),
+    )
+
+
+@query
+def committed_results(spark, sf):
+    """Results written by type, retried, and read back with their metrics."""
+    path = sinks.scratch(spark, "results")
+    done = validate.validate(D.records(spark, sf)).select(
+        "doc_id", "document_type", F.col("validation.is_valid").alias("success"), F.size("validation.errors").cast("bigint").alias("n_errors")
+    )
+    for _ in range(2):
+        sinks.write_results(done, path, batch="all")
+    found = commits.read_table(spark, path)
+    report_ = found.groupBy("document_type").agg(F.count(F.lit(1)).alias("results"), F.count_if("success").alias("passed"), F.sum("n_errors").alias("errors"))
+    sinks.write_metrics(report_, f"{path}/metrics")
+    return sinks.read_metrics(spark, f"{path}/metrics", report_.schema)
+
+
+# ---- streams ----------------------------------------------------------------
+
+
+@query
+def streamed_repairs(spark, sf):
+    """``repair_rounds`` as a stream: records and replies meet in state."""
+    base = sinks.scratch(spark, "repairs")
+    shape = D.table(spark, sf, "orders").schema
+    orders = spark.readStream.schema(shape).parquet(f"{sf}/orders*.parquet")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at")
+    records = D.invoice_rows(orders).select("doc_id", "document_type", "structured_data", at)
+    answers = D.repair_reply_rows(orders).select("*", at)
+    done = _round_columns(repairs.repaired(records, answers))
+    stream.start(done, f"repairs-{base[-8:]}", f"{base}/out", f"{base}/progress").awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{base}/out")
+
+
 # ---- the whole chain --------------------------------------------------------
 
 
-def _processed(spark, sf):
+def _processed(spark, sf, **more):
     docs = D.documents(spark, sf, "lang").withColumns(
         {
             "file_name": F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")),
             "file_size_bytes": F.octet_length("text").cast("bigint"),
+            **more,
         }
     )
     options = ProcessOptions(run_at="TIMESTAMP'2024-01-01 00:00:00'")
@@ -459,6 +556,15 @@ def processed_metrics(spark, sf):
     )
 
 
+@query
+def metrics_by_level(spark, sf):
+    """Metrics per type and language, per type, and in total, in one pass."""
+    done = _processed(spark, sf, file_type=F.col("lang")).withColumnRenamed("file_type", "lang")
+    inputs = report.metric_inputs(done, ("document_type", "lang"))
+    out = report.metrics_by_levels(inputs, (("document_type", "lang"), ("document_type",), ()))
+    return _round(out, "workflow_success_rate", "validator_pass_rate", "avg_latency_ms")
+
+
 @query
 def threshold_checks(spark, sf):
     """All five limits, with accuracy, recall and precision from given truth."""

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.sources import commits
+
 
-def write_results(results: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Results partitioned by document type; ``doc_id`` identifies a result."""
+def write_results(results: DataFrame, path: str, fmt: str = "parquet", mode: str = "append", batch: str | None = None) -> None:
+    """Results partitioned by document type; ``doc_id`` identifies a result.
+
+    With a name for the ``batch``, a retry adds nothing (``sources.commits``, whose ``read_table`` reads it).
+    """
+    if batch is not None:
+        commits.write_batch(results, path, batch, ("document_type",))
+        return
     results.write.mode(mode).partitionBy("document_type").format(fmt).save(path)
 
 
@@ -20,9 +30,15 @@ def read_metrics(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def append_decisions(decisions: DataFrame, path: str, session_id: str) -> None:
-    """One partition of the audit table per session."""
-    rows = decisions.withColumn("session_id", F.lit(session_id))
+def append_decisions(decisions: DataFrame, path: str, session_id: str | None, batch: str | None = None) -> None:
+    """One partition of the audit table per session; without ``session_id``, by the column of that name.
+
+    With a name for the ``batch``, a retry adds nothing (``sources.commits``).
+    """
+    rows = decisions if session_id is None else decisions.withColumn("session_id", F.lit(session_id))
+    if batch is not None:
+        commits.write_batch(rows, path, batch, ("session_id",))
+        return
     rows.write.mode("append").partitionBy("session_id").parquet(path)
 
 
@@ -32,6 +48,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, below the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the checkpoint folder.
 
