@@ -314,6 +314,20 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# On two of three days an agent is evaluated from six to twenty, on some of them without an end, and on some
+# a second period starts at noon.
+PERIOD_ROWS = (
+    "SELECT agent_type, d + INTERVAL 6 HOUR AS start_at, CASE WHEN day(d) % 5 = 0 THEN NULL ELSE d + INTERVAL 20 HOUR END AS end_at, "
+    "agent_type || '-' || CAST(CAST(d AS DATE) AS STRING) AS name FROM days WHERE day(d) % 3 <> 0 "
+    "UNION ALL SELECT agent_type, d + INTERVAL 12 HOUR, d + INTERVAL 13 HOUR, agent_type || '-noon' FROM days WHERE day(d) % 4 = 1"
+)
+
+
+def periods(spark: SparkSession, folder: str) -> DataFrame:
+    days = decisions(spark, folder).selectExpr("agent_type", "date_trunc('DAY', timestamp) AS d").distinct()
+    return spark.sql(PERIOD_ROWS.replace("FROM days", "FROM {days}"), days=days)
+
+
 # ---- files ------------------------------------------------------------------
 
 # Pages as files: the suffix follows the key; some lines end as on other systems, some

@@ -986,3 +986,39 @@ ORACLE["metrics_by_level"] = (
     "((document_type, lang), (document_type), ())) SELECT * RENAME (p50 AS p50_latency_ms, p95 AS p95_latency_ms, "
     "p99 AS p99_latency_ms) FROM a"
 )
+ORACLE["running_audit"] = (
+    f"WITH {DECISIONS} SELECT session_id, agent_type, count(*) AS decisions, round(sum(duration_ms), 3) AS "
+    f"total_duration_ms, round(avg(duration_ms), 3) AS avg_duration_ms, count(*) FILTER ({_BAD}) AS errors, "
+    f"round(CAST(count(*) FILTER ({_BAD}) AS DOUBLE) / count(*), 3) AS error_rate, round(sum(coalesce(confidence, 0)) / "
+    "count(*), 3) AS avg_confidence FROM decisions GROUP BY 1, 2"
+)
+ORACLE["decision_periods"] = (
+    f"WITH {DECISIONS}, days AS (SELECT DISTINCT agent_type, date_trunc('day', timestamp) AS d FROM decisions), "
+    f"periods AS ({D.PERIOD_ROWS}) SELECT doc_id, decisions.agent_type, CASE WHEN end_at IS NULL OR timestamp < end_at THEN "
+    "name END AS period, CASE WHEN end_at IS NULL OR timestamp < end_at THEN start_at END AS start_at FROM decisions "
+    "ASOF LEFT JOIN periods ON decisions.agent_type = periods.agent_type AND decisions.timestamp >= periods.start_at"
+)
+
+
+def _state(source: str, keys: str, points: int) -> str:
+    """The points of a quantile state and their weights, from values x with weight w."""
+    return (
+        f"(SELECT *, upto - coalesce(lag(upto) OVER (PARTITION BY {keys} ORDER BY x), 0) AS w FROM (SELECT {keys}, x, c, "
+        f"CAST(sum(c) OVER (PARTITION BY {keys} ORDER BY x) AS BIGINT) AS upto, CAST(sum(c) OVER (PARTITION BY {keys}) AS BIGINT) AS n "
+        f"FROM (SELECT {keys}, x, CAST(sum(w) AS BIGINT) AS c FROM {source} WHERE x IS NOT NULL GROUP BY ALL)) "
+        f"WHERE (upto * {points}) // n > ((upto - c) * {points}) // n)"
+    )
+
+
+_AT = {"p50": "n // 2", "p95": "CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT)", "p99": "CAST(floor(n * CAST(0.99 AS DOUBLE)) AS BIGINT)"}
+ORACLE["latency_states"] = (
+    f"WITH {DECISIONS}, raw AS (SELECT session_id, agent_type, CAST(duration_ms AS DOUBLE) AS x, 1 AS w FROM decisions), "
+    f"s1 AS (SELECT * FROM {_state('raw', 'session_id, agent_type', 32)}), s2 AS (SELECT agent_type, x, w FROM {_state('s1', 'agent_type', 64)}), "
+    "placed AS (SELECT *, sum(w) OVER (PARTITION BY agent_type ORDER BY x) AS upto, CAST(sum(w) OVER (PARTITION BY agent_type) AS BIGINT) AS n FROM s2), "
+    "q AS (SELECT agent_type, max(n) AS n, " + ", ".join(f"min(x) FILTER (upto > {at}) AS {p}" for p, at in _AT.items())
+    + " FROM placed GROUP BY 1), ranks AS (SELECT q.*, "
+    + ", ".join(f"count(*) FILTER (x < {p}) AS {p}_lo, count(*) FILTER (x <= {p}) AS {p}_hi" for p in _AT)
+    + " FROM raw JOIN q USING (agent_type) WHERE x IS NOT NULL GROUP BY ALL) SELECT agent_type, n, p50, p95, p99, "
+    + ", ".join(f"CAST(greatest(0, {p}_lo - ({at}), ({at}) - {p}_hi + 1) AS BIGINT) AS {p}_off" for p, at in _AT.items())
+    + " FROM ranks"
+)

@@ -12,6 +12,8 @@ from paperloom.operators import (
     catalogue,
     evaluate,
     overlaps,
+    periods,
+    quantile_states,
     redact,
     replies,
     report,
@@ -365,6 +367,35 @@ def latency_percentiles_overall(spark, sf):
     return exact_percentiles(D.decisions(spark, sf), "duration_ms")
 
 
+@query
+def latency_states(spark, sf):
+    """Percentiles from states kept per session, merged per agent, with their true rank errors."""
+    rows = D.decisions(spark, sf)
+    path = sinks.scratch(spark, "states")
+    states = quantile_states.quantile_state(rows, "duration_ms", ("session_id", "agent_type"), 32)
+    commits.write_batch(states, path, "all", ("session_id",))
+    kept = quantile_states.merged_state(commits.read_table(spark, path), ("agent_type",), 64)
+    found = quantile_states.state_quantiles(kept, ("agent_type",))
+    return quantile_states.rank_errors(rows, "duration_ms", found, ("agent_type",))
+
+
+@query
+def decision_periods(spark, sf):
+    """Each decision with the evaluation period in force at its time."""
+    found = periods.period_at(D.decisions(spark, sf), D.periods(spark, sf), ("agent_type",))
+    return found.select("doc_id", "agent_type", F.col("period.name").alias("period"), F.col("period.start_at").alias("start_at"))
+
+
+@query
+def running_audit(spark, sf):
+    """Totals per session and agent after three appends, one of them retried."""
+    path = sinks.scratch(spark, "audit")
+    rows = D.decisions(spark, sf)
+    for batch in (0, 1, 1, 2):
+        sinks.append_with_totals(rows.where(F.col("doc_id") % 3 == batch), path, f"batch {batch}")
+    return _round(sinks.running_totals(spark, path), "total_duration_ms", "avg_duration_ms", "error_rate", "avg_confidence", digits=3)
+
+
 @query
 def agent_report(spark, sf):
     return _round(

@@ -42,6 +42,37 @@ def append_decisions(decisions: DataFrame, path: str, session_id: str | None, ba
     rows.write.mode("append").partitionBy("session_id").parquet(path)
 
 
+def _sums(decisions: DataFrame) -> DataFrame:
+    failed = F.coalesce(F.col("error_message"), F.lit("")) != ""
+    return decisions.groupBy("session_id", "agent_type").agg(
+        F.count(F.lit(1)).alias("decisions"),
+        F.sum("duration_ms").cast("double").alias("duration_ms"),
+        F.count("duration_ms").alias("timed"),
+        F.count_if(failed).alias("errors"),
+        F.sum(F.coalesce(F.col("confidence"), F.lit(0.0))).cast("double").alias("confidence"),
+    )
+
+
+def append_with_totals(decisions: DataFrame, path: str, batch: str) -> None:
+    """S10 with M6, M8: append decisions and, beside them, their sums per session and agent.
+
+    Both are batches of one name, so a retry after a crash between them writes what is missing.
+    """
+    append_decisions(decisions, path, None, batch)
+    commits.write_batch(_sums(decisions), f"{path}/totals", batch)
+
+
+def running_totals(spark: SparkSession, path: str) -> DataFrame:
+    """M6, M8 per session and agent from the kept sums; no decision is read again."""
+    sums = ["decisions", "duration_ms", "timed", "errors", "confidence"]
+    kept = commits.read_table(spark, f"{path}/totals").groupBy("session_id", "agent_type").agg(*[F.sum(c).alias(c) for c in sums])
+    return kept.select(
+        "session_id", "agent_type", "decisions", F.col("duration_ms").alias("total_duration_ms"),
+        F.try_divide("duration_ms", "timed").alias("avg_duration_ms"), "errors",
+        (F.col("errors") / F.col("decisions")).alias("error_rate"), (F.col("confidence") / F.col("decisions")).alias("avg_confidence"),
+    )
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; where it names none, one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
