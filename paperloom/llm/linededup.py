@@ -64,10 +64,12 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(hi, lo, n, keeper) of keys in at least ``min_docs`` documents; keeper has the largest doc_id.
 
-    Counts are summed in each task before the shuffle, so a line of a third of all
-    documents sends one row per task.
+    Rows of one doc_id are one document, and rows without an id are none. A key's ids are told apart
+    first, dealt by key and id, so that a line of a third of all documents is spread; its
+    counts are then summed in each task before the second shuffle.
     """
-    grouped = line_keys(docs, min_chars).groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    held = line_keys(docs, min_chars).where("doc_id IS NOT NULL").distinct()
+    grouped = held.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
     return grouped.where(F.col("n") >= min_docs)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import hash_share, remainder, settle, shuffle_partitions
+from paperloom.llm.common import remainder, settle, shuffle_partitions
 
 #: Documented bounds of the training sample, in rows: confirmed toxic, and unlabelled.
 MAX_POSITIVE = 3000
@@ -161,9 +161,9 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, rounds: int = 300, rate:
 def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, prior: float | None = None) -> Model:
     """Model from the rows of ``docs(doc_id, text)`` whose id is not in the held-out fold.
 
-    Positive: labelled toxic. Unlabelled: any row, its label not looked at. At most about
-    MAX_POSITIVE and MAX_UNLABELLED rows, chosen by a hash of the id, are brought to the
-    driver as hashed words. ``prior`` is the share of toxic texts; if not given, it is
+    Positive: labelled toxic. Unlabelled: any row, its label not looked at. At most
+    MAX_POSITIVE and MAX_UNLABELLED rows, those with the smallest hashes of id and text, are brought to
+    the driver as hashed words; so many rows of one id, or equal rows, do not exceed that. ``prior`` is the share of toxic texts; if not given, it is
     the share among the labelled rows outside the fold. A document with several labels is
     toxic if one of them says so; NULL labels are none.
     """
@@ -176,20 +176,36 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, prio
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(seen)
     marks = settle(marks, "marks")
-    total = texts.count()
     counted = marks.agg(F.count("*"), F.sum("toxic")).first()
     n_marks, n_pos = counted[0], counted[1] or 0
     if prior is None:
         prior = float(np.clip(n_pos / n_marks if n_marks else 0.05, 0.005, 0.5))
-    chosen = settle(marks.where("toxic = 1").where(hash_share("doc_id", MAX_POSITIVE / max(n_pos, 1))).select("doc_id"), "positive_ids")
-    toxic = texts.join(chosen, "doc_id", "left_semi")
-    mixed = texts.where(hash_share("doc_id", MAX_UNLABELLED / max(total, 1)))
+    toxic = _at_most(texts, MAX_POSITIVE, marks.where("toxic = 1").select("doc_id"))
+    mixed = _at_most(texts, MAX_UNLABELLED)
     both = toxic.withColumn("positive", F.lit(True)).unionByName(mixed.withColumn("positive", F.lit(False)))
     sample = settle(both.repartition(shuffle_partitions(docs.sparkSession)), "toxicity_sample")
     kept, weights, bias = fit(_hashes(sample.where("positive")), _hashes(sample.where("not positive")), prior)
     return Model(_names(sample, dict(zip(kept.tolist(), weights.tolist()))), bias)
 
 
+def _at_most(texts: DataFrame, most: int, ids: DataFrame | None = None) -> DataFrame:
+    """The ``most`` rows of ``texts(doc_id, text)`` with the smallest hashes, of those with an id in ``ids``.
+
+    The hashes alone are sorted, at most ``most`` a task. Rows with the last hash that counts are equal
+    ones (but for a clash of hashes), so it does not matter which of them make up the number.
+    """
+    rows = texts.withColumn("_h", F.xxhash64(F.lit("sample"), "doc_id", "text"))
+    keyed = rows.join(ids, "doc_id", "left_semi") if ids is not None else rows
+    least = keyed.select("_h").orderBy("_h").limit(most)
+    last = least.groupBy("_h").count().orderBy(F.desc("_h")).first()
+    if last is None:
+        return texts.limit(0)
+    near = rows.where(F.col("_h") <= last["_h"])
+    near = near.join(ids, "doc_id", "left_semi") if ids is not None else near
+    equal = near.where(F.col("_h") == last["_h"]).limit(last["count"])
+    return near.where(F.col("_h") < last["_h"]).unionByName(equal).select(*texts.columns)
+
+
 def _hashes(texts: DataFrame) -> Rows:
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
