@@ -987,10 +987,9 @@ ORACLE["metrics_by_level"] = (
     "p99 AS p99_latency_ms) FROM a"
 )
 ORACLE["running_audit"] = (
-    f"WITH {DECISIONS} SELECT session_id, agent_type, count(*) AS decisions, round(sum(duration_ms), 3) AS "
-    f"total_duration_ms, round(avg(duration_ms), 3) AS avg_duration_ms, count(*) FILTER ({_BAD}) AS errors, "
-    f"round(CAST(count(*) FILTER ({_BAD}) AS DOUBLE) / count(*), 3) AS error_rate, round(sum(coalesce(confidence, 0)) / "
-    "count(*), 3) AS avg_confidence FROM decisions GROUP BY 1, 2"
+    f"WITH {DECISIONS} SELECT session_id, agent_type, count(*) AS decisions, round(sum(duration_ms), 4) AS "
+    f"total_duration_ms, count(*) FILTER ({_BAD}) AS errors, round(CAST(count(*) FILTER ({_BAD}) AS DOUBLE) / count(*), 4) "
+    "AS error_rate, round(sum(coalesce(confidence, 0)), 4) AS total_confidence FROM decisions GROUP BY 1, 2"
 )
 ORACLE["decision_periods"] = (
     f"WITH {DECISIONS}, days AS (SELECT DISTINCT agent_type, date_trunc('day', timestamp) AS d FROM decisions), "

@@ -393,7 +393,9 @@ def running_audit(spark, sf):
     rows = D.decisions(spark, sf)
     for batch in (0, 1, 1, 2):
         sinks.append_with_totals(rows.where(F.col("doc_id") % 3 == batch), path, f"batch {batch}")
-    return _round(sinks.running_totals(spark, path), "total_duration_ms", "avg_duration_ms", "error_rate", "avg_confidence", digits=3)
+    out = sinks.running_totals(spark, path).withColumn("total_confidence", F.col("avg_confidence") * F.col("decisions"))
+    kept = ("total_duration_ms", "total_confidence", "error_rate")  # sums: an average may lie on a rounding edge
+    return _round(out.drop("avg_duration_ms", "avg_confidence"), *kept, digits=4)
 
 
 @query
