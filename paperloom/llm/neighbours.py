@@ -135,8 +135,8 @@ def learn(vectors: np.ndarray, parts: int, k: int, seed: int = 11) -> Router:
     return router
 
 
-def _top(query: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of each query as (query_id, vec_id, score); rows are in order of id.
+def _top(query: np.ndarray, query_rows: np.ndarray, rows: np.ndarray, row_keys: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query as (row number of the query, vec_id, score).
 
     Products are added component by component in double precision, so that equal
     vectors score equal wherever they lie.
@@ -149,22 +149,22 @@ def _top(query: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np
         total = np.zeros((len(part), len(rows)))
         for d in range(query.shape[1]):
             total += part[:, d, None] * columns[d]
-        total[query_ids[at : at + step, None] == row_ids[None, :]] = -np.inf
+        total[query_rows[at : at + step, None] == row_keys[None, :]] = -np.inf
         least = np.partition(total, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(part), -np.inf)
         for i in range(len(part)):
             good = np.flatnonzero((total[i] >= least[i]) & (total[i] > -np.inf))
             good = good[np.lexsort((row_ids[good], -total[i][good]))[:k]]
-            out.append((np.full(len(good), query_ids[at + i]), row_ids[good], total[i][good]))
+            out.append((np.full(len(good), query_rows[at + i]), row_ids[good], total[i][good]))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): one row per vec_id, its vector in double precision.
+    """(row, vec_id, v): each vector of an id once, in double precision, under a number of its own.
 
     Left out: NULL ids, and vectors that are NULL, zero, of another length than most, or hold
-    a NULL or non-finite component. Of several vectors of an id the smallest stays.
+    a NULL or non-finite component. Different vectors of one id all stay.
     """
     v = F.col("embedding").cast("array<double>")
     rows = embeddings.select(F.col("vec_id").cast("long"), v.alias("v")).where(
@@ -173,7 +173,7 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
         & F.exists("v", lambda x: x != 0)
     )
-    rows = settle(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    rows = settle(rows.distinct().select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     return rows.where(F.size("v") == (lengths[0]["d"] if lengths else 0))
 
@@ -186,7 +186,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     and more while they hold fewer than k rows - where all rows are compared exactly. A large
     partition is cut into blocks of rows and blocks of queries, which meet in one task each; a task
     keeps k per query, so no group grows with the square of a partition. Ties go to
-    the smaller vec_id. See valid_vectors for the rows that take no part; an empty table
+    the smaller vec_id. Where an id has several vectors, each is a row of its own: a candidate for the
+    others, and a query with its own ranks. See valid_vectors for the rows that take no part; an empty table
     gives an empty table, and other columns are ignored.
     """
     spark = embeddings.sparkSession
@@ -195,9 +196,10 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     total = rows.count()
     if not total:
         return spark.createDataFrame([], schema)
-    sample = rows.where(hash_share("vec_id", MAX_SAMPLE / total)).toArrow().sort_by("vec_id")
+    picked = rows.withColumn("pick", F.xxhash64("vec_id", "v"))
+    sample = picked.where(hash_share("pick", MAX_SAMPLE / total)).toArrow().sort_by([("vec_id", "ascending"), ("pick", "ascending")])
     if sample.num_rows < 64:
-        sample = rows.orderBy("vec_id").limit(64).toArrow()
+        sample = picked.orderBy("vec_id", "pick").limit(64).toArrow()
     vectors = np.stack(sample.column("v").to_numpy(zero_copy_only=False)) if sample.num_rows else np.zeros((0, 1))
     router = learn(vectors, int(np.clip(np.sqrt(total) / 4, *PARTS)), k)
     sent = spark.sparkContext.broadcast((router.weights, router.bias, router.scale, router.probes))  # at most PARTS[1] columns
@@ -207,10 +209,10 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             if frame.num_rows:
                 v = np.stack(frame.column("v").to_numpy(zero_copy_only=False))
                 order = Router(*sent.value).order(v)
-                yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "visits"])
+                yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["row", "vec_id", "v", "visits"])
 
-    placed = rows.mapInArrow(place, "vec_id long, v array<double>, visits array<int>")
-    index = settle(placed.select("vec_id", "v", F.col("visits")[0].alias("part")), "index")
+    placed = rows.mapInArrow(place, "row long, vec_id long, v array<double>, visits array<int>")
+    index = settle(placed.select("row", "vec_id", "v", F.col("visits")[0].alias("part")), "index")
     held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one number per partition
     most = router.weights.shape[1]
     counts = F.array(*[F.lit(held.get(p, 0)) for p in range(most)])
@@ -220,14 +222,14 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("taken")),
         lambda s, p: F.when(s["n"] > k, s).otherwise(F.struct((s["n"] + F.get(counts, p)).alias("n"), (s["taken"] + 1).alias("taken"))),
     )["taken"]
-    queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.slice("visits", F.lit(1), F.greatest(filled, F.lit(router.probes))).alias("visits"))
-    queries = settle(queries.select("vec_id", "v", F.explode("visits").alias("part")), "visits")
+    queries = placed.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v", F.slice("visits", F.lit(1), F.greatest(filled, F.lit(router.probes))).alias("visits"))
+    queries = settle(queries.select("row", "vec_id", "v", F.explode("visits").alias("part")), "visits")
     asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
     row_blocks = F.array(*[F.lit(-(-held.get(p, 0) // ROW_BLOCK) or 1) for p in range(most)])
     query_blocks = F.array(*[F.lit(-(-asked.get(p, 0) // QUERY_BLOCK) or 1) for p in range(most)])
 
     def dealt(frame: DataFrame, own: str, other: str, mine, theirs) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id"), F.get(mine, F.col("part"))).cast("int")
+        block = F.pmod(F.xxhash64("row"), F.get(mine, F.col("part"))).cast("int")
         return frame.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.get(theirs, F.col("part")) - 1)))
 
     keys = ["part", "rows_block", "query_block"]
@@ -236,17 +238,20 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        rows = rows.sort_by("vec_id").combine_chunks()
-        found = _top(
+            return pa.table({"row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        rows, asked = rows.combine_chunks(), asked.sort_by("row").combine_chunks()
+        numbers = asked.column("row").to_numpy()
+        row, vec_id, score = _top(
             np.stack(asked.column("v").to_numpy()),
-            asked.column("vec_id").to_numpy(),
+            numbers,
             np.stack(rows.column("v").to_numpy()),
+            rows.column("row").to_numpy(),
             rows.column("vec_id").to_numpy(),
             k,
         )
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
+        query_id = asked.column("vec_id").to_numpy()[np.searchsorted(numbers, row)]
+        return pa.table({"row": row, "query_id": query_id, "vec_id": vec_id, "score": score})
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "row long, query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
