@@ -8,11 +8,13 @@ comparison queries can state the same inputs.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.prompts import windows
-from paperloom.operators import redact
+from paperloom.operators import redact, rulebook
 
 # ---- reading the given tables -----------------------------------------------
 
@@ -120,6 +122,24 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return invoices(spark, folder).drop("k").unionByName(receipts(spark, folder))
 
 
+#: Day from which the second version of the invoice rules holds.
+NEW_RULES_FROM = "2024-07-01"
+NEW_INVOICE_RULES = (["invoice_number", "date", "total_amount"], [], {"invoice_number": "^INV-[0-9]*[05]$"})
+
+
+def dated_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with the day they are judged at: a day of 2024 for most invoices, else none."""
+    issued = "CASE WHEN k % 41 <> 0 THEN date_add(DATE '2024-01-01', CAST(k % 366 AS INT)) END AS issued"
+    dated = invoices(spark, folder).selectExpr("doc_id", "document_type", "structured_data", issued)
+    return dated.unionByName(receipts(spark, folder).withColumn("issued", F.lit(None).cast("date")))
+
+
+def rule_versions(spark: SparkSession) -> DataFrame:
+    """The catalogue from the beginning, and other rules for invoices from a day on."""
+    newer = rulebook.built_in(spark, {"invoice": NEW_INVOICE_RULES}, date.fromisoformat(NEW_RULES_FROM))
+    return rulebook.built_in(spark).unionByName(newer)
+
+
 REPAIR_REPLIES = [
     """CASE WHEN k % 2 = 0 THEN '{"corrected_fields": {"date": "2024-01-15"}}'"""
     """ ELSE '{"corrected_fields": {}}' END""",

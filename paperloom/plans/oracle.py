@@ -401,9 +401,9 @@ def _not_numeric(c: str, applies: str) -> str:
     return f"({applies} AND TRY_CAST({plain} AS DOUBLE) IS NULL)"
 
 
-def _error_rows(kind: str, source: str, here: dict[str, str]) -> list[str]:
+def _error_rows(kind: str, source: str, here: dict[str, str], rule: tuple | None = None) -> list[str]:
     """One SELECT per rule of a type; values are columns of ``source``."""
-    required, _, patterns = DOCUMENT_RULES[kind]
+    required, _, patterns = rule or DOCUMENT_RULES[kind]
     rows = []
 
     def add(condition, field, error, message, expected="NULL", actual="NULL"):
@@ -451,6 +451,18 @@ ORACLE["record_errors"] = (
     "rule) - 1 AS ord, field_name, error_type, error_message, expected_value, actual_value, "
     "severity FROM errors"
 )
+_LATE = f"DATE '2024-01-01' + CAST(k % 366 AS INTEGER) >= DATE '{D.NEW_RULES_FROM}'"
+ORACLE["versioned_record_errors"] = (
+    f"WITH {RECORDS}, late AS (SELECT * FROM inv WHERE k % 41 = 0 OR {_LATE}), "
+    "full_late AS (SELECT * FROM late WHERE NOT no_data), newer AS ("
+    + " UNION ALL ".join(_error_rows("invoice", "full_late", {"total_amount": "total_here"}, D.NEW_INVOICE_RULES))
+    + "), judged AS (SELECT *, CAST(NULL AS VARCHAR) AS rules_from FROM errors WHERE doc_id NOT IN "
+    f"(SELECT doc_id FROM late) UNION ALL SELECT *, '{D.NEW_RULES_FROM}' FROM errors WHERE error_type = "
+    "'missing_data' AND doc_id IN (SELECT doc_id FROM late) UNION ALL SELECT *, "
+    f"'{D.NEW_RULES_FROM}' FROM newer) "
+    "SELECT doc_id, document_type, rules_from, row_number() OVER (PARTITION BY rid, doc_id ORDER BY rule) - 1 AS ord, "
+    "field_name, error_type, error_message, expected_value, actual_value, severity FROM judged"
+)
 ORACLE["record_error_report"] = (
     f"WITH {RECORDS} SELECT document_type, field_name, error_type, count(*) AS n FROM errors "
     "GROUP BY 1, 2, 3"

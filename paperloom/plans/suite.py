@@ -18,6 +18,7 @@ from paperloom.operators import (
     replies,
     report,
     requests,
+    rulebook,
     trace,
     validate,
 )
@@ -304,6 +305,15 @@ def record_errors(spark, sf):
     return rows.withColumn("ord", F.col("ord").cast("bigint"))
 
 
+@query
+def versioned_record_errors(spark, sf):
+    """Errors by rules that are rows: the version of a type in force on the record's day."""
+    checked = rulebook.check(D.dated_records(spark, sf), D.rule_versions(spark), on="issued")
+    return rulebook.error_rows(checked).withColumns(
+        {"ord": F.col("ord").cast("bigint"), "rules_from": F.col("rules_from").cast("string")}
+    )
+
+
 @query
 def record_error_report(spark, sf):
     return validate.error_report(validate.validate(D.records(spark, sf)))
