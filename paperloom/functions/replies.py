@@ -162,6 +162,73 @@ def parsed(payload_text: str) -> str:
     return let("a", wrapped, f"CASE WHEN {whole} THEN get(a, 0) END")
 
 
+# Stand for an escaped backslash and quote, and begin the name of a replaced key, while a text is cut
+# into tokens; no characters by definition of Unicode.
+_BACKSLASH, _QUOTE, _RENAMED = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def single_keys(payload_text: str) -> str:
+    """JSON in which an object keeps the last member of each repeated key, at any depth.
+
+    NULL where no object repeats a key, where the text is not JSON even so, or where it holds one of the three
+    non-characters used here. Cuts the text into tokens, finds the members of every object in one
+    pass over them, and leaves out those that a later one replaces.
+    """
+    hidden = f"replace(replace(txt, '{chr(92) * 4}', '{_BACKSLASH}'), '{chr(92) * 2}\"', '{_QUOTE}')"
+    token = lit(r'"[^"]*+"|[{}\[\],:]|[^\s"{}\[\],:]++|"')
+
+    def shown(text: str) -> str:
+        return f"replace(replace({text}, '{_QUOTE}', '{chr(92) * 2}\"'), '{_BACKSLASH}', '{chr(92) * 4}')"
+
+    member = "struct<c:int,k:string,s:int,e:int>"
+    start = f"CAST({struct(open=empty(member), done=empty(member))} AS struct<open:array<{member}>,done:array<{member}>>)"
+    top = "element_at(acc.open, -1)"
+    below = "slice(acc.open, 1, size(acc.open) - 1)"
+
+    def one(c: str, k: str, first: str, last: str) -> str:
+        return f"CAST({struct(c=c, k=k, s=first, e=last)} AS {member})"
+
+    def closed(last: str) -> str:
+        ended = one(f"{top}.c", f"{top}.k", f"{top}.s", last)
+        return f"CASE WHEN {top}.s >= 0 THEN concat(acc.done, array({ended})) ELSE acc.done END"
+
+    tok = "element_at(toks, i + 1)"
+    name = f"coalesce(CAST(try_parse_json({shown('element_at(toks, i)')}) AS STRING), element_at(toks, i))"
+    fresh = one("i", "CAST(NULL AS STRING)", "-1", "-1")
+    again = one(f"{top}.c", "CAST(NULL AS STRING)", "-1", "-1")
+    named = one(f"{top}.c", name, "i - 1", "-1")
+    step = (
+        f"CASE WHEN {tok} IN ('{{', '[') THEN {struct(open=f'concat(acc.open, array({fresh}))', done='acc.done')} "
+        "WHEN size(acc.open) = 0 THEN acc "
+        f"WHEN {tok} = ':' AND i > 0 THEN {struct(open=f'concat({below}, array({named}))', done='acc.done')} "
+        f"WHEN {tok} = ',' THEN {struct(open=f'concat({below}, array({again}))', done=closed('i'))} "
+        f"WHEN {tok} IN ('}}', ']') THEN {struct(open=below, done=closed('i - 1'))} "
+        "ELSE acc END"
+    )
+    members = (
+        f"array_sort(aggregate(sequence(0, size(toks) - 1), {start}, (acc, i) -> {step}, acc -> acc.done))"
+    )
+    replaced = (
+        "filter(ms, (m, j) -> j + 1 < size(ms) AND element_at(ms, j + 2).c = m.c "
+        "AND element_at(ms, j + 2).k = m.k)"
+    )
+    renamed = (
+        f"transform(toks, (t, i) -> CASE WHEN exists(gone, m -> m.s = i) "
+        f"THEN concat('\"{_RENAMED}', CAST(i AS STRING), '\"') ELSE t END)"
+    )
+    kept = "filter(toks, (t, i) -> NOT exists(gone, m -> i BETWEEN m.s AND m.e))"
+    valid = parsed(shown(f"array_join({renamed}, ' ')"))
+    made = (
+        f"CASE WHEN size(gone) > 0 AND {valid} IS NOT NULL THEN {shown(f'array_join({kept}, chr(32))')} END"
+    )
+    found = let("toks", f"regexp_extract_all({hidden}, {token}, 0)", let("ms", members, let("gone", replaced, made)))
+    keys = lit(r'"[^"]*+"(?=\s*+:)')
+    repeats = let("ks", f"regexp_extract_all({hidden}, {keys}, 0)",
+                  "size(array_distinct(ks)) < size(ks) OR contains(txt, '\\\\u')")
+    apart = " AND ".join(f"NOT contains(txt, '{c}')" for c in (_BACKSLASH, _QUOTE, _RENAMED))
+    return let("txt", payload_text, f"CASE WHEN {apart} AND ({repeats}) THEN {found} END")
+
+
 # ---- the four shapes --------------------------------------------------------
 
 

@@ -67,13 +67,22 @@ def attach(docs: DataFrame, gathered: DataFrame) -> DataFrame:
 def payloads(replies: DataFrame) -> DataFrame:
     """The payload text of each reply and whether it is a JSON object."""
     texts = replies.withColumn("payload", F.expr(R.payload("reply")))
-    return texts.withColumn("is_json", F.expr(f"{R.parsed('payload')} IS NOT NULL"))
+    whole = f"{R.parsed('payload')} IS NOT NULL"
+    return texts.withColumn("is_json", F.expr(f"{whole} OR {R.single_keys('payload')} IS NOT NULL"))
 
 
 def _parse(df: DataFrame, answer: str) -> DataFrame:
     """Columns ``_p`` (payload text) and ``_v`` (VARIANT); NULL after an error."""
     text = f"CASE WHEN {answer}.error IS NULL THEN {answer}.reply END"
-    return df.withColumn("_p", F.expr(R.payload(text))).withColumn("_v", F.expr(R.parsed("_p")))
+    read = df.withColumn("_p", F.expr(R.payload(text))).withColumn("_v", F.expr(R.parsed("_p")))
+    # Only what does not parse may have an object that repeats a key.
+    read = read.withColumn("_s", F.expr(f"CASE WHEN _v IS NULL THEN {R.single_keys('_p')} END"))
+    return read.withColumns(
+        {
+            "_p": F.expr("coalesce(_s, _p)"),
+            "_v": F.expr(f"CASE WHEN _s IS NULL THEN _v ELSE {R.parsed('_s')} END"),
+        }
+    ).drop("_s")
 
 
 def _why(answer: str, prefix: str, usable: str) -> Column:
@@ -162,7 +171,10 @@ def window_detections(replies: DataFrame) -> DataFrame:
 def corrections(answers: str = "repairs") -> str:
     """Expression for the corrections of each attempt, NULL where it failed."""
     text = f"CASE WHEN an.error IS NULL THEN {R.payload('an.reply')} END"
-    read = let("pt", text, let("pv", R.parsed("pt"), R.corrections("pv", "pt")))
+    value = f"CASE WHEN once IS NULL THEN whole ELSE {R.parsed('once')} END"
+    read = let("pt", "coalesce(once, raw)", let("pv", value, R.corrections("pv", "pt")))
+    once = let("once", f"CASE WHEN whole IS NULL THEN {R.single_keys('raw')} END", read)
+    read = let("raw", text, let("whole", R.parsed("raw"), once))
     slots = f"coalesce({answers}, {empty(_ANSWER)})"
     return f"CAST(transform({slots}, an -> {read}) AS array<{FIX}>)"
 

@@ -261,6 +261,22 @@ def answers(spark: SparkSession, folder: str, *stages: str) -> DataFrame:
 
 
 # One window's reply names the first @ in it.
+# Replies whose objects repeat keys; the last one counts, and every member has to be JSON.
+REPEATED_TYPE = "CASE doc_id % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'receipt' ELSE 'contract' END"
+REPEATED_JSON = (
+    "CASE WHEN doc_id % 7 = 0 THEN '{\"document_type\": oops, \"document_type\": \"letter\", \"confidence\": 0.5}' ELSE "
+    "'{\"document_type\": \"letter\", \"extra\": {\"a\": 1, \"a\": [{\"b\": 1, \"b\": \"{,\"}]}, \"confidence\": 0.25, "
+    f"\"reasoning\": \"first\", \"document_type\": \"' || {REPEATED_TYPE} || '\", \"confidence\": 0.' || "
+    "CAST(doc_id % 90 + 10 AS STRING) || ', \"reasoning\": \"of ' || CAST(doc_id AS STRING) || '\"}' END"
+)
+
+
+def repeated_key_answers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").selectExpr(
+        "doc_id", "'classify' AS stage", "1 AS attempt", f"{REPEATED_JSON} AS reply", "CAST(NULL AS STRING) AS error"
+    )
+
+
 WINDOW_CHARS = 2000
 WINDOW_JSON = (
     """CASE WHEN instr(piece, '@') = 0 THEN '{"pii_entities": []}' ELSE """

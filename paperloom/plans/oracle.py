@@ -452,6 +452,12 @@ ORACLE["record_errors"] = (
     "severity FROM errors"
 )
 _LATE = f"DATE '2024-01-01' + CAST(k % 366 AS INTEGER) >= DATE '{D.NEW_RULES_FROM}'"
+ORACLE["repeated_key_replies"] = (
+    f"SELECT doc_id, CASE WHEN bad THEN 'unknown' ELSE {D.REPEATED_TYPE} END AS document_type, CASE WHEN bad THEN "
+    "CAST(0 AS DOUBLE) ELSE CAST('0.' || CAST(doc_id % 90 + 10 AS VARCHAR) AS DOUBLE) END AS classification_confidence, "
+    "CASE WHEN NOT bad THEN 'of ' || CAST(doc_id AS VARCHAR) END AS reasoning, CASE WHEN bad THEN 'Classification "
+    "failed: Invalid JSON in response' END AS classify_error FROM (SELECT doc_id, doc_id % 7 = 0 AS bad FROM documents)"
+)
 ORACLE["versioned_record_errors"] = (
     f"WITH {RECORDS}, late AS (SELECT * FROM inv WHERE k % 41 = 0 OR {_LATE}), "
     "full_late AS (SELECT * FROM late WHERE NOT no_data), newer AS ("

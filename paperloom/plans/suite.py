@@ -238,6 +238,15 @@ def classification_replies(spark, sf):
     )
 
 
+@query
+def repeated_key_replies(spark, sf):
+    """Replies that repeat keys, of which the last counts."""
+    read = replies.read_classification(replies.gather(D.repeated_key_answers(spark, sf)))
+    return read.select(
+        "doc_id", "document_type", "classification_confidence", "reasoning", "classify_error"
+    )
+
+
 def _extracted(spark, sf):
     keys = D.table(spark, sf, "documents").select("doc_id")
     gathered = replies.gather(D.answers(spark, sf, "extract"))
