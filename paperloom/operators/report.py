@@ -274,8 +274,13 @@ def batch_footer(results: DataFrame) -> DataFrame:
     )
 
 
-def result_view(results: DataFrame, first: int = 10, width: int = 50) -> DataFrame:
-    """Lines (section, ord, label, value) that describe each result."""
+def result_view(
+    results: DataFrame, first: int | None = 10, width: int | None = 50
+) -> DataFrame:
+    """Lines (section, ord, label, value) that describe each result.
+
+    The ``first`` fields are listed, with ``width`` characters of a value; None lists them whole.
+    """
 
     def line(section: str, label, value) -> Column:
         return F.struct(
@@ -286,12 +291,14 @@ def result_view(results: DataFrame, first: int = 10, width: int = 50) -> DataFra
 
     def short(v: Column) -> Column:
         text = F.coalesce(v, F.lit("None"))
+        if width is None:
+            return text
         return F.when(
             F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))
         ).otherwise(text)
 
     entries = F.map_entries("extracted_data")
-    more = F.size(entries) - first
+    more = F.size(entries) - first if first is not None else F.lit(0)
     info = F.array(
         line("info", "File", F.col("file_name")),
         line("info", "Type", F.coalesce("document_type", F.lit("unknown"))),
@@ -299,7 +306,7 @@ def result_view(results: DataFrame, first: int = 10, width: int = 50) -> DataFra
              F.expr(f"concat({fixed_point('file_size_bytes / 1024D', 1)}, ' KB')")),
     )
     data = F.transform(
-        F.slice(entries, 1, first), lambda e: line("data", e["key"], short(e["value"]))
+        entries if first is None else F.slice(entries, 1, first), lambda e: line("data", e["key"], short(e["value"]))
     )
     rest = F.array_compact(
         F.array(

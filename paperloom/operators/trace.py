@@ -57,12 +57,19 @@ def _yes_no(flag: str) -> str:
 
 
 def add_trace(
-    df: DataFrame, run_at: str = "current_timestamp()", model: str | None = None
+    df: DataFrame,
+    run_at: str = "current_timestamp()",
+    model: str | None = None,
+    names: int | None = None,
+    summary_chars: int | None = None,
 ) -> DataFrame:
     """Add ``agent_trace`` and ``audit`` to rows that carry every stage's columns.
 
-    The audit copy is shorter: no failed stages, no reporter, summaries cut.
+    The audit copy is shorter: no failed stages, no reporter. ``names`` bounds the field names
+    that the extractor's reasoning lists, ``summary_chars`` the summaries of the audit copy; without
+    them both are whole.
     """
+    listed = "fields" if names is None else f"slice(fields, 1, {int(names)})"
     text = "coalesce(text, '')"
     seen = f"length({text})"
     parts = {
@@ -74,7 +81,7 @@ def add_trace(
         "sure": fixed_point("classification_confidence", 2),
         "n_fields": "size(fields)",
         "mean": fixed_point("avg_confidence", 2),
-        "names": "array_join(transform(slice(fields, 1, 10), f -> concat('\\'', f.name, '\\'')), ', ')",
+        "names": f"array_join(transform({listed}, f -> concat('\\'', f.name, '\\'')), ', ')",
         "n_pii": "total_pii_found",
         "by_type": "array_join(transform(map_entries(pii_by_type), "
                    "e -> concat('\\'', e.key, '\\': ', CAST(e.value AS STRING))), ', ')",
@@ -97,7 +104,7 @@ def add_trace(
         return decision(agent, run_at, model, say(said), say(did), **facts)
 
     def logged(agent: str, said: str, did: str, **facts: str) -> str:
-        cut = f"substring({{}}, 1, {SUMMARY_CHARS})"
+        cut = "{}" if summary_chars is None else f"substring({{}}, 1, {int(summary_chars)})"
         return decision(
             agent, run_at, model, cut.format(say(said)), cut.format(say(did)), **facts
         )
@@ -190,11 +197,13 @@ def decision_rows(df: DataFrame, trace: str = "agent_trace") -> DataFrame:
     return rows.select("doc_id", "seq", "d.*")
 
 
-def log_decisions(decisions: DataFrame) -> DataFrame:
-    """The audit copy of a decision table cuts both summaries."""
+def log_decisions(decisions: DataFrame, limit: int | None = SUMMARY_CHARS) -> DataFrame:
+    """The audit copy of a decision table, its summaries cut where a limit is given."""
+    if limit is None:
+        return decisions
     return decisions.withColumns(
         {
-            c: F.substring(F.col(c), 1, SUMMARY_CHARS)
+            c: F.substring(F.col(c), 1, limit)
             for c in ("input_summary", "output_summary")
         }
     )

@@ -278,6 +278,8 @@ def repeated_key_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 WINDOW_CHARS = 2000
+#: Characters that detection requests repeat, more than any value looked for.
+WINDOW_OVERLAP = 400
 WINDOW_JSON = (
     """CASE WHEN instr(piece, '@') = 0 THEN '{"pii_entities": []}' ELSE """
     """'{"pii_entities": [{"type": "email", "value": "@", "start": ' || """

@@ -378,11 +378,12 @@ ORACLE["extraction_requests"] = _facts(
     f"(SELECT *, lower({D.KIND}) AS document_type FROM documents)",
     "document_type, ",
 )
+_STEP = 8000 - D.WINDOW_OVERLAP
 ORACLE["detection_requests"] = _facts(
-    f"{text(prompts.DETECT_HEAD)} || substr(text, CAST(part * 8000 + 1 AS BIGINT), 8000)",
-    "(SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 8000.0) AS BIGINT))) AS part "
-    "FROM documents WHERE length(text) > 0)",
-    "CAST(part AS INT) AS part, CAST(part * 8000 AS INT) AS \"offset\", ",
+    f"{text(prompts.DETECT_HEAD)} || substr(text, CAST(part * {_STEP} + 1 AS BIGINT), 8000)",
+    f"(SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - {D.WINDOW_OVERLAP}) / {_STEP}.0) "
+    "AS BIGINT)))) AS part FROM documents WHERE length(text) > 0)",
+    f"CAST(part AS INT) AS part, CAST(part * {_STEP} AS INT) AS \"offset\", ",
 )
 
 # ---- records ----------------------------------------------------------------
@@ -503,8 +504,8 @@ _JSON_MAP = (
 ORACLE["repair_requests"] = (
     f"WITH {RECORDS}, need AS (SELECT doc_id, {text(prompts.REPAIR_HEAD)} || chr(10) || 'Values:' "
     f"|| chr(10) || {_JSON_MAP} || chr(10) || 'Errors:' || chr(10) || l || chr(10) || 'Document:' "
-    f"|| chr(10) || repeat(doc_id || ' ', 900) AS r FROM full_inv JOIN (SELECT rid, {_LINES} AS l FROM errors GROUP BY 1) "
-    "USING (rid)) SELECT doc_id, CAST(1 AS BIGINT) AS attempt, length(r) AS n_chars, sha256(r) AS "
+    f"|| chr(10) || coalesce(d.text, '') AS r FROM full_inv i JOIN (SELECT rid, {_LINES} AS l FROM errors GROUP BY 1) "
+    "USING (rid) LEFT JOIN (SELECT doc_id AS place, text FROM documents) d ON d.place = i.k) SELECT doc_id, CAST(1 AS BIGINT) AS attempt, length(r) AS n_chars, sha256(r) AS "
     "request_hash FROM need"
 )
 
@@ -648,8 +649,7 @@ ORACLE["audit_summary"] = (
     "(session_id)"
 )
 ORACLE["audit_log"] = (
-    f"WITH {DECISIONS} SELECT doc_id, agent_type, left(input_summary, 500) AS input_summary, "
-    "left(output_summary, 500) AS output_summary FROM decisions"
+    f"WITH {DECISIONS} SELECT doc_id, agent_type, input_summary, output_summary FROM decisions"
 )
 ORACLE["evaluation_period"] = (
     f"WITH {DECISIONS} SELECT agent_type, count(*) AS decisions, min(timestamp) AS first_at, "
@@ -855,10 +855,9 @@ ORACLE["processed_result_view"] = (
     "CAST(doc_id AS VARCHAR) || '.txt' AS value FROM b UNION ALL SELECT doc_id, 0, 1, 'info', "
     "'Type', document_type FROM b UNION ALL SELECT doc_id, 0, 2, 'info', 'Size', "
     "format('{:.1f}', bytes / CAST(1024 AS DOUBLE)) || ' KB' FROM b UNION ALL "
-    "SELECT doc_id, 1, r, 'data', name, CASE WHEN length(value) > 50 THEN left(value, 50) || '...' "
-    "ELSE value END FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM "
-    "shown) WHERE r <= 10 UNION ALL SELECT doc_id, 2, 0, 'data', '...', '(' || CAST(n_values - 10 "
-    "AS VARCHAR) || ' more fields)' FROM b WHERE n_values > 10 UNION ALL SELECT doc_id, 3, ord, "
+    "SELECT doc_id, 1, r, 'data', name, coalesce(value, 'None') FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM "
+    "shown) UNION ALL SELECT doc_id, 3, ord, "
     "'pii', pii_type, CAST(n AS VARCHAR) FROM per_type) SELECT doc_id, row_number() OVER "
     "(PARTITION BY doc_id ORDER BY part, pos) - 1 AS ord, section, label, value FROM lines"
 )
@@ -961,8 +960,7 @@ ORACLE["processed_trace"] = (
 )
 ORACLE["processed_audit"] = (
     f"{CHAIN}, {_FACTS}, s AS ({' UNION ALL '.join(_LOGGED)}) SELECT doc_id, {_SEQ}, agent_type, "
-    "left(input_summary, 500) AS input_summary, left(output_summary, 500) AS output_summary, "
-    "confidence FROM s"
+    "input_summary, output_summary, confidence FROM s"
 )
 
 # ---- tables of commits, streams, levels ---------------------------------------

@@ -21,6 +21,8 @@ class ProcessOptions:
     max_repair_attempts: int = MAX_REPAIR_ATTEMPTS
     model: str | None = None
     run_at: str = "current_timestamp()"
+    trace_names: int | None = None
+    summary_chars: int | None = None
 
 
 def process(
@@ -56,7 +58,9 @@ def process(
     loaded = F.col("load_error").isNull()
     valid = F.col("validation.is_valid")
     judged = masked.withColumn("success", loaded & valid)
-    traced = trace.add_trace(judged, options.run_at, options.model)
+    traced = trace.add_trace(
+        judged, options.run_at, options.model, options.trace_names, options.summary_chars
+    )
     started = F.col("started_at") if "started_at" in docs.columns else None
     finished = F.col("finished_at") if "finished_at" in docs.columns else None
     time = report.processing_time(F.expr(trace.stage_time()), started, finished)

@@ -202,7 +202,9 @@ def extraction_requests(spark, sf):
 
 @query
 def detection_requests(spark, sf):
-    rows = requests.detection_requests(D.documents(spark, sf), limit=8000)
+    rows = requests.detection_requests(
+        D.documents(spark, sf), limit=8000, overlap=D.WINDOW_OVERLAP
+    )
     return _request_facts(rows, "part", "offset")
 
 
@@ -217,8 +219,9 @@ def repair_request_errors(spark, sf):
 
 @query
 def repair_requests(spark, sf):
-    checked = validate.validate(D.invoices(spark, sf))
-    rows = requests.repair_requests(checked, max_attempts=3, text="repeat(concat(doc_id, ' '), 900)")
+    texts = D.documents(spark, sf).select(F.col("doc_id").alias("k"), "text")
+    checked = validate.validate(D.invoices(spark, sf)).join(texts, "k", "left")
+    rows = requests.repair_requests(checked, max_attempts=3)
     return _request_facts(rows.withColumn("attempt", F.col("attempt").cast("bigint")), "attempt")
 
 
@@ -442,7 +445,7 @@ def audit_summary(spark, sf):
 
 @query
 def audit_log(spark, sf):
-    rows = trace.log_decisions(D.decisions(spark, sf))
+    rows = trace.log_decisions(D.decisions(spark, sf), limit=None)
     return rows.select("doc_id", "agent_type", "input_summary", "output_summary")
 
 
@@ -687,7 +690,7 @@ def processed_summary(spark, sf):
 
 @query
 def processed_result_view(spark, sf):
-    rows = report.result_view(_processed(spark, sf))
+    rows = report.result_view(_processed(spark, sf), first=None, width=None)
     return rows.withColumn("ord", F.col("ord").cast("bigint"))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from paperloom.operators import catalogue, evaluate, report
+from paperloom.operators import catalogue, evaluate, report, trace
 from paperloom.operators.percentiles import exact_percentiles
 from paperloom.sources import files
 
@@ -51,3 +51,20 @@ def test_a_file_that_scan_left_out_has_an_error(spark, tmp_path):
     errors = {r.file_name: r.load_error for r in files.ingest(unread).collect()}
     assert errors == {"small.txt": None, "big.txt": "File content was not read"}
     assert files.ingest(files.scan(spark, str(tmp_path))).where("text is not null").count() == 2
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    row = ("classifier", "A", None, "x" * 900, "y" * 501, None, None, 1.0, None, None, 0, None)
+    df = spark.createDataFrame([row], trace.DECISION[len("struct<"):-1])
+    whole, short = trace.log_decisions(df, limit=None).first(), trace.log_decisions(df, limit=7).first()
+    assert (len(whole.input_summary), len(whole.output_summary), len(short.output_summary)) == (900, 501, 7)
+
+
+def test_a_whole_view_lists_all_fields(spark):
+    data = {f"f{i:02}": "v" * (40 + i) for i in range(20)}
+    schema = "doc_id int, file_name string, document_type string, file_size_bytes long, extracted_data map<string,string>, pii_summary map<string,int>"
+    results = spark.createDataFrame([(1, "a.txt", "memo", 10, data, {})], schema)
+    whole = {r.label: r.value for r in report.result_view(results, first=None, width=None).where("section = 'data'").collect()}
+    assert whole == data
+    cut = report.result_view(results, first=3, width=5).where("section = 'data'").orderBy("ord").collect()
+    assert [r.value for r in cut] == ["vvvvv..."] * 3 + ["(17 more fields)"]
