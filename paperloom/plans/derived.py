@@ -27,9 +27,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 TASKS = 32
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in one file is dealt to several tasks; one in more files is left as it is."""
-    return df.repartition(TASKS) if len(df.inputFiles()) == 1 else df
+def spread(df: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """A table in one file is dealt to several tasks; one in more files is left as it is.
+
+    A stream does not tell its files: ``kept`` is the table that it reads.
+    """
+    return df.repartition(TASKS) if len((df if kept is None else kept).inputFiles()) == 1 else df
 
 
 def documents(spark: SparkSession, folder: str, *extra: str) -> DataFrame:

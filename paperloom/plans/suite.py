@@ -547,8 +547,8 @@ def committed_results(spark, sf):
 def streamed_repairs(spark, sf):
     """``repair_rounds`` as a stream: records and replies meet in state."""
     base = sinks.scratch(spark, "repairs")
-    shape = D.table(spark, sf, "orders").schema
-    orders = spark.readStream.schema(shape).parquet(f"{sf}/orders*.parquet")
+    kept = D.table(spark, sf, "orders")
+    orders = D.spread(spark.readStream.schema(kept.schema).parquet(f"{sf}/orders*.parquet"), kept)
     at = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at")
     records = D.invoice_rows(orders).select("doc_id", "document_type", "structured_data", at)
     answers = D.repair_reply_rows(orders).select("*", at)

@@ -1,7 +1,7 @@
 """Repair rounds over streams (V7, V8): records and replies meet in any order.
 
 State holds one record and one answer for each allowed attempt until they are complete or a timer
-runs out; the rules and the corrections run on what it gives, as in a batch.
+runs out, for many documents in one group; the rules and the corrections run on what it gives, as in a batch.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from paperloom.operators import validate as V
 
 _ANSWERS = "array<struct<attempt:int,reply:string,error:string,duration_ms:double>>"
 _GATHERED = "doc_id string, status string, document_type string, data string, answers string, unused bigint"
-_STATE = "document_type string, data string, here boolean, needs boolean, answers string, done boolean, unused bigint"
+_EVENT = ("doc_id", "ms", "is_record", "document_type", "data", "needs", "attempt", "reply", "error")
+_STATE = "held string"
+#: Groups that the documents are dealt to by a hash of their key; fixed for the life of a checkpoint.
+BUCKETS = 1024
 
 
 def _events(records: DataFrame, answers: DataFrame) -> DataFrame:
@@ -56,46 +59,61 @@ def _order(answer: list) -> tuple:
     return tuple(x for value in answer for x in (value is not None, value or ""))
 
 
+def _listed(frame: pd.DataFrame, column: str) -> list:
+    """The values of a column, None for NULL."""
+    return [None if x is None or x != x else x for x in frame[column].tolist()]
+
+
 def _step(wait_ms: int, most: int):
+    """State of a bucket: ``[doc_id, kind, data, here, needs, answers, done, unused, until]`` of each of its documents."""
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, data, here, needs, answers, done, unused = state.get if state.exists else (None, None, False, False, "{}", False, 0)
-        got = json.loads(answers)
+        docs = {held[0]: held[1:] for held in json.loads(state.get[0])} if state.exists else {}
+        now, touched, out = state.getCurrentWatermarkMs(), {}, []
 
-        def row(status: str) -> pd.DataFrame:
+        def give(doc_id: str | None, status: str) -> None:
+            kind, data, _, _, got, _, unused, _ = docs[doc_id]
             listed = [dict(zip(("attempt", "reply", "error"), (k, *got[str(k)]))) if str(k) in got else None for k in range(1, most + 1)]
-            return pd.DataFrame([(key[0], status, kind, data, json.dumps(listed), unused)], columns=["doc_id", "status", "document_type", "data", "answers", "unused"])
-
-        if state.hasTimedOut:
-            state.remove()
-            if not done:
-                yield row("expired" if here else "orphan")
-            elif unused:
-                yield row("late")
-            return
-        latest = state.getCurrentWatermarkMs()
-        for frame in frames:
-            latest = max(latest, int(frame["at"].max().timestamp() * 1000))
-            for r in frame.itertuples(index=False):
-                if r.is_record:
-                    if not here or not done and (r.document_type or "", r.data or "") > (kind or "", data or ""):
-                        kind, data, here, needs = r.document_type, r.data, True, bool(r.needs)
-                elif done or pd.isna(r.attempt) or not 1 <= r.attempt <= most:
-                    unused += 1
+            out.append((doc_id, status, kind, data, json.dumps(listed), unused))
+
+        for frame in () if state.hasTimedOut else frames:
+            for doc_id, ms, is_record, kind, data, needs, attempt, reply, error in zip(*(_listed(frame, c) for c in _EVENT)):
+                held = docs.setdefault(doc_id, [None, None, False, False, {}, False, 0, 0])
+                touched[doc_id] = max(touched.get(doc_id, now), ms)
+                if is_record:
+                    if not held[2] or not held[5] and (kind or "", data or "") > (held[0] or "", held[1] or ""):
+                        held[:4] = kind, data, True, bool(needs)
+                elif held[5] or attempt is None or not 1 <= attempt <= most:
+                    held[6] += 1
                 else:
-                    slot, answer = str(int(r.attempt)), [None if x is None or x != x else x for x in (r.reply, r.error)]
-                    unused += slot in got
+                    slot, answer, got = str(int(attempt)), [reply, error], held[4]
+                    held[6] += slot in got
                     got[slot] = max(got.get(slot, answer), answer, key=_order)
-        if here and not done and (not needs or len(got) == most):
-            unused += 0 if needs else len(got)
-            yield row("complete")
-            done = True
-        state.update((kind, data, here, needs, json.dumps(got), done, unused))
-        state.setTimeoutTimestamp(latest + wait_ms)
+        for doc_id, latest in touched.items():
+            held = docs[doc_id]
+            held[7] = int(latest) + wait_ms
+            if held[2] and not held[5] and (not held[3] or len(held[4]) == most):
+                held[6] += 0 if held[3] else len(held[4])
+                give(doc_id, "complete")
+                held[5] = True
+        for doc_id in [k for k, held in docs.items() if held[7] < now and k not in touched]:
+            if not docs[doc_id][5]:
+                give(doc_id, "expired" if docs[doc_id][2] else "orphan")
+            elif docs[doc_id][6]:
+                give(doc_id, "late")
+            del docs[doc_id]
+        if docs:
+            state.update((json.dumps([[k, *held] for k, held in docs.items()]),))
+            state.setTimeoutTimestamp(max(now, min(held[7] for held in docs.values())))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "status", "document_type", "data", "answers", "unused"])
 
     return step
 
 
-def gathered(records: DataFrame, answers: DataFrame, wait_ms: int = 3_600_000, delay: str = "10 minutes", most: int = MAX_REPAIR_ATTEMPTS) -> DataFrame:
+def gathered(records: DataFrame, answers: DataFrame, wait_ms: int = 3_600_000, delay: str = "10 minutes", most: int = MAX_REPAIR_ATTEMPTS, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, status, document_type, structured_data, repairs, unused) of two streams.
 
     ``records(doc_id, document_type, structured_data, at)`` and ``answers(doc_id, stage, attempt, reply, error,
@@ -106,9 +124,14 @@ def gathered(records: DataFrame, answers: DataFrame, wait_ms: int = 3_600_000, d
     record was given, or to one that needs none, or that another answer to their attempt outranks, or with
     an attempt out of bounds: they are counted as ``unused``, in a row with status ``late`` at the end. Events more than
     ``delay`` behind the latest are dropped by the watermark. Rows with NULL doc_id share one state.
+
+    Documents are dealt to ``buckets`` groups, so a call of Python serves many of them. A bucket that gets news is
+    written again as a whole; ``buckets`` must stay the same for the life of a checkpoint.
     """
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
     events = _events(records, answers).withWatermark("at", delay)
-    out = events.groupBy("doc_id").applyInPandasWithState(_step(wait_ms, most), _GATHERED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    events = events.select("*", bucket, F.coalesce(F.unix_millis("at"), F.lit(0)).alias("ms"))
+    out = events.groupBy("bucket").applyInPandasWithState(_step(wait_ms, most), _GATHERED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select(
         "doc_id",
         "status",

@@ -117,3 +117,17 @@ def test_restart_goes_on_from_the_checkpoint(spark, tmp_path):
     got = run(spark, base, "restart 2")
     assert [(r["doc_id"], r["status"], r["valid"], r["attempts"]) for r in got] == [("d", "complete", True, 2)]
     assert run(spark, base, "restart 3") == got
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_documents_of_one_bucket_keep_their_own_timers(spark, tmp_path, buckets):
+    base, bad = str(tmp_path), {**GOOD, "date": "x"}
+    many = [(f"m{k}", "receipt", bad, T0) for k in range(20)]
+    feed(spark, f"{base}/records", [*many, (None, "receipt", bad, T0), ("later", "receipt", bad, "2024-01-01 02:00:00")], RECORD, 1)
+    feed(spark, f"{base}/replies", [("m3", "repair", k, fix(date="2024-05-05"), None, T0) for k in (1, 2, 3)] + [("nobody", "repair", 1, None, None, T0)], REPLY, 1)
+    got = {(r["doc_id"], r["status"]): r for r in run(spark, base, f"buckets {buckets} 1", wait_ms=60_000, buckets=buckets)}
+    given = {("m3", "complete"), (None, "expired"), ("nobody", "orphan"), *((f"m{k}", "expired") for k in range(20) if k != 3)}
+    assert set(got) == given and got["m3", "complete"]["valid"] and not got["m4", "expired"]["valid"]
+    feed(spark, f"{base}/replies", [("later", "repair", k, fix(date="2024-06-06"), None, "2024-01-01 02:00:00") for k in (1, 2, 3)], REPLY, 1)
+    got = {(r["doc_id"], r["status"]) for r in run(spark, base, f"buckets {buckets} 2", wait_ms=60_000, buckets=buckets)}
+    assert got == given | {("later", "complete")}
