@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, exact check."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash links, MinHash candidates for the rest, exact check."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm import simhash
 from paperloom.llm.common import settle, shuffle_partitions
 from paperloom.llm.components import components
 
@@ -32,14 +33,11 @@ STEP = 2048
 
 def shingles(text: str | None, length: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the lower-cased shingles; a text of fewer words is one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= length:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - length].tolist(), ends[length - 1 :].tolist())], np.uint64))
+    return _distinct(simhash.hashes(text, length))
+
+
+def _distinct(hashed: np.ndarray) -> np.ndarray:
+    return np.unique(hashed) if len(hashed) else np.array([xxhash.xxh64_intdigest(b"", simhash.SEED)], np.uint64)
 
 
 def _hashing(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,28 +62,30 @@ def _key(text: str | None) -> bytes:
 
 
 def _prints(docs: DataFrame, length: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, n, cells, sketch): hash of the words, number of distinct shingles, a cell for each
-    band of minima, and a byte of each minimum."""
+    """(doc_id, key, fp, n, cells, sketch): hash of the words, SimHash fingerprint, number of distinct shingles,
+    a cell for each band of minima, and a byte of each minimum."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = _hashing(bands, rows)
         for frame in frames:
-            keys, sizes, cells, sketches = [], [], [], []
+            keys, prints, sizes, cells, sketches = [], [], [], [], []
             for text in frame.column("text"):
                 text = text.as_py()
-                found = shingles(text, length)
+                hashed = simhash.hashes(text, length)
+                found = _distinct(hashed)
                 least = _minima(found, times, plus)
                 keys.append(_key(text))
+                prints.append(simhash.majority(hashed))
                 sizes.append(len(found))
                 cells.append([xxhash.xxh64_intdigest(band.tobytes(), t) - (1 << 63) for t, band in enumerate(least.reshape(-1, rows))])
                 sketches.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [frame.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "key", "n", "cells", "sketch"],
+                [frame.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "key", "fp", "n", "cells", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        batches, "doc_id long, key binary, n long, cells array<long>, sketch binary"
+        batches, "doc_id long, key binary, fp long, n long, cells array<long>, sketch binary"
     )
 
 
@@ -212,15 +212,24 @@ def _candidates(members: DataFrame, near: int, of: int, bands: int, rows: int, f
     return dealt.repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(batches, "a long, b long").distinct()
 
 
+def _simhash_links(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes with equal fingerprints, and links of fingerprints by ``simhash.links``."""
+    prints = settle(classes.groupBy("fp").agg(F.min("c").alias("rep")), "fingerprints")
+    equal = classes.join(prints, "fp").where("c <> rep").select(F.col("rep").alias("a"), F.col("c").alias("b"))
+    found = simhash.links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.unionByName(found).distinct()
+
+
 def near_copies(docs: DataFrame, length: int = SHINGLE, near: int = NEAR, of: int = OF, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, key, component_id) for every row of ``docs(doc_id, text)``.
 
     Texts link where their sets of lower-cased ``length``-word shingles have a Jaccard
     similarity of ``near / of`` or more; ``component_id`` is the smallest doc_id that links
     reach. Equal words are one class (128-bit hash); only classes are compared. Candidates
-    share a band of MinHash minima; each link is checked on the whole sets.
+    are linked by their SimHash fingerprints or share a band of MinHash minima; each link is checked on the whole sets.
 
-    First each bucket gives a spanning forest of its nearest pairs, by a byte of each minimum: that
+    First the fingerprints of the shingles link classes by the operator of ``simhash``. Few pairs at ``near / of``
+    lie within its distance, so classes that it did not join meet in buckets too. Each bucket gives a spanning forest of its nearest pairs, by a byte of each minimum: that
     joins groups of copies by about as many comparisons of sets as they have members. Then, in
     buckets whose members are not all joined, all pairs of members that are not joined are compared by
     these bytes, and those that are near enough by their sets. So only pairs of different
@@ -231,13 +240,14 @@ def near_copies(docs: DataFrame, length: int = SHINGLE, near: int = NEAR, of: in
     """
     prints = settle(_prints(docs, length, bands, rows), "prints")
     grouped = prints.where("doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")
     )
     classes = settle(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
     cells = classes.select(F.posexplode("cells").alias("t", "cell"), "c", "n")
     shared = cells.groupBy("cell").agg(F.count("*").alias("many")).where("many > 1")
     live = settle(cells.join(shared, "cell"), "buckets")
-    met = live.select("c").distinct().join(classes, "c").select(F.col("rep").alias("doc_id"), "key", "c")
+    close = settle(_simhash_links(classes.select("fp", "c")), "close")
+    met = live.select("c").union(close.select("a")).union(close.select("b")).distinct().join(classes, "c").select(F.col("rep").alias("doc_id"), "key", "c")
     sets = settle(_sets(docs, met, length), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -249,8 +259,11 @@ def near_copies(docs: DataFrame, length: int = SHINGLE, near: int = NEAR, of: in
         return settle(pairs.join(left, "a").join(right, "b").where(ok).select("a", "b"), "links")
 
     sketches = classes.select("c", "sketch", "cells")
-    nearest = _candidates(live.withColumn("label", F.col("c")).join(sketches, "c"), near, of, bands, rows, forest=True)
-    labels = components(linked(nearest))
+    alike = linked(close)
+    joined = components(alike)
+    begun = live.join(joined, live["c"] == joined["node"], "left").select(*live.columns, F.coalesce("root", "c").alias("label"))
+    nearest = _candidates(begun.join(sketches, "c"), near, of, bands, rows, forest=True)
+    labels = components(alike.unionByName(linked(nearest)))
     labelled = live.join(labels, live["c"] == labels["node"], "left").select("cell", "t", "c", "n", F.coalesce("root", "c").alias("label"))
     labelled = settle(labelled, "labelled")
     open_cells = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("cell", "many")

@@ -27,27 +27,33 @@ BLOCK = 4096
 SPLIT_SAMPLE = 8
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of one text, as an unsigned 64-bit number; no word gives 0."""
+def hashes(text: str | None, length: int = SHINGLE) -> np.ndarray:
+    """Hashes of the lower-cased shingles, repeats included; a text of fewer words is one shingle, no word gives none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())]
+    if len(words) <= length:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)][: len(words)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - length].tolist(), ends[length - 1 :].tolist())], np.uint64)
+
+
+def majority(hashed: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned 64-bit number; no hash gives 0."""
     total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+    for at in range(0, len(hashed), 1 << 16):
+        part = hashed[at : at + (1 << 16)].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (total * 2 > len(hashes)).astype(np.uint8)
+    bits = (total * 2 > len(hashed)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, length: int = SHINGLE) -> int:
+    """SimHash of one text, as an unsigned 64-bit number; no word gives 0."""
+    return majority(hashes(text, length))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per document, ``fp`` the fingerprint as a signed long."""
 

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from paperloom.llm import nearcopies
+from paperloom.llm import nearcopies, simhash
 from paperloom.llm.common import table
 from test_text_operators import DOCS, ODD
 
@@ -133,3 +133,31 @@ def test_odd_rows(spark):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] in (1, 2, 3)) == [1, 3, 3]
     assert sum(r["doc_id"] is None for r in kept.collect()) == 1
+
+
+def test_simhash_links_are_joined_without_buckets(spark):
+    """With one band of 90 minima almost no pair shares a bucket; close fingerprints link all the same."""
+    draws = random.Random(12)
+    words, texts = [f"s{i}" for i in range(5000)], []
+    for _ in range(25):
+        base = draws.choices(words, k=400)
+        copy = list(base)
+        copy[draws.randrange(400)] = "other"
+        texts += [" ".join(base), " ".join(copy).upper()]
+    prints = [simhash.fingerprint(t, nearcopies.SHINGLE) for t in texts]
+    want = [(i, i + 1) for i in range(0, 50, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= simhash.DISTANCE]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, None, None) for i, t in enumerate(texts)], DOCS)
+    got = by_id(nearcopies.near_copies(docs, bands=1, rows=90))
+    assert len(want) > 20 and all(got[i] == got[j] == i for i, j in want)
+
+
+def test_simhash_links_are_checked(spark):
+    """Texts whose fingerprints are near or equal, but whose sets are not, stay apart."""
+    draws = random.Random(13)
+    words, common = [f"t{i}" for i in range(900)], " ".join(f"c{i}" for i in range(5))
+    texts = [" ".join([common] * 200 + draws.choices(words, k=12)) for _ in range(30)]
+    prints = [simhash.fingerprint(t, nearcopies.SHINGLE) for t in texts]
+    assert sum((a ^ b).bit_count() <= simhash.DISTANCE for n, a in enumerate(prints) for b in prints[:n]) > 100
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, None, None) for i, t in enumerate(texts)], DOCS)
+    want = slow_components(list(enumerate(texts)))
+    assert len(set(want.values())) > 20 and by_id(nearcopies.near_copies(docs)) == want
