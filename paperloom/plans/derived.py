@@ -8,8 +8,12 @@ comparison queries can state the same inputs.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from datetime import date
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -397,6 +401,34 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("length", F.octet_length("content").cast("bigint"))
 
 
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Each page as a text file ``page_id=.../part-N.txt`` below ``folder``, the lines of rows of one id in one file.
+
+    Spark's own writer starts up to three processes a file to set its mode on a local file system, so
+    a shared folder that is mounted is written by the tasks themselves; any other by Spark.
+    """
+    if not folder.startswith(("file:", "/")):
+        pages.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(folder)
+        return
+    root = "/" + folder.removeprefix("file:").lstrip("/")
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, TaskContext.get().partitionId()
+        for frame in frames:
+            for page, html in zip(frame.column("page_id").to_pylist(), frame.column("html").to_pylist()):
+                place = f"{root}/page_id={page}"
+                if page != last:
+                    os.makedirs(place, exist_ok=True)
+                with open(f"{place}/part-{n}.txt", "ab" if page == last else "wb") as out:  # a task that is done again writes anew
+                    out.write((html or "").encode("utf-8", "surrogatepass") + b"\n")
+                last = page
+            yield pa.RecordBatch.from_arrays([pa.array([frame.num_rows], pa.int64())], ["rows"])
+
+    os.makedirs(root, exist_ok=True)
+    dealt = pages.select("page_id", "html").repartition(TASKS, "page_id").sortWithinPartitions("page_id")
+    dealt.mapInArrow(batches, "rows long").agg(F.sum("rows")).collect()
+
+
 # ---- ground truth -----------------------------------------------------------
 
 # The first value of a document that these patterns find, whatever the detector finds.

@@ -486,8 +486,7 @@ def scanned_files(spark, sf):
     """Pages written as files and scanned in two runs; the second opens only what the first has not seen."""
     base = sinks.scratch(spark, "scanned")
     for part in (0, 1):
-        rows = D.table(spark, sf, "pages").where(F.col("page_id") % 2 == part)
-        rows.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(f"{base}/in/part{part}")
+        D.write_pages(D.table(spark, sf, "pages").where(F.col("page_id") % 2 == part), f"{base}/in/part{part}")
     runs = []
     for run, folder in enumerate((f"{base}/in/part0", f"{base}/in")):
         runs.append(ledger.ingest_new(spark, folder, f"{base}/ledger", f"run{run}").withColumn("run", F.lit(run).cast("bigint")))

@@ -8,6 +8,9 @@ does not clear are compared with the ledger itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ BITS_A_KEY, HASHES = 16, 5
 ENTRY = "path string, length bigint, modificationTime timestamp, source_hash string"
 #: Files that are read in one call.
 AT_ONCE = 20_000
+#: Tasks that list folders or files, and bytes of the files that one task reads; Spark gives nearly every folder a task.
+LISTING_TASKS = 64
+TASK_BYTES = 16 << 20
 
 
 def _bits(column: str) -> Column:
@@ -74,10 +80,23 @@ def entries(spark: SparkSession, ledger: str) -> DataFrame:
     return commits.read_table(spark, ledger, spark.createDataFrame([], ENTRY).schema)
 
 
+@contextmanager
+def _few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by LISTING_TASKS tasks while this is open."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(LISTING_TASKS, int(was))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def unseen_files(spark: SparkSession, folder: str, ledger: str) -> DataFrame:
     """Files below ``folder`` that the ledger does not list as they are now; their content is not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    listed = reader.load(folder).drop("content")
+    with _few_tasks(spark):
+        listed = reader.load(folder).drop("content").coalesce(LISTING_TASKS)
     return listed.join(entries(spark, ledger), ["path", "length", "modificationTime"], "left_anti")
 
 
@@ -90,16 +109,22 @@ def ingest_new(spark: SparkSession, folder: str, ledger: str, batch: str, max_mb
     Files that could not be loaded are entered without a fingerprint and come back as rows
     with their error, once.
     """
-    paths = [r["path"] for r in unseen_files(spark, folder, ledger).select("path").toLocalIterator()]
+    unseen = settle(unseen_files(spark, folder, ledger))
+    paths, total = [], 0
+    for row in unseen.select("path", "length").toLocalIterator():
+        paths.append(row["path"])
+        total += row["length"]
     files = spark.createDataFrame([], FILE_SCHEMA)
-    for at in range(0, len(paths), AT_ONCE):
-        files = files.unionByName(spark.read.format("binaryFile").load(paths[at : at + AT_ONCE]))
+    with _few_tasks(spark):
+        for at in range(0, len(paths), AT_ONCE):
+            files = files.unionByName(spark.read.format("binaryFile").load(paths[at : at + AT_ONCE]))
+    files = files.coalesce(max(LISTING_TASKS, -(-total // TASK_BYTES)))
     if max_mb is not None:
         files = files.withColumn("max_mb", F.lit(max_mb))
     docs = settle(ingest(files))
     fresh = new_rows(docs.where("load_error IS NULL"), entries(spark, ledger), "source_hash", "file_path")
     found = settle(fresh.select(*docs.columns).unionByName(docs.where("load_error IS NOT NULL")))
-    seen = files.select("path", "length", "modificationTime").join(docs.select(F.col("file_path").alias("path"), "source_hash"), "path")
+    seen = unseen.join(docs.select(F.col("file_path").alias("path"), "source_hash"), "path")
     if not commits.write_batch(seen.select("path", "length", "modificationTime", "source_hash"), ledger, batch):
         return found.where("false")
     return found

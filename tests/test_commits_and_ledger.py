@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.plans import derived
 from paperloom.sources import commits, ledger, sinks
 
 ROWS = "doc_id long, document_type string, attempt string"
@@ -120,3 +121,19 @@ def test_second_run_opens_new_files_only(spark, tmp_path):
     assert run("r3") == {}  # the name of a run that is committed
     assert set(run("r4")) == {"d.txt"}
     assert ledger.entries(spark, path).count() == 8
+
+
+def test_pages_are_files_and_folders_share_tasks(spark, tmp_path):
+    rows = [(k, f"<p>{k % 150}\r\né</p>") for k in range(200)] + [(200, None), (201, "a"), (201, "b")]
+    derived.write_pages(spark.createDataFrame(rows, "page_id long, html string"), f"file:{tmp_path}/in")
+    written = {p.parent.name: p.read_bytes().decode() for p in (tmp_path / "in").rglob("*.txt")}
+    assert written.pop("page_id=201") in ("a\nb\n", "b\na\n")
+    assert written == {f"page_id={k}": (html or "") + "\n" for k, html in rows if k < 201}
+    name, tracker = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.statusTracker()
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup("scan", "scan")
+    got = ledger.ingest_new(spark, str(tmp_path / "in"), str(tmp_path / "ledger"), "one")
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("scan") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= ledger.LISTING_TASKS + 8
+    assert spark.conf.get(name) == before and got.count() == 152 and ledger.entries(spark, str(tmp_path / "ledger")).count() == 202
