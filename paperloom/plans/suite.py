@@ -551,7 +551,7 @@ def streamed_repairs(spark, sf):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at")
     records = D.invoice_rows(orders).select("doc_id", "document_type", "structured_data", at)
     answers = D.repair_reply_rows(orders).select("*", at)
-    done = _round_columns(repairs.repaired(records, answers))
+    done = _round_columns(repairs.repaired(records, answers, buckets=repairs.buckets_for(kept.count())))
     stream.start(done, f"repairs-{base[-8:]}", f"{base}/out", f"{base}/progress").awaitTermination()
     return spark.read.schema(done.schema).parquet(f"{base}/out")
 

@@ -24,6 +24,13 @@ _EVENT = ("doc_id", "ms", "is_record", "document_type", "data", "needs", "attemp
 _STATE = "held string"
 #: Groups that the documents are dealt to by a hash of their key; fixed for the life of a checkpoint.
 BUCKETS = 1024
+#: Documents that one call of Python should hold at a time.
+BUCKET_DOCS = 4096
+
+
+def buckets_for(docs: int) -> int:
+    """Groups for about ``docs`` documents whose state is kept at a time, so that a call of Python stays small."""
+    return max(BUCKETS, -(-docs // BUCKET_DOCS))
 
 
 def _events(records: DataFrame, answers: DataFrame) -> DataFrame:
@@ -125,7 +132,8 @@ def gathered(records: DataFrame, answers: DataFrame, wait_ms: int = 3_600_000, d
     an attempt out of bounds: they are counted as ``unused``, in a row with status ``late`` at the end. Events more than
     ``delay`` behind the latest are dropped by the watermark. Rows with NULL doc_id share one state.
 
-    Documents are dealt to ``buckets`` groups, so a call of Python serves many of them. A bucket that gets news is
+    Documents are dealt to ``buckets`` groups, so a call of Python serves many of them; it holds those of a bucket
+    at a time, so more documents need more buckets (``buckets_for``). A bucket that gets news is
     written again as a whole; ``buckets`` must stay the same for the life of a checkpoint.
     """
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")

@@ -131,3 +131,19 @@ def test_documents_of_one_bucket_keep_their_own_timers(spark, tmp_path, buckets)
     feed(spark, f"{base}/replies", [("later", "repair", k, fix(date="2024-06-06"), None, "2024-01-01 02:00:00") for k in (1, 2, 3)], REPLY, 1)
     got = {(r["doc_id"], r["status"]) for r in run(spark, base, f"buckets {buckets} 2", wait_ms=60_000, buckets=buckets)}
     assert got == given | {("later", "complete")}
+
+
+def test_state_lies_on_disk_and_buckets_stay_small(spark, tmp_path):
+    name, base = "spark.sql.streaming.stateStore.providerClass", str(tmp_path)
+    before, bad = spark.conf.get(name), {**GOOD, "date": "x"}
+    feed(spark, f"{base}/records", [(f"d{k}", "receipt", bad, T0) for k in range(50)], RECORD, 1)
+    feed(spark, f"{base}/replies", [(f"d{k}", "repair", 1, fix(), None, T0) for k in range(50)], REPLY, 1)
+    assert run(spark, base, "on disk") == [] and spark.conf.get(name) == before
+    with open(f"{base}/progress/offsets/0") as file:
+        assert json.loads(file.read().splitlines()[1])["conf"][name].endswith("RocksDBStateStoreProvider")
+    feed(spark, f"{base}/replies", [(f"d{k}", "repair", n, fix(date="2024-05-05"), None, T0) for k in range(50) for n in (2, 3)], REPLY, 1)
+    got = run(spark, base, "on disk again")
+    assert sorted(r["doc_id"] for r in got) == sorted(f"d{k}" for k in range(50)) and all(r["valid"] for r in got)
+    for docs in (0, 1, 150_000, 54_000_000):
+        buckets = repairs.buckets_for(docs)
+        assert buckets >= repairs.BUCKETS and buckets * repairs.BUCKET_DOCS >= docs
