@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.prompts import windows
 from paperloom.operators import redact, rulebook
+from paperloom.sources.sinks import session_set
 
 # ---- reading the given tables -----------------------------------------------
 
@@ -426,7 +427,8 @@ def write_pages(pages: DataFrame, folder: str) -> None:
 
     os.makedirs(root, exist_ok=True)
     dealt = pages.select("page_id", "html").repartition(TASKS, "page_id").sortWithinPartitions("page_id")
-    dealt.mapInArrow(batches, "rows long").agg(F.sum("rows")).collect()
+    with session_set(pages.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}):
+        dealt.mapInArrow(batches, "rows long").agg(F.sum("rows")).collect()
 
 
 # ---- ground truth -----------------------------------------------------------

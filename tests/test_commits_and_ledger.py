@@ -137,3 +137,59 @@ def test_pages_are_files_and_folders_share_tasks(spark, tmp_path):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("scan") for s in tracker.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages if s) <= ledger.LISTING_TASKS + 8
     assert spark.conf.get(name) == before and got.count() == 152 and ledger.entries(spark, str(tmp_path / "ledger")).count() == 202
+
+
+def test_tasks_list_and_read_what_spark_does(spark, tmp_path, monkeypatch):
+    folder, path = tmp_path / "in", str(tmp_path / "ledger")
+    names = ["a.txt", "empty.txt", "two words%20.md", "d\u00e9j\u00e0.txt", "deep/er/x.csv", "_k=1/y.txt", "_metadata", "_metadata_of/m.txt", "deep/_hidden/z.txt", "_no.txt", ".no.txt", ".no/z.txt", "w.txt._COPYING_"]
+    for k, name in enumerate(names):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"" if name == "empty.txt" else f"{k} caf\u00e9\r\n".encode() * (k + 1))
+    (folder / "nothing").mkdir()
+    (tmp_path / "aside").mkdir()
+    (tmp_path / "aside" / "q.txt").write_text("q")
+    (folder / "link").symlink_to(tmp_path / "aside")
+    (folder / "broken.txt").symlink_to(tmp_path / "nowhere")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    want = {tuple(r) for r in reader.load(str(folder)).select("path", "modificationTime", "length", "content").collect()}
+    assert len(want) == 7
+    unseen = ledger.unseen_files(spark, f"file:{folder}", path)
+    assert {tuple(r) for r in unseen.select("path", "modificationTime", "length").collect()} == {r[:3] for r in want}
+    monkeypatch.setattr(ledger, "BATCH_BYTES", 64)
+    assert {tuple(r) for r in ledger._opened(unseen, 2, None).collect()} == want
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        ledger.unseen_files(spark, str(tmp_path / "nowhere"), path)
+
+    def run(place, **options):
+        rows = ledger.ingest_new(spark, str(folder), str(tmp_path / place), "one", **options).collect()
+        return sorted((r["file_path"], r["file_size_bytes"], r["source_hash"] or "", r["text"] or "", r["load_error"] or "") for r in rows)
+
+    (folder / "big.txt").write_bytes(b"x" * (1024 * 1024 + 1))
+    found = [run("by tasks"), run("by tasks, less", max_mb=1)]
+    assert "File too large: 1.00MB (max: 1MB)" in {r[4] for r in found[1]}
+    monkeypatch.setattr(ledger, "_mounted", lambda *_: None)
+    assert found == [run("by Spark"), run("by Spark, less", max_mb=1)]
+
+
+def test_names_of_files_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    rows = [(k, f"<p>{k}</p>") for k in range(300)]
+    derived.write_pages(spark.createDataFrame(rows, "page_id long, html string"), f"file:{tmp_path}/in")
+
+    frame = type(spark.range(1))
+    collect, most = frame.collect, []
+
+    def gone(*_):
+        raise AssertionError("names of files in the driver")
+
+    def counted(df):
+        rows = collect(df)
+        most.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(frame, "toLocalIterator", gone)
+    monkeypatch.setattr(frame, "collect", counted)
+    monkeypatch.setattr(type(spark.read), "load", gone)
+    got = ledger.ingest_new(spark, str(tmp_path / "in"), str(tmp_path / "ledger"), "one")
+    plan = ledger.unseen_files(spark, str(tmp_path / "in"), str(tmp_path / "ledger"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [path" not in plan
+    assert max(most) <= 1 and got.count() == 300 and ledger.entries(spark, str(tmp_path / "ledger")).count() == 300
